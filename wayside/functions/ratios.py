@@ -14,18 +14,25 @@ def _scaled(part: ColumnOrName, whole: ColumnOrName, factor: int) -> Column:
     return int_div(part * (2 * factor) + whole, whole * 2)
 
 
-def pct(part: ColumnOrName, whole: ColumnOrName, digits: int = 1) -> Column:
-    """``100 * part / whole`` rounded half up; NULL when ``whole`` is 0."""
-    return _scaled(part, whole, 100 * 10**digits).cast("double") / F.lit(float(10**digits))
+def _shifted(scaled: Column, digits: int, precision: int) -> Column:
+    """A whole number of the last digit's units as a decimal."""
+    unit = F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+    return (scaled.cast("decimal(20,0)") / unit).cast(f"decimal({precision},{digits})")
 
 
-def rate(part: ColumnOrName, whole: ColumnOrName) -> Column:
-    """``part / whole`` as decimal(5,4), rounded half up; NULL when ``whole`` is 0."""
-    return (_scaled(part, whole, 10_000).cast("decimal(20,0)") / F.lit(10_000).cast("decimal(5,0)")).cast("decimal(5,4)")
+def tenths(value: ColumnOrName) -> Column:
+    """A whole number of tenths as a decimal with one digit."""
+    return _shifted(as_column(value), 1, 6)
+
+
+def pct(part: ColumnOrName, whole: ColumnOrName, digits: int = 1) -> Column:
+    """``100 * part / whole`` rounded half up, as a decimal; NULL when ``whole`` is 0."""
+    return _shifted(_scaled(part, whole, 100 * 10**digits), digits, 5 + digits)
 
 
-def round_half_up(value: ColumnOrName, digits: int) -> Column:
-    return F.round(as_column(value), digits)
+def rate(part: ColumnOrName, whole: ColumnOrName) -> Column:
+    """``part / whole`` rounded half up, as decimal(5,4); NULL when ``whole`` is 0."""
+    return _shifted(_scaled(part, whole, 10_000), 4, 5)
 
 
 def zero_key(key: ColumnOrName) -> Column:

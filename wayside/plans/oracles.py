@@ -308,7 +308,10 @@ def compose(body: str) -> str:
                 needed.add(name)
                 pending.append(SHARED[name])
     parts = [f"{name} AS ({SHARED[name]})" for name in SHARED if name in needed]
-    return (f"WITH {', '.join(parts)} " if parts else "") + body
+    if not parts:
+        return body
+    own = body.strip()
+    return f"WITH {', '.join(parts)}" + (f", {own[5:]}" if own.startswith("WITH ") else f" {own}")
 
 
 MERGE_COLUMNS = """tripkey, stopkey, stop_sequence AS stopsequence, datekey, CASE WHEN {0} THEN arrival END AS actualarrival,

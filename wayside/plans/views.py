@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_from_key, since
-from ..functions.ratios import pct
+from ..functions.clock import date_from_key, int_div, since
+from ..functions.ratios import pct, tenths
 
 Dims = Mapping[str, DataFrame]
 
@@ -111,27 +111,26 @@ def missed_rate_by_route(trips: DataFrame, dims: Dims) -> DataFrame:
 def routes_consistently_late(stops: DataFrame, dims: Dims, as_of, window_days: int = LATE_WINDOW_DAYS) -> DataFrame:
     """Routes below 70 % on time on at least five days of the window, worst first.
 
-    Daily percentages are carried as tenths in whole numbers, so sums and averages are exact.
+    Daily percentages are averaged as whole numbers of tenths, so the rounding is exact.
     """
     recent = stops.filter(F.col("isofficial") & since(date_from_key("datekey"), as_of, window_days))
     per_day = recent.groupBy("agencykey", "routekey", "datekey").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("isontime").alias("_ontime")
     )
     days = with_date(per_day, dims, "fulldate")
-    tenths = (pct("_ontime", "_n", 1) * 10).cast("bigint")
-    days = days.withColumn("_tenths", tenths)
+    days = days.withColumn("_tenths", (pct("_ontime", "_n", 1) * 10).cast("bigint"))
     routes = days.groupBy("agencykey", "routekey").agg(
         F.count(F.lit(1)).alias("days_evaluated"),
         F.count_if(F.col("_tenths") < LATE_DAY_PCT * 10).alias("days_below_70pct"),
         F.sum("_tenths").alias("_sum"),
-        (F.min("_tenths") / 10.0).alias("worst_day_otp_pct"),
-        (F.max("_tenths") / 10.0).alias("best_day_otp_pct"),
+        tenths(F.min("_tenths")).alias("worst_day_otp_pct"),
+        tenths(F.max("_tenths")).alias("best_day_otp_pct"),
     )
     late = with_route(with_agency(routes.filter(F.col("days_below_70pct") >= LATE_MIN_DAYS), dims), dims)
-    average = F.call_function("div", F.col("_sum") * 2 + F.col("days_evaluated"), F.col("days_evaluated") * 2) / 10.0
+    average = int_div(F.col("_sum") * 2 + F.col("days_evaluated"), F.col("days_evaluated") * 2)
     return late.select(
         "agencykey", *AGENCY, "routekey", *ROUTE, "days_evaluated", "days_below_70pct",
-        average.alias("avg_otp_pct"), "worst_day_otp_pct", "best_day_otp_pct",
+        tenths(average).alias("avg_otp_pct"), "worst_day_otp_pct", "best_day_otp_pct",
     ).orderBy(F.desc("days_below_70pct"), "avg_otp_pct", "routekey")
 
 
