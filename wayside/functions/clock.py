@@ -60,6 +60,14 @@ def gtfs_date(text: ColumnOrName) -> Column:
     return F.try_to_date(as_column(text), "yyyyMMdd")
 
 
+def key_days_before(as_of, days: int = 0) -> Column:
+    """Date key of the day ``days`` before ``as_of``: a constant to compare date keys with.
+
+    Comparing keys instead of dates lets a table partitioned by date key skip partitions.
+    """
+    return date_key(F.date_sub(F.lit(as_of).cast("date"), days))
+
+
 def local_day(ts: ColumnOrName) -> Column:
     """Calendar day of a wall-clock timestamp."""
     return as_column(ts).cast("date")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_from_key, date_key, deviation_seconds, gtfs_minute_key, gtfs_seconds
+from ..functions.clock import date_key, deviation_seconds, gtfs_minute_key, gtfs_seconds
 from ..functions.guards import is_int, non_blank
 from ..schemas import FACT_STOP, conform
 from .calendar import service_days
@@ -114,12 +114,13 @@ def resolve_updates(updates: DataFrame, dims: Frames) -> DataFrame:
             date_key("service_date").alias("datekey"),
             "feed_timestamp_utc",
             "agency_key",
+            F.col("service_date").alias("_date"),
             F.col("arrival_time_local").alias("_arrival"),
             F.col("departure_time_local").alias("_departure"),
         )
     )
     latest = keep_latest(keyed, STOP_KEYS, ["feed_timestamp_utc", "agency_key"])
-    return latest.select(*STOP_KEYS, "_arrival", "_departure", F.lit(True).alias("_matched"))
+    return latest.select(*STOP_KEYS, "_date", "_arrival", "_departure")
 
 
 def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force: bool = False) -> DataFrame:
@@ -129,10 +130,10 @@ def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force:
     through, so the result replaces the same partitions.
     """
     joined = fact.join(resolve_updates(updates, dims), STOP_KEYS, "left")
-    apply = flags.is_true(F.col("_matched"))
+    apply = F.col("_date").isNotNull()
     if not force:
         apply = apply & flags.is_true(F.col("arrivalsource") == flags.FALLBACK)
-    dev = deviation_seconds(date_from_key("datekey"), "scheduledarrivalseconds", "_arrival")
+    dev = deviation_seconds("_date", "scheduledarrivalseconds", "_arrival")
     staged = joined.withColumns({"_apply": apply, "_dev": dev})
     new_values = {
         "actualarrival": F.col("_arrival"),

@@ -830,9 +830,7 @@ def _event_stream(t: Lens) -> Lens:
     """The lens with events arriving as a file stream."""
     schema = t.table("events").schema
     reader = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    streamed = Lens(t.spark, t.folder)
-    streamed.table = lambda name: reader.parquet(t.folder) if name == "events" else t.table(name)
-    return streamed
+    return Lens(t.spark, t.folder, events=reader.parquet(t.folder))
 
 
 def _run_stream(t: Lens, df: DataFrame, unique: list[str], newest: list[str], partition: str) -> DataFrame:

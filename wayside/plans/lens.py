@@ -8,13 +8,14 @@ unresolvable on purpose.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_key, int_div
+from ..functions.clock import date_key
 from ..operators.calendar import WEEKDAYS, date_range
 from ..operators.dims import describe_dates, dim_time
 from ..operators.stops import mark_ends
@@ -41,19 +42,47 @@ def yyyymmdd(date: Column) -> Column:
     return date_key(date).cast("string")
 
 
+def clock_text(hour: Column, minute: Column, second: Column) -> Column:
+    """HH:MM:SS text."""
+    return F.concat_ws(":", *[F.lpad(text(part), 2, "0") for part in (hour, minute, second)])
+
+
 def plus_seconds(date: Column, seconds: Column) -> Column:
     return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
+class Frames(Mapping):
+    """Frames by name, each built when first asked for."""
+
+    def __init__(self, build: Callable[[str], DataFrame], names: Iterable[str]):
+        self._build, self._names, self._built = build, tuple(names), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 class Lens:
     """Lazy frames over one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, **tables: DataFrame):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables = dict(tables)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # ---- timetable lens: staged tables (all text)
 
@@ -117,8 +146,8 @@ class Lens:
         return self._staged("stop_times", self.table("lineitem").select(
             text("l_orderkey").alias("trip_id"),
             prefixed("S", "l_suppkey").alias("stop_id"),
-            F.when(blank, "").otherwise(F.format_string("%02d:%02d:%02d", hour, minute, second)).alias("arrival_time"),
-            F.format_string("%02d:%02d:%02d", hour, minute + 1, second).alias("departure_time"),
+            F.when(blank, "").otherwise(clock_text(hour, minute, second)).alias("arrival_time"),
+            clock_text(hour, minute + 1, second).alias("departure_time"),
             F.when(odd, F.concat(F.lit("A"), sequence)).otherwise(sequence).alias("stop_sequence"),
         ))
 
@@ -168,9 +197,9 @@ class Lens:
             text(F.col("s_suppkey") % 600).alias("min_transfer_time"),
         ))
 
-    @property
-    def timetable(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in STAGING_COLUMNS}
+    @cached_property
+    def timetable(self) -> Frames:
+        return Frames(lambda name: getattr(self, name), STAGING_COLUMNS)
 
     # ---- dimensions of the timetable lens (some rows left out, so keys fail to resolve)
 
@@ -184,35 +213,41 @@ class Lens:
         ), DIMENSIONS["feed_version"])
 
     @cached_property
-    def dims(self) -> dict[str, DataFrame]:
-        nation, key = self.table("nation"), F.col("n_nationkey")
-        return {
-            "agency": conform(self.table("region").filter("r_regionkey <> 4").select(
-                (F.col("r_regionkey") + 1).alias("agencykey"),
-                text("r_regionkey").alias("agencyid"),
-                F.col("r_name").alias("agencyname"),
-                F.when(F.col("r_regionkey") % 2 == 0, "BUS").otherwise("RAIL").alias("mode"),
-            ), DIMENSIONS["agency"]),
-            "route": conform(nation.filter(key != 7).select(
-                (key + 1).alias("routekey"),
-                (F.col("n_regionkey") + 1).alias("agencykey"),
-                prefixed("R", key).alias("routeid"),
-                F.col("n_name").alias("routeshortname"),
-                prefixed("Line ", "n_name").alias("routelongname"),
-                F.lit(12).alias("versionkey"),
-            ), DIMENSIONS["route"]),
-            "stop": conform(self.table("supplier").filter("s_acctbal >= 0").select(
-                (F.col("s_suppkey") + 1).alias("stopkey"), prefixed("S", "s_suppkey").alias("stopid"),
-                F.lit(12).alias("versionkey"),
-            ), DIMENSIONS["stop"]),
-            "trip": conform(self.table("orders").filter("o_orderpriority <> '5-LOW'").select(
-                (F.col("o_orderkey") + 1).alias("tripkey"), text("o_orderkey").alias("tripid"),
+    def dims(self) -> Frames:
+        names = ("agency", "route", "stop", "trip", "time", "feed_version", "date")
+        return Frames(self._dim, names)
+
+    def _dim(self, name: str) -> DataFrame:
+        if name == "time":
+            return dim_time(self.spark)
+        if name == "date":
+            return describe_dates(self.order_dates)
+        if name == "feed_version":
+            return self.feed_version
+        if name == "agency":
+            region, key = self.table("region"), F.col("r_regionkey")
+            rows = region.filter(key != 4).select(
+                (key + 1).alias("agencykey"), text(key).alias("agencyid"), F.col("r_name").alias("agencyname"),
+                F.when(key % 2 == 0, "BUS").otherwise("RAIL").alias("mode"),
+            )
+        elif name == "route":
+            nation, key = self.table("nation"), F.col("n_nationkey")
+            rows = nation.filter(key != 7).select(
+                (key + 1).alias("routekey"), (F.col("n_regionkey") + 1).alias("agencykey"), prefixed("R", key).alias("routeid"),
+                F.col("n_name").alias("routeshortname"), prefixed("Line ", "n_name").alias("routelongname"),
                 F.lit(12).alias("versionkey"),
-            ), DIMENSIONS["trip"]),
-            "time": dim_time(self.spark),
-            "feed_version": self.feed_version,
-            "date": describe_dates(self.order_dates),
-        }
+            )
+        elif name == "stop":
+            key = F.col("s_suppkey")
+            rows = self.table("supplier").filter("s_acctbal >= 0").select(
+                (key + 1).alias("stopkey"), prefixed("S", key).alias("stopid"), F.lit(12).alias("versionkey")
+            )
+        else:
+            key = F.col("o_orderkey")
+            rows = self.table("orders").filter("o_orderpriority <> '5-LOW'").select(
+                (key + 1).alias("tripkey"), text(key).alias("tripid"), F.lit(12).alias("versionkey")
+            )
+        return conform(rows, DIMENSIONS[name])
 
     @cached_property
     def order_dates(self) -> DataFrame:

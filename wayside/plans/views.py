@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_from_key, int_div, since
+from ..functions.clock import int_div, key_days_before
 from ..functions.ratios import pct, tenths
 
 Dims = Mapping[str, DataFrame]
@@ -50,13 +50,11 @@ def daily_otp_summary(stops: DataFrame, dims: Dims, as_of, start: str = SUMMARY_
 
     Rows first collapse to one per (day, trip, route); the two distinct counts run on those.
     """
-    per_trip = stops.groupBy("datekey", "tripkey", "routekey").agg(
+    span = stops.filter(F.col("datekey").between(key_days_before(start), key_days_before(as_of)))
+    per_trip = span.groupBy("datekey", "tripkey", "routekey").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("isofficial").alias("_official")
     )
-    span = with_date(per_trip, dims, "fulldate", "dayofweek", "isweekend").filter(
-        (F.col("fulldate") >= F.lit(start).cast("date")) & (F.col("fulldate") <= F.lit(as_of).cast("date"))
-    )
-    days = span.groupBy("fulldate", "dayofweek", "isweekend").agg(
+    days = with_date(per_trip, dims, "fulldate", "dayofweek", "isweekend").groupBy("fulldate", "dayofweek", "isweekend").agg(
         F.sum("_n").alias("total_obs"),
         F.countDistinct("tripkey").alias("unique_trips"),
         F.countDistinct("routekey").alias("unique_routes"),
@@ -113,7 +111,7 @@ def routes_consistently_late(stops: DataFrame, dims: Dims, as_of, window_days: i
 
     Daily percentages are averaged as whole numbers of tenths, so the rounding is exact.
     """
-    recent = stops.filter(F.col("isofficial") & since(date_from_key("datekey"), as_of, window_days))
+    recent = stops.filter(F.col("isofficial") & (F.col("datekey") >= key_days_before(as_of, window_days)))
     per_day = recent.groupBy("agencykey", "routekey", "datekey").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("isontime").alias("_ontime")
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import StructType
 
 # Columns of the staged timetable tables (all text).
 STAGING_COLUMNS = {
@@ -102,17 +101,14 @@ DIMENSIONS = {
 
 
 @lru_cache(maxsize=None)
-def columns_of(ddl: str) -> tuple[tuple[str, DataType], ...]:
+def columns_of(ddl: str) -> tuple[tuple[str, str], ...]:
     """(name, type) pairs of a column list; needs a running session."""
-    return tuple((field.name, field.dataType) for field in StructType.fromDDL(ddl).fields)
+    return tuple((field.name, field.dataType.simpleString()) for field in StructType.fromDDL(ddl).fields)
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Exactly the contract's columns, in order and cast; absent ones become NULL."""
     present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(name) if name in present else F.lit(None)).cast(type_).alias(name)
-            for name, type_ in columns_of(ddl)
-        ]
+    return df.selectExpr(
+        *[f"cast({name if name in present else 'null'} as {type_}) as {name}" for name, type_ in columns_of(ddl)]
     )

@@ -71,8 +71,8 @@ def extra_columns(df: DataFrame, staging: Sequence[str]) -> list[str]:
 def reconcile(df: DataFrame, staging: Sequence[str]) -> DataFrame:
     """Staging columns in order (absent ones NULL), then unknown file columns as text."""
     present = set(df.columns)
-    known = [(F.col(c) if c in present else F.lit(None)).cast("string").alias(c) for c in staging]
-    return df.select(*known, *[F.col(c).cast("string").alias(c) for c in extra_columns(df, staging)])
+    known = [f"cast({f'`{c}`' if c in present else 'null'} as string) as `{c}`" for c in staging]
+    return df.selectExpr(*known, *[f"cast(`{c}` as string) as `{c}`" for c in extra_columns(df, staging)])
 
 
 def append_drifted(stored: DataFrame, incoming: DataFrame) -> DataFrame:
