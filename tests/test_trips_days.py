@@ -98,6 +98,9 @@ def test_added_trips(town):
         (0, 1, "ADDED", Decimal("1.0000"), Decimal("1.0000"), "ADDED_UNSCHEDULED", 7),
     ]
     assert rows(trips.replace_added(added, added)) == rows(added)
+    names = frame(town.spark, "agency_key string, agencyid string", ("zz", "40"))
+    named = trips.added_trips(pings, town.stg["trips"], town.dims, agency_ids=names)
+    assert rows(named, "agencykey") == [(1,), (2,)]
     empty_miles = trips.added_trips(pings, town.stg["trips"], town.dims, added_vrm=None)
     assert {r.reportedvrm for r in empty_miles.collect()} == {None}
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import DEFAULT_ZONE, local_time, utc_time
+from ..functions.clock import DEFAULT_ZONE, local_time, service_day, utc_time
 from ..functions.guards import blank_to_null
 from ..schemas import STOP_UPDATES, VEHICLE_POSITIONS, conform
 
@@ -31,8 +31,12 @@ def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def flatten_trip_updates(feeds: DataFrame, zone: str = DEFAULT_ZONE) -> DataFrame:
-    """One row per stop time update; times absent or 0 are NULL."""
+def flatten_trip_updates(feeds: DataFrame, zone: str = DEFAULT_ZONE, cutoff_hour: int = 0) -> DataFrame:
+    """One row per stop time update; times absent or 0 are NULL.
+
+    The service date is the feed's local day; before ``cutoff_hour`` it is the day before, which
+    lets stops after midnight match the day their trip started.
+    """
     entities = feeds.select(
         "agency_key", F.col("header.timestamp").alias("_feed"), F.explode("entity.trip_update").alias("_tu")
     ).filter(F.col("_tu").isNotNull())
@@ -50,7 +54,7 @@ def flatten_trip_updates(feeds: DataFrame, zone: str = DEFAULT_ZONE) -> DataFram
             blank_to_null("_trip.route_id").alias("route_id"),
             F.when(direction.isin(0, 1), direction).alias("direction_id"),
             flags.decode(flags.SCHEDULE_RELATIONSHIP, "_trip.schedule_relationship").alias("schedule_relationship"),
-            local_time(F.col("_feed"), zone).cast("date").alias("service_date"),
+            service_day(local_time(F.col("_feed"), zone), cutoff_hour).alias("service_date"),
             F.col("_stu.stop_id").alias("stop_id"),
             F.col("_stu.stop_sequence").alias("stop_sequence"),
             F.col("_stu.arrival.delay").alias("arrival_delay"),

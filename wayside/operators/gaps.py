@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flags
 from ..functions.clock import date_from_key, date_key, local_day, since
+from .keys import narrow
 
 # Days scanned back, job names.
 LOOKBACK_DAYS = 30
@@ -31,12 +32,10 @@ def gap_counters(fact: DataFrame, open_row) -> DataFrame:
 def fact_gaps(dates: DataFrame, fact: DataFrame, open_row) -> DataFrame:
     """Days without rows (``missing``) or with open rows (``merge``) among ``dates``.
 
-    The fact is narrowed to those date keys first; on a table partitioned by date key that prunes
-    the partitions read.
+    The fact is narrowed to those date keys first, so other partitions are not read.
     """
     keyed = dates.select("service_date", date_key("service_date").alias("datekey"))
-    wanted = fact.join(keyed.select("datekey"), "datekey", "left_semi")
-    counted = keyed.join(gap_counters(wanted, open_row), "datekey", "left")
+    counted = keyed.join(gap_counters(narrow(fact, "datekey", keyed), open_row), "datekey", "left")
     state = F.when(F.col("total_count").isNull(), "missing").when(F.col("open_count") > 0, "merge")
     return counted.select("service_date", state.alias("state")).filter("state is not null")
 

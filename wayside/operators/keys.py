@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import zero_key
+from .latest import keep_latest
 
 
 def current_version(versions: DataFrame) -> DataFrame:
@@ -48,6 +49,29 @@ def resolve_route(df: DataFrame, dim_route: DataFrame, dim_agency: DataFrame) ->
     return resolve_key(df, routes, "route_id", "routeid", "routekey", "agencykey")
 
 
+def newest_rows(dim: DataFrame, natural: str) -> DataFrame:
+    """One row per natural key: that of the newest feed version, so coexisting versions never fan out."""
+    return keep_latest(dim, [natural], ["versionkey"])
+
+
+def newest_dims(dims: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Dimensions with the versioned ones reduced to their newest rows."""
+    natural = {"trip": "tripid", "route": "routeid", "stop": "stopid"}
+    return {name: newest_rows(dims[name], natural[name]) if name in natural else dims[name] for name in dims}
+
+
+def narrow(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column`` occurs in ``wanted``, a short list with the same column.
+
+    The bounds are scalar subqueries: on a table partitioned by the column they are known before
+    files are listed, so partitions outside the list's span are never opened. The semi-join then
+    keeps exactly the listed values.
+    """
+    low, high = (wanted.agg(f(column)).scalar() for f in (F.min, F.max))
+    inside = df.filter((F.col(column) >= low) & (F.col(column) <= high))
+    return inside.join(wanted.select(column).distinct(), column, "left_semi").select(*df.columns)
+
+
 def scope_to(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` occurs in ``wanted``."""
     return df.join(wanted.select(key), key, "left_semi").select(*df.columns)

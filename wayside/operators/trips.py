@@ -162,15 +162,24 @@ def merge_pings(
 
 
 def added_trips(
-    positions: DataFrame, trips: DataFrame, dims: Frames, cutoff_hour: int = 0, added_vrm: str | None = "hours"
+    positions: DataFrame,
+    trips: DataFrame,
+    dims: Frames,
+    cutoff_hour: int = 0,
+    added_vrm: str | None = "hours",
+    agency_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Trips seen in pings but absent from the timetable, with trip key 0.
 
     ``added_vrm='hours'`` stores the span in hours as miles too, as the source warehouse does;
-    ``None`` leaves the miles empty.
+    ``None`` leaves the miles empty. ``agency_ids`` (agency_key, agencyid) translates feed names
+    of agencies to timetable ids; without it feed names are looked up as ids.
     """
     seen = ping_summary(positions, ("trip_id", "agency_key"), cutoff_hour)
     seen = seen.join(trips.select("trip_id"), "trip_id", "left_anti")
+    if agency_ids is not None:
+        seen = seen.join(agency_ids.select("agency_key", "agencyid"), "agency_key", "left")
+        seen = seen.withColumn("agency_key", F.coalesce("agencyid", "agency_key")).drop("agencyid")
     seen = resolve_key(seen, dims["agency"], "agency_key", "agencyid", "agencykey")
     seen = seen.withColumn("_span", elapsed_seconds("first_ping", "last_ping"))
     hours = flags.hours_of("_span")

@@ -10,12 +10,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import date_key
+from ..functions.clock import date_key, local_day
 from ..operators import days as day_ops
 from ..operators import gaps
 from ..operators import stops as stop_ops
 from ..operators import trips as trip_ops
 from ..operators.calendar import date_range
+from ..operators.keys import narrow, newest_dims
 from ..operators.quality import preflight
 from ..schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP
 from ..sources.sinks import read_table, replace_partition, rewrite_partition
@@ -30,14 +31,25 @@ def _check_phase(phase: str) -> None:
 
 
 def on_dates(fact: DataFrame, dates: DataFrame) -> DataFrame:
-    """Fact rows of the dates; prunes partitions of a table laid out by date key."""
-    return fact.join(dates.select(date_key("service_date").alias("datekey")).distinct(), "datekey", "left_semi").select(*fact.columns)
+    """Fact rows of the dates; other partitions of a table laid out by date key are not opened."""
+    return narrow(fact, "datekey", dates.select(date_key("service_date").alias("datekey")))
+
+
+def pings_on(positions: DataFrame, dates: DataFrame) -> DataFrame:
+    """Pings of the dates' calendar days; the bounds on the time itself can skip row groups."""
+    first, last = (dates.agg(f("service_date")).scalar() for f in (F.min, F.max))
+    at = F.col("timestamp_local")
+    inside = positions.filter((at >= first.cast("timestamp_ntz")) & (at < F.date_add(last, 1).cast("timestamp_ntz")))
+    days = inside.withColumn("_day", local_day("timestamp_local"))
+    wanted = dates.select(F.col("service_date").alias("_day")).distinct()
+    return days.join(wanted, "_day", "left_semi").select(*positions.columns)
 
 
 def build_stop_fact(stg: Frames, dims: Frames, updates: DataFrame, dates: DataFrame, stored: DataFrame | None = None,
                     phase: str = "both", force: bool = False) -> DataFrame:
     """Stop fact rows of the dates after the phase: stored rows plus new ones, merged and flagged."""
     _check_phase(phase)
+    dims = newest_dims(dims)
     kept = None if stored is None else on_dates(stored, dates)
     fact = kept
     if phase != "merge":
@@ -46,7 +58,7 @@ def build_stop_fact(stg: Frames, dims: Frames, updates: DataFrame, dates: DataFr
     if fact is None:
         raise ValueError("the merge phase needs stored rows")
     if phase != "skeleton":
-        reported = updates.join(dates, "service_date", "left_semi")
+        reported = narrow(updates, "service_date", dates)
         fact = stop_ops.stop_official(stop_ops.merge_stop_updates(fact, reported, dims, force))
     return fact
 
@@ -55,6 +67,7 @@ def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: Data
                     phase: str = "both", force: bool = False, force_skeleton: bool = False) -> DataFrame:
     """Trip fact rows of the dates after the phase; ``force_skeleton`` forgets the stored rows."""
     _check_phase(phase)
+    dims = newest_dims(dims)
     kept = None if stored is None else on_dates(stored, dates)
     fact = kept
     if phase != "merge":
@@ -64,8 +77,7 @@ def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: Data
     if fact is None:
         raise ValueError("the merge phase needs stored rows")
     if phase != "skeleton":
-        wanted = dates.select(F.col("service_date").alias("_day"))
-        pings = positions.join(wanted, positions["timestamp_local"].cast("date") == wanted["_day"], "left_semi")
+        pings = pings_on(positions, dates)
         fact = trip_ops.merge_pings(fact, pings, dims, force)
         fact = trip_ops.replace_added(fact, trip_ops.added_trips(pings, stg["trips"], dims))
         fact = trip_ops.trip_official(fact)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import columns_of
 from ..session import scratch_path
-from .static import path_exists
+from .static import delete_path, path_exists
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
@@ -37,6 +37,7 @@ def rewrite_partition(df: DataFrame, path: str, *columns: str) -> None:
     staged = scratch_path(spark, "rewrite")
     df.write.mode("overwrite").parquet(staged)
     replace_partition(spark.read.schema(df.schema).parquet(staged), path, *columns)
+    delete_path(spark, staged)
 
 
 def write_day(df: DataFrame, path: str, day_column: str = "service_date") -> bool:

@@ -18,13 +18,24 @@ def day_folder(root: str, day: Date | str) -> str:
     return f"{root.rstrip('/')}/{str(day).replace('-', '/')}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, on any file system Spark can reach."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    found = files.globStatus(hadoop_path)
     return found is not None and len(found) > 0
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder this library wrote."""
+    files, hadoop_path = _file_system(spark, path)
+    files.delete(hadoop_path, True)
+
+
 def staged_folder(spark: SparkSession, root: str, day: Date | str | None, today: Date | str) -> str:
     """Folder to load: the day asked for, else today's; a missing folder is an error either way.
 

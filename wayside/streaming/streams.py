@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import DEFAULT_ZONE, epoch_second, utc_time
 from ..functions.guards import non_blank
 from ..operators.flatten import flatten_trip_updates, flatten_vehicle_positions, valid_snapshots
+from ..operators.keys import narrow
 from ..operators.latest import keep_latest
 from ..schemas import FEED_BODY
 from ..sources.feeds import feed_glob, with_path_parts
@@ -45,15 +46,16 @@ def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partiti
     the table. Replaying a batch leaves the table as it was.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        incoming = keep_latest(batch, keys, newest)
-        if incoming.isEmpty():
-            return
-        if path_exists(batch.sparkSession, path):
-            stored = batch.sparkSession.read.schema(incoming.schema).parquet(path)
-            touched = incoming.select(partition).distinct()
-            stored = stored.join(touched, partition, "left_semi").select(*incoming.columns)
-            incoming = keep_latest(stored.unionByName(incoming), keys, newest)
-        rewrite_partition(incoming, path, partition)
+        spark = batch.sparkSession
+        incoming = keep_latest(batch, keys, newest).persist()
+        if not incoming.isEmpty():
+            result = incoming
+            if path_exists(spark, path):
+                stored = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
+                stored = narrow(stored, partition, incoming.select(partition))
+                result = keep_latest(stored.unionByName(incoming), keys, newest)
+            rewrite_partition(result, path, partition)
+        incoming.unpersist()
 
     return write
 
