@@ -49,9 +49,20 @@ def resolve_route(df: DataFrame, dim_route: DataFrame, dim_agency: DataFrame) ->
     return resolve_key(df, routes, "route_id", "routeid", "routekey", "agencykey")
 
 
+def fresh_key(df: DataFrame, key: str) -> DataFrame:
+    """The frame with a text key rebuilt, so that the next join on it gets its own shuffle.
+
+    Adaptive execution splits a skewed join only where both inputs come straight from a shuffle.
+    An input already partitioned by the key, as after an aggregation, would join in the same stage
+    and a hot key on the other side would stay in one task. The price is one more shuffle of the
+    smaller, reduced input; nothing where Spark broadcasts it.
+    """
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
 def newest_rows(dim: DataFrame, natural: str) -> DataFrame:
     """One row per natural key: that of the newest feed version, so coexisting versions never fan out."""
-    return keep_latest(dim, [natural], ["versionkey"])
+    return fresh_key(keep_latest(dim, [natural], ["versionkey"]), natural)
 
 
 def newest_dims(dims: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

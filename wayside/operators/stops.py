@@ -12,7 +12,7 @@ from ..functions.clock import date_key, deviation_seconds, gtfs_minute_key, gtfs
 from ..functions.guards import is_int, non_blank
 from ..schemas import FACT_STOP, conform
 from .calendar import service_days
-from .keys import new_rows_only, resolve_key, resolve_route, version_key
+from .keys import fresh_key, new_rows_only, resolve_key, resolve_route, version_key
 from .latest import keep_latest
 
 Frames = Mapping[str, DataFrame]
@@ -41,7 +41,7 @@ def trip_ends(visits: DataFrame) -> DataFrame:
 
 def mark_ends(visits: DataFrame) -> DataFrame:
     """Flag the origin and terminal visit of each trip."""
-    joined = visits.join(trip_ends(visits), "trip_id")
+    joined = visits.join(fresh_key(trip_ends(visits), "trip_id"), "trip_id")
     return joined.select(
         *visits.columns,
         (F.col("stop_sequence") == F.col("first_seq")).alias("is_origin"),
@@ -57,7 +57,8 @@ def active_trips(trips: DataFrame, services: DataFrame) -> DataFrame:
 def service_calendar(days: DataFrame, condition: str, *details: str) -> DataFrame:
     """Per service the array of its dates (at most one entry per date of the run)."""
     entry = F.struct("service_date", *details)
-    return days.filter(condition).groupBy("service_id").agg(F.sort_array(F.collect_list(entry)).alias("days"))
+    arrays = days.filter(condition).groupBy("service_id").agg(F.sort_array(F.collect_list(entry)).alias("days"))
+    return fresh_key(arrays, "service_id")
 
 
 def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -72,6 +73,7 @@ def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFra
     resolved = dims["trip"].filter("tripkey > 0").select(F.col("tripid").alias("trip_id"), "tripkey")
     trips = stg["trips"].select("trip_id", "route_id", "service_id").join(services, "service_id").join(resolved, "trip_id")
     trips = resolve_route(trips, dims["route"], dims["agency"]).join(trip_ends(visits), "trip_id")
+    trips = fresh_key(trips, "trip_id")
     stops = dims["stop"].filter("stopkey > 0").select(F.col("stopid").alias("stop_id"), "stopkey")
     placed = resolve_key(visits.join(stops, "stop_id"), dims["time"], "minute_key", "timekey", "timekey")
     rows = placed.join(trips, "trip_id").withColumn("service_date", F.explode("days.service_date"))

@@ -13,7 +13,7 @@ from ..functions.guards import is_int, non_blank, numeric_or_null
 from ..functions.ratios import zero_key
 from ..schemas import FACT_TRIP, conform
 from .calendar import service_days
-from .keys import new_rows_only, resolve_key, resolve_route, scope_to, version_key
+from .keys import fresh_key, new_rows_only, resolve_key, resolve_route, scope_to, version_key
 from .latest import keep_latest
 from .stops import service_calendar
 
@@ -64,7 +64,8 @@ def trip_skeleton(
         .join(resolved, "trip_id")
     )
     trips = resolve_route(trips, dims["route"], dims["agency"])
-    trips = trips.join(shape_miles(stg["shapes"]), "shape_id", "left").join(trip_hours(stg["stop_times"]), "trip_id", "left")
+    lengths = fresh_key(shape_miles(stg["shapes"]), "shape_id")
+    trips = trips.join(lengths, "shape_id", "left").join(trip_hours(stg["stop_times"]), "trip_id", "left")
     rows = trips.withColumn("_day", F.explode("days"))
     cancelled = F.col("_day.cancelled")
     vrm, vrh = zero_key("miles"), zero_key("hours")

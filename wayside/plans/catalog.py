@@ -11,7 +11,7 @@ from pyspark.sql.types import DecimalType
 from ..functions import clock, flags, guards
 from ..operators import audit, calendar, days, dims, flatten, gaps, keys, latest, quality, stops, trips
 from ..schemas import DIMENSIONS, conform
-from ..session import scratch_path
+from ..session import configure, scratch_path
 from ..sources.static import append_drifted, reconcile
 from ..streaming import streams
 from . import reports, views
@@ -34,7 +34,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def query(build: Callable[[Lens], DataFrame]) -> Callable[[Lens], DataFrame]:
     """Register a query under its function name."""
-    QUERIES[build.__name__] = lambda spark, folder: plain(build(Lens(spark, folder)))
+    QUERIES[build.__name__] = lambda spark, folder: plain(build(Lens(configure(spark), folder)))
     return build
 
 

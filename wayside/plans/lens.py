@@ -398,16 +398,16 @@ class Lens:
     def fact_stop(self) -> DataFrame:
         """Stop fact: order lines on their order date; one day of shipping delay plays one second."""
         lines = self.table("lineitem").select(
-            F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"),
+            text("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("stop_sequence"), "l_orderkey",
             "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus",
         )
         trips = self.order_trips.select("o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey", "n_regionkey")
-        rows = mark_ends(lines).join(trips, F.col("trip_id") == F.col("o_orderkey"))
+        rows = mark_ends(lines).join(trips, F.col("l_orderkey") == F.col("o_orderkey"))
         dev = F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
         seen = ~((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"))
         date = F.col("o_orderdate").cast("date")
         return conform(rows.select(
-            F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(F.col("trip_id") + 1).alias("tripkey"),
+            F.when(F.col("o_orderpriority") == "5-LOW", 0).otherwise(F.col("l_orderkey") + 1).alias("tripkey"),
             (F.col("c_nationkey") + 1).alias("routekey"),
             (F.col("l_suppkey") + 1).alias("stopkey"),
             date_key(date).alias("datekey"),
