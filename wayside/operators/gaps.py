@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_from_key, date_key, local_day, since
-from .keys import narrow
+from ..functions.clock import date_from_key, date_key, key_days_before, local_day, since
 
 # Days scanned back, job names.
 LOOKBACK_DAYS = 30
@@ -29,13 +28,15 @@ def gap_counters(fact: DataFrame, open_row) -> DataFrame:
     )
 
 
-def fact_gaps(dates: DataFrame, fact: DataFrame, open_row) -> DataFrame:
-    """Days without rows (``missing``) or with open rows (``merge``) among ``dates``.
+def recent_rows(fact: DataFrame, as_of, lookback: int = LOOKBACK_DAYS) -> DataFrame:
+    """Fact rows of the look-back window; a constant bound on the partition column."""
+    return fact.filter(F.col("datekey") >= key_days_before(as_of, lookback))
 
-    The fact is narrowed to those date keys first, so other partitions are not read.
-    """
+
+def fact_gaps(dates: DataFrame, fact: DataFrame, open_row) -> DataFrame:
+    """Days without rows (``missing``) or with open rows (``merge``) among ``dates``."""
     keyed = dates.select("service_date", date_key("service_date").alias("datekey"))
-    counted = keyed.join(gap_counters(narrow(fact, "datekey", keyed), open_row), "datekey", "left")
+    counted = keyed.join(gap_counters(fact, open_row), "datekey", "left")
     state = F.when(F.col("total_count").isNull(), "missing").when(F.col("open_count") > 0, "merge")
     return counted.select("service_date", state.alias("state")).filter("state is not null")
 
@@ -61,6 +62,7 @@ def gap_dates(
     Service days are due for the days the trip job will touch, and for older days with operated
     trips but no service-day row.
     """
+    fact_stop, fact_trip, fact_day = (recent_rows(fact, as_of, lookback) for fact in (fact_stop, fact_trip, fact_day))
     stop_dates = available_dates(stop_updates, F.col("service_date"), as_of, lookback)
     recent = positions.filter(since("timestamp_local", as_of, lookback))
     ping_dates = available_dates(recent, local_day("timestamp_local"), as_of, lookback)
