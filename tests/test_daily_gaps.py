@@ -2,10 +2,8 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import frame, rows
-from wayside.operators import days, gaps
+from wayside.operators import gaps
 from wayside.operators.calendar import date_range
 from wayside.plans import daily, reports, views
 from wayside.schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP, conform

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import frame, rows
+from conftest import frame
 from wayside.functions import clock, flags, guards, ratios
 
 

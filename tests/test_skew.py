@@ -1,7 +1,5 @@
 """One key holding a third of all rows: results stay whole and the work is split."""
 
-from datetime import date, datetime, timedelta
-
 import pytest
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame, rows
+from conftest import rows
 from wayside.operators import stops
 from wayside.operators.calendar import date_range
 

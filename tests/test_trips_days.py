@@ -4,7 +4,6 @@ from decimal import Decimal
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from conftest import frame, rows
 from wayside.operators import days, trips
