@@ -98,6 +98,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[Rule], default: str
     swept = (
         dealt.withColumn("turn", F.lit(1))
         .unionByName(starts.unionByName(ends), allowMissingColumns=True)
+        # Rows dealt out by label alone would do for the sweep, too; then salts would not spread anything.
+        .repartition("top", "salt")
         .withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
         .where("turn = 1")
     )
