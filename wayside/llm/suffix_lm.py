@@ -73,6 +73,17 @@ class Chunk:
     def names(self) -> list[int | None]:
         return [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())]
 
+    def parts(self, size: int = 1 << 19) -> Iterator[Chunk]:
+        """The documents in runs of about ``size`` words, so that what is worked out per token stays small."""
+        ends = np.cumsum(self.lens)
+        at = 0
+        while at < len(self.lens):
+            begin = int(ends[at] - self.lens[at])
+            to = max(at + 1, int(np.searchsorted(ends, begin + size, side="right")))
+            flat = self.flat[begin : int(ends[to - 1])]
+            yield Chunk(self.ids[at:to], self.known[at:to], self.lens[at:to], flat, self.kind, self.often)
+            at = to
+
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Classes with a start before and an end after each document, and how far each is from its start."""
         sizes = self.lens + 2
@@ -163,13 +174,17 @@ def grow(coded: DataFrame, tree: SuffixTree, frequent: float = FREQUENT, depth:
         def count(batches: Iterator[pa.RecordBatch], length=length, looked_at=looked_at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0).to_pylist():
-                    chunk = Chunk.read(data)
-                    tokens, inside = chunk.tokens()
-                    learn = np.repeat(np.array([in_training(i) for i in chunk.names()], bool), chunk.lens + 2)
-                    at, key = contexts(tokens, inside, length)
-                    state, there = _find(looked_at, key)
-                    there &= learn[at]
-                    pair, n = np.unique((state[there] << BITS) + tokens[at[there]], return_counts=True)
+                    found = [np.zeros((2, 0), np.int64)]
+                    for part in Chunk.read(data).parts():
+                        tokens, inside = part.tokens()
+                        learn = np.repeat(np.array([in_training(i) for i in part.names()], bool), part.lens + 2)
+                        at, key = contexts(tokens, inside, length)
+                        state, there = _find(looked_at, key)
+                        there &= learn[at]
+                        found.append(np.stack(np.unique((state[there] << BITS) + tokens[at[there]], return_counts=True)))
+                    every = np.concatenate(found, axis=1)
+                    pair, where = np.unique(every[0], return_inverse=True)
+                    n = np.bincount(where, every[1], len(pair)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(looked_at[pair >> BITS]), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)],
                         names=["context", "symbol", "n"],
@@ -310,17 +325,20 @@ def score_texts(docs: DataFrame, frequent: float = FREQUENT, depth: int = DEPTH)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                chunk = Chunk.read(data)
-                owner = np.repeat(np.arange(len(chunk.lens)), chunk.lens)
-                total = lambda v: np.bincount(owner, v[chunk.flat], len(chunk.lens))
-                named = chunk.names()
-                columns = [
-                    pa.array(named, pa.int64()), pa.array([not in_training(i) for i in named], pa.bool_()), pa.array(chunk.lens + 1),
-                    pa.array(total((chunk.often > 0).astype(float)).astype(np.int64) + (ends > 0)),
-                    pa.array(np.full(len(named), tokens, np.int64)),
-                    pa.array(total(np.log10(chunk.often + 1.0) - rare) + base_end), pa.array(sent.value.chunk_scores(chunk)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[n.split()[0] for n in SCHEMA.split(", ")])
+                for part in Chunk.read(data).parts():
+                    yield rows(part)
+
+    def rows(chunk: Chunk) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(chunk.lens)), chunk.lens)
+        total = lambda v: np.bincount(owner, v[chunk.flat], len(chunk.lens))
+        named = chunk.names()
+        columns = [
+            pa.array(named, pa.int64()), pa.array([not in_training(i) for i in named], pa.bool_()), pa.array(chunk.lens + 1),
+            pa.array(total((chunk.often > 0).astype(float)).astype(np.int64) + (ends > 0)),
+            pa.array(np.full(len(named), tokens, np.int64)),
+            pa.array(total(np.log10(chunk.often + 1.0) - rare) + base_end), pa.array(sent.value.chunk_scores(chunk)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[n.split()[0] for n in SCHEMA.split(", ")])
 
     return coded.select("data").mapInArrow(score, SCHEMA)
 
