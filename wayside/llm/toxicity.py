@@ -27,7 +27,8 @@ from wayside.llm.labelled import scored, scorer, training_sample
 PER_CLASS, THRESHOLD = 3_000, 0.5
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, SIZE, HIDDEN = 1 << 17, 1 << 14, 12, 8
-ROUNDS, PASSES, BATCH, RATE = 3, 3, 256, 0.01
+#: Passes over the windows in a round, more where that makes fewer than ``STEPS`` steps.
+ROUNDS, PASSES, STEPS, BATCH, RATE = 3, 3, 90, 256, 0.01
 #: Words whose projections a task remembers, and characters scored together.
 MEMORY, BLOCK = 200_000, 1 << 20
 #: Marks cut off both ends of a word.
@@ -70,12 +71,13 @@ class Network:
         w |= {"aw": normal(2 * HIDDEN, HIDDEN), "ab": np.zeros(HIDDEN, np.float32), "av": normal(HIDDEN), "ow": normal(2 * HIDDEN), "ob": np.zeros(1, np.float32)}
         return Network(w)
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        """One row per word."""
+    def inputs(self, words: list[bytes], keep: np.ndarray | None = None) -> np.ndarray:
+        """One row per word; ``keep`` scales what the word table says."""
         slot, gram, starts = keys(words)
         sizes = np.diff(np.append(starts, len(gram)))
         means = np.add.reduceat(self.weights["gram"][gram], starts, axis=0) / sizes[:, None].astype(np.float32)
-        return self.weights["word"][slot] + means
+        whole = self.weights["word"][slot]
+        return (whole if keep is None else whole * keep) + means
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """What the gates of both directions get from inputs."""
@@ -259,7 +261,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 order = np.lexsort((-logit, owner))
                 top = order[np.unique(owner[order], return_index=True)[1]]
                 chosen[at : at + 64] = first[top]
-        for _ in range(PASSES):
+        steps = -(-(len(y) + int((y == 0).sum())) // BATCH)
+        for _ in range(max(PASSES, -(-STEPS // steps))):
             _pass(net, memory, docs, y, chosen, draw)
     return net
 
@@ -281,7 +284,9 @@ def _pass(net: Network, memory: dict, docs: list, y: np.ndarray, chosen: np.ndar
             places[: len(words), n] = [number[x] for x in words]
         mask = places < len(listed)
         mask |= ~mask.any(0)
-        x = np.concatenate((net.inputs(listed), np.zeros((1, SIZE), np.float32)))
+        # Half of the words are known by their trigrams only, so that unseen words are read, too.
+        keep = (draw.random((len(listed), 1)) < 0.5).astype(np.float32)
+        x = np.concatenate((net.inputs(listed, keep), np.zeros((1, SIZE), np.float32)))
         gates = net.project(x)[places]
         logits, kept = net.run(gates, mask, keep=True)
         error = ((_sigmoid(logits) - wanted[part]) * weigh[part] / len(part)).astype(np.float32)
@@ -298,7 +303,7 @@ def _pass(net: Network, memory: dict, docs: list, y: np.ndarray, chosen: np.ndar
         sizes = np.diff(np.append(starts, len(gram)))
         _step(net.weights, memory, g)
         for name, rows, values in (
-            ("word", slot, d_x[:-1]), ("gram", gram, np.repeat(d_x[:-1] / sizes[:, None].astype(np.float32), sizes, axis=0)),
+            ("word", slot, d_x[:-1] * keep), ("gram", gram, np.repeat(d_x[:-1] / sizes[:, None].astype(np.float32), sizes, axis=0)),
         ):
             own, where = np.unique(rows, return_inverse=True)
             total = np.zeros((len(own), SIZE), np.float32)
