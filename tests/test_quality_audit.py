@@ -99,4 +99,4 @@ def test_digest_headlines(spark):
     used = frame(spark, "run_date date, fallback_date date", (date(2024, 1, 3), date(2024, 1, 2)))
     seen = frame(spark, "last_seen_date date, feedhash string", (date(2024, 1, 1), "0123456789abcdef"))
     got = [tuple(audit.daily_digest(runs, checks, used, seen, f"2024-01-0{d}").select("headline", "feed_hash", "fallback_used").first()) for d in (1, 2, 3, 4)]
-    assert got == [("OK", "0123456789ab", False), ("ISSUES", "UNKNOWN", False), ("FAILED", "UNKNOWN", True), ("FAILED", "UNKNOWN", False)]
+    assert got == [("OK", "0123456789abcdef", False), ("ISSUES", "UNKNOWN", False), ("FAILED", "UNKNOWN", True), ("FAILED", "UNKNOWN", False)]

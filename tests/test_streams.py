@@ -69,6 +69,13 @@ def test_outage_counts_missing_windows(spark):
     assert got == [25, 30, 35]
 
 
+def test_outage_after_the_last_poll(spark):
+    windows = streams.poll_windows(polls(spark, (0, 4, 0), (5, 4, 0), (10, 4, 0)))
+    starts = lambda **k: [r.window_start.minute for r in streams.outage_windows(windows, **k).orderBy("window_start").collect()]
+    assert starts() == []
+    assert starts(as_of=F.lit(datetime(2024, 1, 1, 0, 50)).cast("timestamp_ntz")) == [35, 40, 45]
+
+
 def test_streaming_failures_equal_batch(spark, tmp_path):
     source = str(tmp_path / "log")
     log = polls(spark, (0, 4, 0), (4, 3, 1), (11, 2, 2)).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -93,7 +93,7 @@ def daily_digest(runs: DataFrame, validations: DataFrame, fallbacks: DataFrame,
         F.coalesce("is_new_version", F.lit(False)).alias("is_new_version"),
         F.coalesce("file_count", F.lit(0)).alias("file_count"),
         "error",
-        F.coalesce(F.substring("feedhash", 1, 12), F.lit("UNKNOWN")).alias("feed_hash"),
+        F.coalesce("feedhash", F.lit("UNKNOWN")).alias("feed_hash"),
         valid.alias("validation_passed"),
         F.coalesce("_v.passed", F.lit(0)).alias("tables_passed"),
         F.coalesce("_v.total_tables", F.lit(0)).alias("tables_total"),

@@ -27,6 +27,10 @@ def with_feed_age(feeds: DataFrame, polled_at: Column | str, limit: int = STALE_
     return feeds.withColumns({"feed_age": age, "is_stale": age > limit})
 
 
+# What the feed format means by an absent enumeration.
+SCHEDULED, IN_TRANSIT_TO = 0, 2
+
+
 def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
@@ -46,14 +50,14 @@ def flatten_trip_updates(feeds: DataFrame, zone: str = DEFAULT_ZONE, cutoff_hour
     arrival = F.col("_stu.arrival")
     arrives = _positive(F.col("_stu.arrival.time"))
     departs = _positive(F.col("_stu.departure.time"))
-    direction = F.col("_trip.direction_id")
+    direction = F.coalesce("_trip.direction_id", F.lit(0))
     return conform(
         rows.select(
             "agency_key",
             F.col("_trip.trip_id").alias("trip_id"),
             blank_to_null("_trip.route_id").alias("route_id"),
             F.when(direction.isin(0, 1), direction).alias("direction_id"),
-            flags.decode(flags.SCHEDULE_RELATIONSHIP, "_trip.schedule_relationship").alias("schedule_relationship"),
+            flags.decode(flags.SCHEDULE_RELATIONSHIP, F.coalesce("_trip.schedule_relationship", F.lit(SCHEDULED))).alias("schedule_relationship"),
             service_day(local_time(F.col("_feed"), zone), cutoff_hour).alias("service_date"),
             F.col("_stu.stop_id").alias("stop_id"),
             F.col("_stu.stop_sequence").alias("stop_sequence"),
@@ -85,7 +89,7 @@ def flatten_vehicle_positions(feeds: DataFrame, zone: str = DEFAULT_ZONE) -> Dat
             F.col("_v.position.latitude").alias("latitude"),
             F.col("_v.position.longitude").alias("longitude"),
             F.nullif(F.col("_v.current_stop_sequence"), F.lit(0)).alias("current_stop_sequence"),
-            flags.decode(flags.VEHICLE_STATUS, "_v.current_status").alias("current_status"),
+            flags.decode(flags.VEHICLE_STATUS, F.coalesce("_v.current_status", F.lit(IN_TRANSIT_TO))).alias("current_status"),
             utc_time(seen).alias("timestamp_utc"),
             local_time(seen, zone).alias("timestamp_local"),
             utc_time("_feed").alias("feed_timestamp_utc"),

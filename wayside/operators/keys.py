@@ -84,8 +84,8 @@ def narrow(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def scope_to(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` occurs in ``wanted``."""
-    return df.join(wanted.select(key), key, "left_semi").select(*df.columns)
+    """Rows of ``df`` whose ``key`` occurs in ``wanted``, of which only the distinct keys are moved."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi").select(*df.columns)
 
 
 def new_rows_only(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

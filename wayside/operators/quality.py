@@ -241,5 +241,5 @@ def preflight_counts(dims: Mapping[str, DataFrame], *needed: str) -> DataFrame:
 
 def days_without_pings(positions: DataFrame, dates: DataFrame) -> DataFrame:
     """Dates for which no vehicle reported; merging them leaves every trip missed (a warning)."""
-    seen = positions.select(F.col("timestamp_local").cast("date").alias("service_date"))
+    seen = positions.select(F.col("timestamp_local").cast("date").alias("service_date")).distinct()
     return dates.join(seen, "service_date", "left_anti")

@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 #: Span that holds every order date, so the views below cover the whole tables.
-ORDER_START, ORDER_END, ORDER_SPAN_DAYS = "1995-01-01", "2001-12-31", 4000
+ORDER_END, ORDER_SPAN_DAYS = "2001-12-31", 4000
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -367,7 +367,7 @@ def otp_by_route_month(t: Lens) -> DataFrame:
 
 @query
 def daily_otp_summary(t: Lens) -> DataFrame:
-    return views.daily_otp_summary(stops.stop_official(t.fact_stop), t.dims, ORDER_END, ORDER_START)
+    return views.daily_otp_summary(stops.stop_official(t.fact_stop), t.dims)
 
 
 @query
@@ -467,7 +467,7 @@ def alert_bars(t: Lens) -> DataFrame:
 
 
 def _daily(t: Lens) -> DataFrame:
-    return views.daily_otp_summary(stops.stop_official(t.fact_stop), t.dims, ORDER_END, ORDER_START)
+    return views.daily_otp_summary(stops.stop_official(t.fact_stop), t.dims)
 
 
 @query

@@ -138,9 +138,10 @@ class Warehouse:
             self.load_days(dates)
 
     def run_work_list(self, stg: Frames, dims: Frames, updates: DataFrame, positions: DataFrame, as_of) -> DataFrame:
-        """Run exactly the days the inspection found; returns the list (at most three rows)."""
+        """Run exactly the days the inspection found; returns the list as it was found (at most three rows)."""
         work = self.work_list(updates, positions, as_of)
-        todo = {row.job: row for row in work.collect()}
+        found = work.collect()
+        todo = {row.job: row for row in found}
         def dates_of(job):
             days = [F.lit(d) for d in todo[job].gap_dates]
             return self.spark.range(1).select(F.explode(F.array(*days)).alias("service_date"))
@@ -151,7 +152,7 @@ class Warehouse:
             self.load_trips(stg, dims, positions, dates_of(gaps.TRIP_JOB), todo[gaps.TRIP_JOB].phase)
         if not todo[gaps.DAY_JOB].skip:
             self.load_days(dates_of(gaps.DAY_JOB))
-        return work
+        return self.spark.createDataFrame(found, work.schema)
 
     def run_range(self, stg: Frames, dims: Frames, updates: DataFrame, positions: DataFrame, start: Date, end: Date,
                   phase: str = "both", force: bool = False, days_per_job: int | None = None) -> None:

@@ -502,7 +502,7 @@ BODIES: dict[str, str] = {
     "daily_digest": """WITH v AS (SELECT CAST(ts AS DATE) AS d, count(*) FILTER (value > 100) = 0 AS ok, count(*) FILTER (event_type = 'view') AS p, count(*) AS n,
           bool_or(event_type = 'error') AS fb, max(sha256(CAST(event_id AS VARCHAR))) AS h FROM events GROUP BY 1)
         SELECT x.d AS run_date, COALESCE(status, 'UNKNOWN') AS run_status, run_timestamp, COALESCE(is_new_version, FALSE) AS is_new_version, COALESCE(file_count, 0) AS file_count, error,
-        COALESCE(substr(h, 1, 12), 'UNKNOWN') AS feed_hash, COALESCE(ok, FALSE) AS validation_passed, CAST(COALESCE(p, 0) AS INTEGER) AS tables_passed, CAST(COALESCE(n, 0) AS INTEGER) AS tables_total,
+        COALESCE(h, 'UNKNOWN') AS feed_hash, COALESCE(ok, FALSE) AS validation_passed, CAST(COALESCE(p, 0) AS INTEGER) AS tables_passed, CAST(COALESCE(n, 0) AS INTEGER) AS tables_total,
         COALESCE(fb, FALSE) AS fallback_used, CASE WHEN fb THEN x.d - 1 END AS fallback_date,
         CASE WHEN status = 'SUCCEEDED' AND ok THEN 'OK' WHEN status = 'SUCCEEDED' THEN 'ISSUES' ELSE 'FAILED' END AS headline
         FROM (VALUES (DATE '2024-01-15'), (DATE '2024-01-16'), (DATE '2023-01-01')) x(d) LEFT JOIN lastrun r ON r.run_date = x.d LEFT JOIN v ON v.d = x.d""",

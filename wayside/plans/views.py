@@ -21,8 +21,7 @@ Dims = Mapping[str, DataFrame]
 AGENCY = ("agencyname", "mode")
 ROUTE = ("routeid", "routeshortname", "routelongname")
 
-# Bounds of the daily summary and the late-route report.
-SUMMARY_START = "2026-03-23"
+# Bounds of the late-route report.
 LATE_WINDOW_DAYS = 30
 LATE_DAY_PCT = 70
 LATE_MIN_DAYS = 5
@@ -45,12 +44,13 @@ def star(fact: DataFrame, dims: Dims, *date_columns: str) -> DataFrame:
     return with_date(with_agency(fact, dims), dims, *date_columns)
 
 
-def daily_otp_summary(stops: DataFrame, dims: Dims, as_of, start: str = SUMMARY_START) -> DataFrame:
-    """Observations, trips, routes and official share per day up to ``as_of``.
+def daily_otp_summary(stops: DataFrame, dims: Dims, as_of=None, start=None) -> DataFrame:
+    """Observations, trips, routes and official share per day, from ``start`` to ``as_of`` where given.
 
     Rows first collapse to one per (day, trip, route); the two distinct counts run on those.
     """
-    span = stops.filter(F.col("datekey").between(key_days_before(start), key_days_before(as_of)))
+    span = stops if start is None else stops.filter(F.col("datekey") >= key_days_before(start))
+    span = span if as_of is None else span.filter(F.col("datekey") <= key_days_before(as_of))
     per_trip = span.groupBy("datekey", "tripkey", "routekey").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("isofficial").alias("_official")
     )
@@ -208,11 +208,11 @@ def monthly_ntd(days: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def create_views(facts: Mapping[str, DataFrame], dims: Dims, as_of) -> dict[str, DataFrame]:
-    """Every view by name."""
+def create_views(facts: Mapping[str, DataFrame], dims: Dims, as_of, start=None) -> dict[str, DataFrame]:
+    """Every view by name; ``start`` is the first day of the daily summary."""
     stop, trip, day = facts["stop"], facts["trip"], facts["day"]
     return {
-        "daily_otp_summary": daily_otp_summary(stop, dims, as_of),
+        "daily_otp_summary": daily_otp_summary(stop, dims, as_of, start),
         "otp_by_route_month": otp_by_route_month(stop, dims),
         "missed_rate_by_route": missed_rate_by_route(trip, dims),
         "routes_consistently_late": routes_consistently_late(stop, dims, as_of),
@@ -226,9 +226,9 @@ def create_views(facts: Mapping[str, DataFrame], dims: Dims, as_of) -> dict[str,
     }
 
 
-def register_views(facts: Mapping[str, DataFrame], dims: Dims, as_of) -> list[str]:
+def register_views(facts: Mapping[str, DataFrame], dims: Dims, as_of, start=None) -> list[str]:
     """Expose the views to SQL as temporary views; returns their names."""
-    views = create_views(facts, dims, as_of)
+    views = create_views(facts, dims, as_of, start)
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return list(views)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import DEFAULT_ZONE, epoch_second, utc_time
@@ -106,9 +106,12 @@ def stream_failure_windows(log: DataFrame, late: str = "10 minutes", threshold:
     return failure_windows(log.withWatermark("ts", late), threshold)
 
 
-def outage_windows(windows: DataFrame, length: int = OUTAGE_WINDOWS) -> DataFrame:
+def outage_windows(windows: DataFrame, length: int = OUTAGE_WINDOWS, as_of: Column | None = None) -> DataFrame:
     """Windows that end ``length`` windows in a row without success; a window with no poll counts.
 
+    Windows are looked at up to the last one complete at ``as_of`` (a timestamp), or up to the last poll without it, which
+    misses an outage that has not ended.
+
     A window is clear if one of the ``length`` windows up to it succeeded. Every success therefore
     clears the windows from its own to ``length - 1`` later; those not cleared are outages. This
     is two equi-joins on the window start instead of an ordered pass over all time. The first
@@ -116,6 +119,10 @@ def outage_windows(windows: DataFrame, length: int = OUTAGE_WINDOWS) -> DataFram
     """
     step = F.expr(f"interval {ALARM_SECONDS} seconds")
     bounds = windows.agg(F.min("window_start").alias("_from"), F.max("window_start").alias("_to"))
+    if as_of is not None:
+        complete = f"(timestampdiff(SECOND, _from, _as_of) div {ALARM_SECONDS} - 1) * {ALARM_SECONDS}"
+        last = F.expr(f"_from + make_dt_interval(0, 0, 0, {complete})")
+        bounds = bounds.withColumn("_as_of", as_of).withColumn("_to", F.greatest("_to", last))
     spine = bounds.select(F.explode(F.sequence("_from", "_to", step)).alias("window_start"), "_from")
     history = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit((length - 1) * ALARM_SECONDS))
     spine = spine.filter(F.col("window_start") >= F.col("_from") + history).select("window_start")
