@@ -64,6 +64,29 @@ def test_phases(town, live, tmp_path):
         house.run_range(town.stg, town.dims, *live, date(2024, 1, 2), date(2024, 1, 1))
 
 
+def test_days_left_without_trips_are_emptied(town, live, tmp_path):
+    house = daily.Warehouse(town.spark, str(tmp_path))
+    days = date_range(town.spark, "2024-01-01", "2024-01-02")
+    house.run(town.stg, town.dims, *live, days)
+    monday = date_range(town.spark, "2024-01-01", "2024-01-01")
+    no_service = {**town.stg, "calendar": town.stg["calendar"].limit(0), "calendar_dates": town.stg["calendar_dates"].limit(0)}
+    house.load_trips(no_service, town.dims, live[1], monday, phase="skeleton", force_skeleton=True)
+    house.load_days(monday)
+    assert {r.datekey for r in house.trip().collect()} == {r.datekey for r in house.day().collect()} == {20240102}
+
+
+def test_options_reach_the_operators(town, live, tmp_path):
+    names = town.spark.createDataFrame([("north-feed", "1")], "agency_key string, agencyid string")
+    pings = town.pings(("ghost", at(2, 7, 0), "north-feed"), ("ghost", at(2, 8, 0), "north-feed"), ("t2", at(2, 1, 30)))
+    options = daily.Options(cutoff_hour=3, agency_ids=names, added_vrm=None, estimated_scope=False)
+    house = daily.Warehouse(town.spark, str(tmp_path), options)
+    house.load_trips(town.stg, town.dims, pings, date_range(town.spark, "2024-01-01", "2024-01-02"))
+    added = house.trip().filter("tripkey = 0").collect()
+    assert [(r.datekey, r.agencykey, r.reportedvrm) for r in added] == [(20240102, 1, None)]
+    ran = house.trip().filter("tripstatus = 'OPERATED'").collect()
+    assert [(r.datekey, r.tripkey, r.isestimated) for r in ran] == [(20240101, 32, False)]
+
+
 def test_coexisting_versions_do_not_fan_out(town, live, loaded):
     both = {**town.dims, "route": town.dims["route"].unionByName(town.dims["route"].selectExpr("routekey - 10 as routekey", "agencykey", "routeid", "routeshortname", "routelongname", "routetype", "0 as versionkey"))}
     fact = daily.build_trip_fact(town.stg, both, live[1], town.dates)

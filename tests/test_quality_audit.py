@@ -98,5 +98,7 @@ def test_digest_headlines(spark):
                    (date(2024, 1, 1), True, 12, 12), (date(2024, 1, 2), False, 11, 12), (date(2024, 1, 3), True, 12, 12))
     used = frame(spark, "run_date date, fallback_date date", (date(2024, 1, 3), date(2024, 1, 2)))
     seen = frame(spark, "last_seen_date date, feedhash string", (date(2024, 1, 1), "0123456789abcdef"))
-    got = [tuple(audit.daily_digest(runs, checks, used, seen, f"2024-01-0{d}").select("headline", "feed_hash", "fallback_used").first()) for d in (1, 2, 3, 4)]
+    days = frame(spark, "run_date date", *[(date(2024, 1, d),) for d in (1, 2, 3, 4, 4)])
+    digest = audit.daily_digest(runs, checks, used, seen, days).orderBy("run_date")
+    got = [tuple(row) for row in digest.select("headline", "feed_hash", "fallback_used").collect()]
     assert got == [("OK", "0123456789abcdef", False), ("ISSUES", "UNKNOWN", False), ("FAILED", "UNKNOWN", True), ("FAILED", "UNKNOWN", False)]

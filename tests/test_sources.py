@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import frame, rows
-from wayside.operators import flatten
+from wayside.operators import flatten, quality
 from wayside.schemas import FACT_SERVICE_DAY, STAGING_COLUMNS
 from wayside.sources import feeds, sinks, static
 
@@ -59,24 +59,39 @@ def test_replace_partition_keeps_other_days(spark, tmp_path):
     sinks.replace_partition(frame(spark, "d date, v int", (date(2024, 1, 2), 9)), path, "d")
     assert rows(spark.read.parquet(path), "d", "v") == [(date(2024, 1, 1), 1), (date(2024, 1, 2), 9)]
     read = spark.read.parquet(path)
-    sinks.rewrite_partition(read.selectExpr("d", "v + 1 as v").filter("d = date '2024-01-01'"), path, "d")
+    sinks.replace_partition(read.selectExpr("d", "v + 1 as v").filter("d = date '2024-01-01'"), path, "d")  # reads what it replaces
     assert rows(spark.read.parquet(path), "d", "v") == [(date(2024, 1, 1), 2), (date(2024, 1, 2), 9)]
     sinks.overwrite_table(first.limit(1), path)
     assert spark.read.parquet(path).count() == 1
 
 
+def test_replace_days_removes_emptied_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    facts = frame(spark, "datekey int, v int", *[(d, d * 10) for d in (1, 2, 3, 4)])
+    assert sinks.replace_days(facts, path, "datekey", facts) == []
+    stored = sinks.read_table(spark, path, "datekey int, v int")
+    wanted = frame(spark, "datekey int", (1,), (2,), (2,), (9,))
+    assert sinks.replace_days(stored.filter("datekey = 2").selectExpr("datekey", "v + 1 as v"), path, "datekey", wanted) == [1]
+    assert rows(sinks.read_table(spark, path, "datekey int, v int")) == [(2, 21), (3, 30), (4, 40)]
+    assert sinks.replace_days(facts.limit(0), path, "datekey", facts) == [2, 3, 4]
+    assert sinks.read_table(spark, path, "datekey int, v int").count() == 0
+
+
 def test_write_day_skips_empty(spark, tmp_path):
     df = frame(spark, "agency_key string, service_date date, v int", ("a", date(2024, 1, 1), 1), ("b", date(2024, 1, 1), 2))
     path = str(tmp_path / "rt")
-    assert not sinks.write_day(df.limit(0), path)
-    assert sinks.write_day(df, path) and sinks.write_day(df.filter("v = 1"), path)
+    day = date(2024, 1, 1)
+    assert not sinks.write_day(df.limit(0), path, day)
+    assert sinks.write_day(df, path, day) and sinks.write_day(df.filter("v = 1"), path, day)
+    assert not sinks.write_day(df.limit(0), path, day)
     assert spark.read.parquet(path).count() == 2
 
 
 def test_reports_and_extracts(spark, tmp_path):
     df = frame(spark, "table_name string, overall_passed boolean", ("trips", True))
-    sinks.write_report(df, df, df, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "tables")).count() == 1
+    checks = quality.check_tables(spark, {"fare_rules": None, "stops": None})
+    report = sinks.write_report(checks, str(tmp_path / "report"))
+    assert rows(report) == rows(quality.verdicts(checks)) and spark.read.json(str(tmp_path / "report" / "summary")).count() == 1
     views = {name: df for name in sinks.EXTRACTS}
     assert sinks.refresh_extracts(views, str(tmp_path / "out")) == list(sinks.EXTRACTS)
     assert spark.read.parquet(str(tmp_path / "out" / "voms")).count() == 1

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import gtfs_date
 from ..functions.ratios import zero_key
 from ..schemas import DIMENSIONS, conform
-from .keys import assign_keys
-from .latest import latest_run
+from .keys import assign_keys, narrow
+from .latest import keep_latest
 
 
 def feed_hash(content: str = "content"):
@@ -65,21 +65,20 @@ def latest_manifest(manifests: DataFrame, as_of) -> DataFrame:
     )
 
 
-def daily_digest(runs: DataFrame, validations: DataFrame, fallbacks: DataFrame, versions_seen: DataFrame, day) -> DataFrame:
-    """One row with the state of the day: run, feed version, validation, fallback and headline.
+def daily_digest(runs: DataFrame, validations: DataFrame, fallbacks: DataFrame, versions_seen: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row per date of ``dates`` (run_date): last run, feed version, validation, fallback and headline.
 
     ``versions_seen`` is matched by the date the hash was last seen.
     """
-    date = F.lit(day).cast("date")
-    spine = runs.sparkSession.range(1).select(date.alias("run_date"))
-    run = latest_run(runs, day).select("run_date", "status", "run_timestamp", "is_new_version", "file_count", "error")
-    checks = validations.filter(F.col("run_date") == date).groupBy("run_date").agg(
+    spine = dates.select("run_date").distinct()
+    run = keep_latest(narrow(runs, "run_date", spine), ["run_date"], ["run_timestamp"])
+    run = run.select("run_date", "status", "run_timestamp", "is_new_version", "file_count", "error")
+    checks = narrow(validations, "run_date", spine).groupBy("run_date").agg(
         F.max(F.struct("overall_passed", "passed", "total_tables")).alias("_v")
     )
-    used = fallbacks.filter(F.col("run_date") == date).groupBy("run_date").agg(F.min("fallback_date").alias("fallback_date"))
-    seen = versions_seen.filter(F.col("last_seen_date") == date).groupBy(F.col("last_seen_date").alias("run_date")).agg(
-        F.max("feedhash").alias("feedhash")
-    )
+    used = narrow(fallbacks, "run_date", spine).groupBy("run_date").agg(F.min("fallback_date").alias("fallback_date"))
+    seen = narrow(versions_seen.withColumnRenamed("last_seen_date", "run_date"), "run_date", spine)
+    seen = seen.groupBy("run_date").agg(F.max("feedhash").alias("feedhash"))
     joined = spine
     for part in (run, checks, used, seen):
         joined = joined.join(part, "run_date", "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import date_key, gtfs_date, gtfs_seconds
+from ..functions.clock import DAY_SECONDS, date_key, gtfs_date, gtfs_seconds
 from ..functions.guards import non_blank, numeric_or_null
 from ..functions.ratios import zero_key
 from ..schemas import DIMENSIONS, conform
@@ -205,25 +205,31 @@ def dim_stop_transfer(transfers: DataFrame, stops: DataFrame, versions: DataFram
 
 
 def dim_headway(
-    stop_times: DataFrame, trips: DataFrame, routes: DataFrame, windows: Sequence[tuple[int, int]], previous: DataFrame | None = None
+    stop_times: DataFrame, trips: DataFrame, routes: DataFrame, services: DataFrame, windows: Sequence[tuple[int, int]],
+    previous: DataFrame | None = None,
 ) -> DataFrame:
-    """Scheduled headway of each route in minute windows of the day: mean gap between departures.
+    """Scheduled headway of each route in minute windows of the day: mean gap between departures of one service day.
 
-    The mean gap between the first and the last of n departures is their distance over n - 1, so
-    two extremes and a count replace an ordered pass over each route's departures. Trips of all
-    services of a route count together, as the dimension has no service column.
+    ``services`` (service_id, service_date) holds the active services of the days to average over. A departure past
+    midnight counts by its time on the clock. The gaps of n departures add up to the distance of the first and the last,
+    so two extremes and a count per service replace an ordered pass; services unfold into their days only after that.
     """
     starts = stop_times.filter(non_blank("departure_time")).groupBy("trip_id")
-    starts = starts.agg(F.min(gtfs_seconds("departure_time")).alias("departs"))
-    placed = resolve_key(starts.join(trips.select("trip_id", "route_id"), "trip_id"), routes, "route_id", "routeid", "routekey")
+    starts = starts.agg((F.min(gtfs_seconds("departure_time")) % DAY_SECONDS).alias("departs"))
+    known = trips.select("trip_id", "route_id", "service_id")
+    placed = resolve_key(starts.join(known, "trip_id"), routes, "route_id", "routeid", "routekey")
     bounds = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in windows])
-    minute = F.floor(F.col("departs") / 60) % 1440
+    minute = F.floor(F.col("departs") / 60)
     placed = placed.withColumn("_w", F.explode(F.filter(bounds, lambda w: minute.between(w["a"], w["b"]))))
-    grouped = placed.groupBy("routekey", F.col("_w.a").alias("timewindowstart"), F.col("_w.b").alias("timewindowend")).agg(
+    place = ["routekey", F.col("_w.a").alias("timewindowstart"), F.col("_w.b").alias("timewindowend")]
+    per_service = placed.groupBy(*place, "service_id").agg(
         F.min("departs").alias("_first"), F.max("departs").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    gap = F.call_function("div", F.col("_last") - F.col("_first"), F.col("_n") - 1).cast("int")
-    rows = grouped.filter("_n > 1").select(
-        "routekey", "timewindowstart", "timewindowend", gap.alias("scheduledheadwayseconds"), F.lit("TIMETABLE").alias("headwaysource")
+    key = ["routekey", "timewindowstart", "timewindowend"]
+    per_day = per_service.join(services.select("service_id", "service_date"), "service_id").groupBy(*key, "service_date").agg(
+        (F.max("_last") - F.min("_first")).alias("_span"), (F.sum("_n") - 1).alias("_gaps")
     )
-    return _keyed(rows, ["routekey", "timewindowstart", "timewindowend"], "headwaykey", previous, "headway")
+    total = per_day.groupBy(*key).agg(F.sum("_span").alias("_span"), F.sum("_gaps").alias("_gaps")).filter("_gaps > 0")
+    gap = F.call_function("div", F.col("_span"), F.col("_gaps")).cast("int")
+    rows = total.select(*key, gap.alias("scheduledheadwayseconds"), F.lit("TIMETABLE").alias("headwaysource"))
+    return _keyed(rows, key, "headwaykey", previous, "headway")

@@ -89,8 +89,9 @@ def scope_to(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def new_rows_only(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose natural key is not stored yet."""
-    return df.join(existing.select(*keys), list(keys), "left_anti").select(*df.columns)
+    """Rows whose natural key is not stored yet; key 0 of stored rows, which stands for unresolved, is not compared."""
+    stored = existing.filter(F.col(keys[0]) != 0).select(*keys)
+    return df.join(stored, list(keys), "left_anti").select(*df.columns)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
@@ -113,22 +114,25 @@ def assign_keys(rows: DataFrame, natural: Sequence[str], key: str, after: Column
     is ordered in a single task. The numbering depends on the data alone, so a retried task
     repeats it exactly.
     """
-    bucketed = rows.withColumn("_bucket", bucket_of(natural))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return _numbered(rows, natural, key, F.lit(0) if after is None else after, F.lit(None)).select(key, *rows.columns)
+
+
+def _numbered(rows: DataFrame, natural: Sequence[str], key: str, start: Column, known: Column) -> DataFrame:
+    """``rows`` with ``key``: that of ``known``, and for rows without one the next free number after ``start``."""
+    bucketed = rows.withColumns({"_bucket": bucket_of(natural), "_new": known.isNull()})
+    counts = bucketed.groupBy("_bucket").agg(F.count_if("_new").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*natural))
-    start = F.lit(0) if after is None else after
+    inside = F.row_number().over(Window.partitionBy("_bucket", "_new").orderBy(*natural))
     numbered = bucketed.withColumn("_rank", inside).join(F.broadcast(offsets), "_bucket")
-    return numbered.select((start + F.col("_offset") + F.col("_rank")).cast("bigint").alias(key), *rows.columns)
+    return numbered.withColumn(key, F.coalesce(known, start + F.col("_offset") + F.col("_rank")).cast("bigint"))
 
 
 def extend_keys(rows: DataFrame, natural: Sequence[str], key: str, previous: DataFrame | None) -> DataFrame:
     """Keys stable across loads: known natural keys keep theirs, new ones count on from the maximum."""
     if previous is None:
         return assign_keys(rows, natural, key)
-    known = previous.select(*natural, key)
+    known = previous.select(*natural, F.col(key).alias("_known"))
     highest = zero_key(previous.agg(F.max(key)).scalar())
-    kept = rows.join(known, list(natural), "inner").select(key, *rows.columns)
-    fresh = assign_keys(rows.join(known, list(natural), "left_anti").select(*rows.columns), natural, key, highest)
-    return kept.unionByName(fresh)
+    matched = rows.join(known, list(natural), "left").select(*rows.columns, "_known")
+    return _numbered(matched, natural, key, highest, F.col("_known")).select(key, *rows.columns)

@@ -64,8 +64,9 @@ def trip_skeleton(
         .join(resolved, "trip_id")
     )
     trips = resolve_route(trips, dims["route"], dims["agency"])
-    lengths = fresh_key(shape_miles(stg["shapes"]), "shape_id")
-    trips = trips.join(lengths, "shape_id", "left").join(trip_hours(stg["stop_times"]), "trip_id", "left")
+    planned = scheduled_trips(stg["trips"], services)
+    lengths = fresh_key(shape_miles(stg["shapes"], planned), "shape_id")
+    trips = trips.join(lengths, "shape_id", "left").join(trip_hours(stg["stop_times"], planned), "trip_id", "left")
     rows = trips.withColumn("_day", F.explode("days"))
     cancelled = F.col("_day.cancelled")
     vrm, vrh = zero_key("miles"), zero_key("hours")
@@ -217,12 +218,12 @@ def replace_added(fact: DataFrame, added: DataFrame) -> DataFrame:
     return fact.filter(F.col("tripstatus") != flags.ADDED).unionByName(added)
 
 
-def backfill_actual_times(fact: DataFrame, positions: DataFrame, dims: Frames) -> DataFrame:
+def backfill_actual_times(fact: DataFrame, positions: DataFrame, dims: Frames, cutoff_hour: int = 0) -> DataFrame:
     """Set start and end of operated trips from pings and clear the estimated flag.
 
     Where several agencies report one trip, the latest last ping wins.
     """
-    seen = ping_summary(positions, ("trip_id", "agency_key"))
+    seen = ping_summary(positions, ("trip_id", "agency_key"), cutoff_hour)
     trips = dims["trip"].select(F.col("tripid").alias("trip_id"), "tripkey")
     keyed = seen.join(trips, "trip_id").select(
         "tripkey", date_key("service_date").alias("datekey"), "last_ping", "agency_key", "first_ping"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +11,18 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import clock, flags, guards
 from ..operators import audit, calendar, days, dims, flatten, gaps, keys, latest, quality, stops, trips
-from ..schemas import DIMENSIONS, conform
+from ..schemas import DIMENSIONS, FACT_TRIP, conform
 from ..session import configure, scratch_path
+from ..sources import sinks
 from ..sources.static import append_drifted, reconcile
 from ..streaming import streams
 from . import reports, views
-from .lens import AS_OF, Lens
+from .daily import Warehouse
+from .lens import AS_OF, FIRST_DAY, LAST_DAY, Lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Span that holds every order date, so the views below cover the whole tables.
-ORDER_END, ORDER_SPAN_DAYS = "2001-12-31", 4000
-
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, for comparison across engines."""
@@ -84,13 +84,13 @@ def local_times(t: Lens) -> DataFrame:
 
 @query
 def scheduled_and_deviation(t: Lens) -> DataFrame:
-    date = F.col("ts").cast("date")
+    day = F.col("ts").cast("date")
     seconds = (F.col("user_id") * 700).cast("int")
     return t.table("events").select(
         "event_id",
-        clock.scheduled_instant(date, seconds).alias("scheduled"),
-        clock.deviation_seconds(date, seconds, "ts").alias("deviation"),
-        clock.elapsed_seconds(clock.scheduled_instant(date, seconds), F.col("ts")).alias("elapsed"),
+        clock.scheduled_instant(day, seconds).alias("scheduled"),
+        clock.deviation_seconds(day, seconds, "ts").alias("deviation"),
+        clock.elapsed_seconds(clock.scheduled_instant(day, seconds), F.col("ts")).alias("elapsed"),
     )
 
 
@@ -372,7 +372,7 @@ def daily_otp_summary(t: Lens) -> DataFrame:
 
 @query
 def routes_consistently_late(t: Lens) -> DataFrame:
-    return views.routes_consistently_late(stops.stop_official(t.fact_stop), t.dims, ORDER_END, ORDER_SPAN_DAYS)
+    return views.routes_consistently_late(stops.stop_official(t.fact_stop), t.dims, None)
 
 
 @query
@@ -495,6 +495,38 @@ def top10_route_otp(t: Lens) -> DataFrame:
     return reports.top_route_otp(views.otp_by_route_month(stops.stop_official(t.fact_stop), t.dims))
 
 
+# ---- sinks and runs
+
+
+@query
+def extract_roundtrip(t: Lens) -> DataFrame:
+    """A view through its served copy."""
+    out, name = scratch_path(t.spark, "extracts"), "missed_rate_by_route"
+    sinks.refresh_extracts({name: views.missed_rate_by_route(t.fact_trip, t.dims)}, out, (name,))
+    return t.spark.read.parquet(f"{out}/{name}")
+
+
+@query
+def replace_day_roundtrip(t: Lens) -> DataFrame:
+    """Even date keys replaced by their missed trips on every second of them, and by nothing on the others."""
+    path, facts = scratch_path(t.spark, "replaced"), t.fact_trip
+    sinks.replace_days(facts, path, "datekey", facts)
+    stored = sinks.read_table(t.spark, path, FACT_TRIP)
+    even = stored.filter("datekey % 2 = 0")
+    sinks.replace_days(even.filter("datekey % 4 = 0 and tripstatus = 'MISSED'"), path, "datekey", even)
+    return sinks.read_table(t.spark, path, FACT_TRIP).groupBy("datekey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def range_backfill(t: Lens) -> DataFrame:
+    """Service days of a stored warehouse, filled in two parts."""
+    house = Warehouse(t.spark, scratch_path(t.spark, "house"))
+    shapes = dims.dim_shape(t.shapes, t.feed_version)
+    first, last = date.fromisoformat(FIRST_DAY), date.fromisoformat(LAST_DAY)
+    house.run_range(t.timetable, {**t.dims, "shape": shapes}, t.stop_updates, t.positions, first, last, days_per_job=15)
+    return house.day()
+
+
 # ---- feeds
 
 
@@ -515,6 +547,18 @@ def flatten_vehicle_positions(t: Lens) -> DataFrame:
     return flatten.flatten_vehicle_positions(flatten.valid_snapshots(t.vehicle_feed))
 
 
+@query
+def stream_snapshots_flatten(t: Lens) -> DataFrame:
+    """Landed snapshot files, streamed and flattened."""
+    root, out, state = (scratch_path(t.spark, name) for name in ("landed", "flat", "flat-state"))
+    for agency in range(5):
+        body = t.vehicle_feed.filter(F.col("agency_key") == str(agency)).select("length", "header", "entity")
+        body.write.json(f"{root}/{agency}/vehicle-positions/2024/01/30")
+    rows = streams.stream_vehicle_positions(t.spark, root)
+    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
 @query
 def stale_snapshots(t: Lens) -> DataFrame:
     aged = flatten.with_feed_age(t.vehicle_feed, "polled_at")
@@ -589,7 +633,8 @@ def changed_feeds(t: Lens) -> DataFrame:
 
 @query
 def current_feed_version(t: Lens) -> DataFrame:
-    return keys.current_version(_registered(t)).select("versionkey")
+    everything = audit.register_feed_version(_registered(t), _documents_as_feeds(t).drop("lang"))
+    return keys.current_version(everything).select("versionkey")
 
 
 @query
@@ -627,8 +672,8 @@ def daily_digest(t: Lens) -> DataFrame:
     )
     fallbacks = events.filter("event_type = 'error'").select(day.alias("run_date"), F.date_sub(day, 1).alias("fallback_date"))
     seen = events.select(day.alias("last_seen_date"), F.sha2(F.col("event_id").cast("string"), 256).alias("feedhash"))
-    digests = [audit.daily_digest(_runs(t), validations, fallbacks, seen, d) for d in ("2024-01-15", "2024-01-16", "2023-01-01")]
-    return digests[0].unionByName(digests[1]).unionByName(digests[2])
+    silent = t.spark.range(1).select(F.lit("2023-01-01").cast("date").alias("run_date"))
+    return audit.daily_digest(_runs(t), validations, fallbacks, seen, events.select(day.alias("run_date")).unionByName(silent))
 
 
 # ---- schema and validation
@@ -694,6 +739,12 @@ def validation_summary(t: Lens) -> DataFrame:
     return quality.summary(quality.verdicts(_checks(t)))
 
 
+@query
+def validation_report_rows(t: Lens) -> DataFrame:
+    """The report's rows per table, as read back from its files."""
+    return sinks.write_report(_checks(t), scratch_path(t.spark, "report"))
+
+
 @query
 def referential_orphans(t: Lens) -> DataFrame:
     """References of the timetable lens with the stops and trips its dimensions lack taken out."""
@@ -794,7 +845,8 @@ def dim_stop_transfer(t: Lens) -> DataFrame:
 @query
 def scheduled_headways(t: Lens) -> DataFrame:
     windows = [(0, 359), (360, 899), (900, 1439)]
-    return dims.dim_headway(t.stop_times, t.trips, t.dims["route"], windows)
+    services = calendar.active_services(t.calendar, t.calendar_dates, t.dates)
+    return dims.dim_headway(t.stop_times, t.trips, t.dims["route"], services, windows)
 
 
 @query
@@ -823,7 +875,10 @@ def feed_failure_windows(t: Lens) -> DataFrame:
 
 @query
 def outage_windows(t: Lens) -> DataFrame:
-    return streams.outage_windows(streams.poll_windows(t.poll_log))
+    """Outages as seen an hour after the last poll."""
+    log = t.poll_log
+    seen_at = log.agg(F.max("ts") + F.expr("interval 1 hour")).scalar()
+    return streams.outage_windows(streams.poll_windows(log), as_of=seen_at)
 
 
 def _event_stream(t: Lens) -> Lens:

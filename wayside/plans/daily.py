@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date as Date
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import date_key, local_day
+from ..functions import flags
+from ..functions.clock import date_key, service_day
 from ..operators import days as day_ops
 from ..operators import gaps
 from ..operators import stops as stop_ops
@@ -19,12 +20,28 @@ from ..operators.calendar import date_range
 from ..operators.keys import narrow, newest_dims
 from ..operators.quality import preflight
 from ..schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP
-from ..sources.sinks import read_table, replace_partition, rewrite_partition
+from ..sources.sinks import read_table, replace_days
 
 Frames = Mapping[str, DataFrame]
 PHASES = ("skeleton", "merge", "both")
 
 
+@dataclass(frozen=True)
+class Options:
+    """Choices of a run, as the operators document them."""
+
+    #: Pings before this hour belong to the day before.
+    cutoff_hour: int = 0
+    #: Feed names of agencies (agency_key) and their timetable ids (agencyid).
+    agency_ids: DataFrame | None = None
+    #: Miles of added trips: "hours", or None for none.
+    added_vrm: str | None = "hours"
+    #: Whether merged trips count as estimated.
+    estimated_scope: bool = True
+    #: Rule for trips past midnight in the peak count, "wrap" or "clock".
+    overnight: str = "wrap"
+
+
 def _check_phase(phase: str) -> None:
     if phase not in PHASES:
         raise ValueError(f"phase must be one of {PHASES}, not {phase!r}")
@@ -35,12 +52,13 @@ def on_dates(fact: DataFrame, dates: DataFrame) -> DataFrame:
     return narrow(fact, "datekey", dates.select(date_key("service_date").alias("datekey")))
 
 
-def pings_on(positions: DataFrame, dates: DataFrame) -> DataFrame:
-    """Pings of the dates' calendar days; the bounds on the time itself can skip row groups."""
+def pings_on(positions: DataFrame, dates: DataFrame, cutoff_hour: int = 0) -> DataFrame:
+    """Pings of the service days; the bounds on the time itself can skip row groups."""
     first, last = (dates.agg(f("service_date")).scalar() for f in (F.min, F.max))
     at = F.col("timestamp_local")
-    inside = positions.filter((at >= first.cast("timestamp_ntz")) & (at < F.date_add(last, 1).cast("timestamp_ntz")))
-    days = inside.withColumn("_day", local_day("timestamp_local"))
+    shift = F.make_dt_interval(F.lit(0), F.lit(cutoff_hour), F.lit(0), F.lit(0))
+    after, before = first.cast("timestamp_ntz") + shift, F.date_add(last, 1).cast("timestamp_ntz") + shift
+    days = positions.filter((at >= after) & (at < before)).withColumn("_day", service_day(at, cutoff_hour))
     wanted = dates.select(F.col("service_date").alias("_day")).distinct()
     return days.join(wanted, "_day", "left_semi").select(*positions.columns)
 
@@ -64,11 +82,13 @@ def build_stop_fact(stg: Frames, dims: Frames, updates: DataFrame, dates: DataFr
 
 
 def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: DataFrame, stored: DataFrame | None = None,
-                    phase: str = "both", force: bool = False, force_skeleton: bool = False) -> DataFrame:
+                    phase: str = "both", force: bool = False, force_skeleton: bool = False, options: Options = Options()) -> DataFrame:
     """Trip fact rows of the dates after the phase; ``force_skeleton`` forgets the stored rows."""
     _check_phase(phase)
     dims = newest_dims(dims)
     kept = None if stored is None else on_dates(stored, dates)
+    if kept is not None and phase != "skeleton":
+        kept = kept.filter(F.col("tripstatus") != flags.ADDED)  # all of one key, and found anew below
     fact = kept
     if phase != "merge":
         base = None if force_skeleton else kept
@@ -77,9 +97,10 @@ def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: Data
     if fact is None:
         raise ValueError("the merge phase needs stored rows")
     if phase != "skeleton":
-        pings = pings_on(positions, dates)
-        fact = trip_ops.merge_pings(fact, pings, dims, force)
-        fact = trip_ops.replace_added(fact, trip_ops.added_trips(pings, stg["trips"], dims))
+        pings = pings_on(positions, dates, options.cutoff_hour)
+        fact = trip_ops.merge_pings(fact, pings, dims, force, options.estimated_scope, options.cutoff_hour)
+        added = trip_ops.added_trips(pings, stg["trips"], dims, options.cutoff_hour, options.added_vrm, options.agency_ids)
+        fact = trip_ops.replace_added(fact, added)
         fact = trip_ops.trip_official(fact)
     return fact
 
@@ -90,10 +111,15 @@ class Warehouse:
 
     spark: SparkSession
     root: str
+    options: Options = field(default_factory=Options)
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _store(self, fact: DataFrame, name: str, dates: DataFrame) -> None:
+        """Replace the table's rows of exactly these dates, also of those that came out empty."""
+        replace_days(fact, self._path(name), "datekey", dates.select(date_key("service_date").alias("datekey")))
+
     def stop(self) -> DataFrame:
         return read_table(self.spark, self._path("fact_stop"), FACT_STOP)
 
@@ -107,22 +133,24 @@ class Warehouse:
         if phase != "merge":
             preflight(dims, "trip")
         fact = build_stop_fact(stg, dims, updates, dates, self.stop(), phase, force)
-        rewrite_partition(fact, self._path("fact_stop"), "datekey")
+        self._store(fact, "fact_stop", dates)
 
     def load_trips(self, stg: Frames, dims: Frames, positions: DataFrame, dates: DataFrame, phase: str = "both",
                    force: bool = False, force_skeleton: bool = False) -> None:
         if phase != "merge":
             preflight(dims, "trip", "shape")
-        fact = build_trip_fact(stg, dims, positions, dates, self.trip(), phase, force, force_skeleton)
-        rewrite_partition(fact, self._path("fact_trip"), "datekey")
+        fact = build_trip_fact(stg, dims, positions, dates, self.trip(), phase, force, force_skeleton, self.options)
+        self._store(fact, "fact_trip", dates)
 
     def load_days(self, dates: DataFrame) -> None:
-        replace_partition(day_ops.service_day(on_dates(self.trip(), dates)), self._path("fact_service_day"), "datekey")
+        self._store(day_ops.service_day(on_dates(self.trip(), dates), self.options.overnight), "fact_service_day", dates)
 
     def backfill_times(self, dims: Frames, positions: DataFrame, dates: DataFrame) -> None:
         """Early start and end times of trips already operated, right after a feed day is parsed."""
-        fact = trip_ops.backfill_actual_times(on_dates(self.trip(), dates), positions, dims)
-        rewrite_partition(fact, self._path("fact_trip"), "datekey")
+        stored = on_dates(self.trip(), dates)
+        pings = pings_on(positions, dates, self.options.cutoff_hour)
+        timed = trip_ops.backfill_actual_times(stored.filter("tripkey > 0"), pings, newest_dims(dims), self.options.cutoff_hour)
+        self._store(timed.unionByName(stored.filter("tripkey = 0")), "fact_trip", dates)
 
     def work_list(self, updates: DataFrame, positions: DataFrame, as_of, lookback: int = gaps.LOOKBACK_DAYS) -> DataFrame:
         """What is left to do, per job."""

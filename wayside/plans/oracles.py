@@ -293,7 +293,8 @@ SHARED: dict[str, str] = {
     "pk_new": f"SELECT _key AS partkey, p_name, p_brand FROM {numbered('pk_new_rows', ['p_name', 'p_brand'], '(SELECT max(partkey) FROM pk_old)')}",
     "polls": """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS w, CAST(count(*) FILTER (event_type <> 'error') AS BIGINT) AS ok,
         CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS fail FROM events GROUP BY 1""",
-    "spine": "SELECT unnest(generate_series(min(w), max(w), INTERVAL 5 MINUTE)) AS w FROM polls",
+    "spine": """SELECT unnest(generate_series(min(w), greatest(max(w), time_bucket(INTERVAL 5 MINUTE, (SELECT max(ts) FROM events) + INTERVAL 1 HOUR) - INTERVAL 5 MINUTE),
+        INTERVAL 5 MINUTE)) AS w FROM polls""",
 }
 
 
@@ -494,7 +495,7 @@ BODIES: dict[str, str] = {
     "feed_version_register": """SELECT CAST(versionkey AS INTEGER) AS versionkey, feedhash, ingestedat, feedhash = (SELECT feedhash FROM reg2 ORDER BY ingestedat DESC, feedhash DESC LIMIT 1) AS iscurrent,
         TRUE AS isactive FROM (SELECT * FROM reg1 UNION ALL SELECT * FROM reg2)""",
     "changed_feeds": "SELECT feedhash, ingestedat FROM docs WHERE feedhash NOT IN (SELECT feedhash FROM reg1)",
-    "current_feed_version": "SELECT CAST(versionkey AS INTEGER) AS versionkey FROM reg1 ORDER BY ingestedat DESC, feedhash DESC LIMIT 1",
+    "current_feed_version": "SELECT CAST(versionkey AS INTEGER) AS versionkey FROM reg2 ORDER BY ingestedat DESC, feedhash DESC LIMIT 1",
     "latest_manifest": """SELECT feed_key, DATE '2000-01-01' AS load_date, feed_hash, FALSE AS is_new_version, file_count, TRUE AS fallback, d AS fallback_date FROM (
         SELECT o_orderpriority AS feed_key, CAST(o_orderdate AS DATE) AS d, sha256(CAST(o_orderkey AS VARCHAR)) AS feed_hash, CAST(o_custkey % 12 AS INTEGER) AS file_count FROM orders)
         WHERE d < DATE '2000-01-01' QUALIFY row_number() OVER (PARTITION BY feed_key ORDER BY d DESC, feed_hash DESC) = 1""",
@@ -505,7 +506,7 @@ BODIES: dict[str, str] = {
         COALESCE(h, 'UNKNOWN') AS feed_hash, COALESCE(ok, FALSE) AS validation_passed, CAST(COALESCE(p, 0) AS INTEGER) AS tables_passed, CAST(COALESCE(n, 0) AS INTEGER) AS tables_total,
         COALESCE(fb, FALSE) AS fallback_used, CASE WHEN fb THEN x.d - 1 END AS fallback_date,
         CASE WHEN status = 'SUCCEEDED' AND ok THEN 'OK' WHEN status = 'SUCCEEDED' THEN 'ISSUES' ELSE 'FAILED' END AS headline
-        FROM (VALUES (DATE '2024-01-15'), (DATE '2024-01-16'), (DATE '2023-01-01')) x(d) LEFT JOIN lastrun r ON r.run_date = x.d LEFT JOIN v ON v.d = x.d""",
+        FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events UNION SELECT DATE '2023-01-01') x LEFT JOIN lastrun r ON r.run_date = x.d LEFT JOIN v ON v.d = x.d""",
     "schema_reconcile": """SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, CAST(l_suppkey AS VARCHAR) AS stop_id, CAST(NULL AS VARCHAR) AS arrival_time, CAST(NULL AS VARCHAR) AS departure_time,
         CAST(l_linenumber AS VARCHAR) AS stop_sequence, l_returnflag AS ride_code FROM lineitem""",
     "drifted_append": """SELECT s_name AS stop_name, CAST(s_suppkey AS VARCHAR) AS stop_id, CAST(NULL AS VARCHAR) AS zone_id FROM supplier
@@ -550,9 +551,10 @@ BODIES: dict[str, str] = {
         LEFT JOIN k_dir d ON d.routekey = COALESCE(r.routekey, 0) AND d.directionid = t.direction_id""",
     "dim_stop_transfer": f"""SELECT _key AS stoptransferkey, fromstopkey, tostopkey, transfertype, w AS mintransfertimeseconds, 12 AS versionkey FROM
         {numbered("(SELECT COALESCE(a.stopkey, 0) AS fromstopkey, COALESCE(b.stopkey, 0) AS tostopkey, CAST(s_nationkey % 4 AS INTEGER) AS transfertype, CAST(min(s_suppkey % 600) AS INTEGER) AS w FROM supplier LEFT JOIN d_stop a ON a.stopid = 'S' || s_suppkey LEFT JOIN d_stop b ON b.stopid = 'S' || s_nationkey GROUP BY 1, 2, 3)", ['fromstopkey', 'tostopkey', 'transfertype'])}""",
-    "scheduled_headways": f"""WITH st AS (SELECT trip_id, min({secs('departure_time')}) AS dep FROM tt_stop_times WHERE departure_time <> '' GROUP BY 1),
-        p AS (SELECT COALESCE(r.routekey, 0) AS routekey, dep, dep // 60 % 1440 AS m FROM st JOIN tt_trips USING (trip_id) LEFT JOIN d_route r ON r.routeid = route_id),
-        w AS (SELECT routekey, a AS timewindowstart, b AS timewindowend, dep - lag(dep) OVER (PARTITION BY routekey, a ORDER BY dep) AS gap
+    "scheduled_headways": f"""WITH st AS (SELECT trip_id, min({secs('departure_time')}) % 86400 AS dep FROM tt_stop_times WHERE departure_time <> '' GROUP BY 1),
+        p AS (SELECT COALESCE(r.routekey, 0) AS routekey, service_date, dep, dep // 60 AS m FROM st JOIN tt_trips t USING (trip_id)
+          JOIN active a ON a.service_id = t.service_id LEFT JOIN d_route r ON r.routeid = route_id),
+        w AS (SELECT routekey, a AS timewindowstart, b AS timewindowend, dep - lag(dep) OVER (PARTITION BY routekey, service_date, a ORDER BY dep) AS gap
           FROM p JOIN (VALUES (0, 359), (360, 899), (900, 1439)) x(a, b) ON m BETWEEN a AND b),
         g AS (SELECT routekey, timewindowstart, timewindowend, CAST(sum(gap) // count(gap) AS INTEGER) AS scheduledheadwayseconds FROM w GROUP BY 1, 2, 3 HAVING count(gap) > 0)
         SELECT _key AS headwaykey, routekey, timewindowstart, timewindowend, scheduledheadwayseconds, 'TIMETABLE' AS headwaysource FROM
@@ -568,4 +570,11 @@ BODIES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY agency_key, vehicle_id, seen_at ORDER BY fed DESC, trip_id DESC) = 1""",
 }
 
+# What passes through files and stored tables must come back the same.
+BODIES["validation_report_rows"] = BODIES["table_verdicts"]
+BODIES["extract_roundtrip"] = BODIES["missed_trip_rate_by_route"]
+BODIES["range_backfill"] = BODIES["service_day_from_timetable"]
+BODIES["replace_day_roundtrip"] = "SELECT datekey, count(*) AS n FROM ft WHERE datekey % 2 = 1 OR (datekey % 4 = 0 AND tripstatus = 'MISSED') GROUP BY 1"
+BODIES["stream_snapshots_flatten"] = BODIES["flatten_vehicle_positions"]
+
 ORACLES: dict[str, str] = {name: compose(body) for name, body in BODIES.items()}

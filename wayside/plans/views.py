@@ -107,11 +107,13 @@ def missed_rate_by_route(trips: DataFrame, dims: Dims) -> DataFrame:
 
 
 def routes_consistently_late(stops: DataFrame, dims: Dims, as_of, window_days: int = LATE_WINDOW_DAYS) -> DataFrame:
-    """Routes below 70 % on time on at least five days of the window, worst first.
+    """Routes below 70 % on time on at least five days of the window before ``as_of`` (None: of all days), worst first.
 
     Daily percentages are averaged as whole numbers of tenths, so the rounding is exact.
     """
-    recent = stops.filter(F.col("isofficial") & (F.col("datekey") >= key_days_before(as_of, window_days)))
+    recent = stops.filter("isofficial")
+    if as_of is not None:
+        recent = recent.filter(F.col("datekey") >= key_days_before(as_of, window_days))
     per_day = recent.groupBy("agencykey", "routekey", "datekey").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("isontime").alias("_ontime")
     )

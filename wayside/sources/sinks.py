@@ -6,9 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.quality import summary, verdicts
 from ..schemas import columns_of
-from ..session import scratch_path
-from .static import delete_path, path_exists
+from .static import delete_path, list_files, path_exists
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
@@ -21,37 +21,57 @@ def replace_partition(df: DataFrame, path: str, *columns: str) -> None:
 
     The rebalance hint gathers each partition's rows before the write, and adaptive execution
     splits a large day over several tasks and merges small ones, so neither one hot day nor
-    hundreds of tiny files result.
+    hundreds of tiny files result. ``df`` may read the table it replaces: new files are written
+    aside and swapped in once all tasks have succeeded.
     """
     spread = df.hint("rebalance", *columns)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
-def rewrite_partition(df: DataFrame, path: str, *columns: str) -> None:
-    """Replace partitions of a table that ``df`` itself was read from.
+def _files(spark: SparkSession, path: str, column: str, days) -> dict:
+    """Data files of each day of a table, by day; the list of days is short."""
+    return {day: list_files(spark, f"{path}/{column}={day}/*") for day in days}
 
-    The new rows are first written to the shared folder and the target is replaced from there, so
-    no partition is overwritten while a task may still have to read it again.
+
+def replace_days(df: DataFrame, path: str, column: str, wanted: DataFrame) -> list:
+    """Replace the partitions of all ``wanted`` days; those ``df`` has no rows for are removed.
+
+    ``wanted`` holds ``column`` and is a short list. A day whose files are still the old ones after the write got no rows.
+    A run that fails before the removal leaves old days in place and may be repeated. Returns the days removed.
     """
     spark = df.sparkSession
-    staged = scratch_path(spark, "rewrite")
-    df.write.mode("overwrite").parquet(staged)
-    replace_partition(spark.read.schema(df.schema).parquet(staged), path, *columns)
-    delete_path(spark, staged)
+    days = sorted(row[0] for row in wanted.select(column).distinct().collect())
+    before = _files(spark, path, column, days)
+    replace_partition(df, path, column)
+    after = _files(spark, path, column, days)
+    emptied = [day for day in days if before[day] and before[day] == after[day]]
+    for day in emptied:
+        delete_path(spark, f"{path}/{column}={day}")
+    return emptied
 
 
-def write_day(df: DataFrame, path: str, day_column: str = "service_date") -> bool:
-    """Store parsed feed rows per agency and day; nothing is written for an empty frame."""
-    if df.isEmpty():
-        return False
+def write_day(df: DataFrame, path: str, *days, day_column: str = "service_date") -> bool:
+    """Store parsed feed rows per agency and day, replacing what the same agencies and days had.
+
+    An empty frame replaces nothing. Returns whether any of ``days`` got rows.
+    """
+    spark = df.sparkSession
+    before = _files(spark, f"{path}/*", day_column, days)
     replace_partition(df, path, "agency_key", day_column)
-    return True
+    return _files(spark, f"{path}/*", day_column, days) != before
+
 
+def write_report(checks: DataFrame, path: str) -> DataFrame:
+    """Validation report as JSON: check rows, one row per table and the summary; returns the rows per table.
 
-def write_report(checks: DataFrame, verdict_rows: DataFrame, summary_row: DataFrame, path: str) -> None:
-    """Validation report: check rows, one row per table and the summary, as JSON."""
-    for name, df in (("checks", checks), ("tables", verdict_rows), ("summary", summary_row)):
-        df.write.mode("overwrite").json(f"{path}/{name}")
+    The tables are scanned once, for the check rows; the rest is derived from what was written.
+    """
+    checks.write.mode("overwrite").json(f"{path}/checks")
+    spark = checks.sparkSession
+    verdicts(spark.read.schema(checks.schema).json(f"{path}/checks")).write.mode("overwrite").json(f"{path}/tables")
+    per_table = spark.read.schema(verdicts(checks).schema).json(f"{path}/tables")
+    summary(per_table).write.mode("overwrite").json(f"{path}/summary")
+    return per_table
 
 
 # Views served as extracts.

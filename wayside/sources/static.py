@@ -30,6 +30,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def list_files(spark: SparkSession, pattern: str) -> set[str]:
+    """Paths a glob matches, on any file system Spark can reach."""
+    files, hadoop_path = _file_system(spark, pattern)
+    return {str(status.getPath()) for status in files.globStatus(hadoop_path) or []}
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder this library wrote."""
     files, hadoop_path = _file_system(spark, path)

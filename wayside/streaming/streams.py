@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.clock import DEFAULT_ZONE, epoch_second, utc_time
 from ..functions.guards import non_blank
 from ..operators.flatten import flatten_trip_updates, flatten_vehicle_positions, valid_snapshots
-from ..operators.keys import narrow
 from ..operators.latest import keep_latest
 from ..schemas import FEED_BODY
 from ..sources.feeds import feed_glob, with_path_parts
-from ..sources.sinks import rewrite_partition
+from ..sources.sinks import replace_partition
 from ..sources.static import path_exists
 
 # Alarm period and windows without success that make an outage.
@@ -42,8 +41,8 @@ def stream_vehicle_positions(spark: SparkSession, root: str, zone: str = DEFAULT
 def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partition: str):
     """``foreachBatch`` function that keeps the newest row per key in a partitioned table.
 
-    Only the partitions a batch touches are read and replaced, so its cost follows the batch, not
-    the table. Replaying a batch leaves the table as it was.
+    Only the partitions a batch touches, a short list of days, are read and replaced, so its cost follows the batch,
+    not the table. Replaying a batch leaves the table as it was.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
@@ -52,9 +51,10 @@ def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partiti
             result = incoming
             if path_exists(spark, path):
                 stored = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
-                stored = narrow(stored, partition, incoming.select(partition))
+                days = [row[0] for row in incoming.select(partition).distinct().collect()]
+                stored = stored.filter(F.col(partition).isin(days))
                 result = keep_latest(stored.unionByName(incoming), keys, newest)
-            rewrite_partition(result, path, partition)
+            replace_partition(result, path, partition)
         incoming.unpersist()
 
     return write
