@@ -87,6 +87,26 @@ def test_options_reach_the_operators(town, live, tmp_path):
     assert [(r.datekey, r.tripkey, r.isestimated) for r in ran] == [(20240101, 32, False)]
 
 
+def land_timetable(town, root, **changed):
+    for name, df in {**town.stg, **changed}.items():
+        df.write.option("header", True).csv(f"{root}/2024/01/01/{name}.txt")
+
+
+def test_timetable_day_is_gated_and_skips_known_feeds(town, tmp_path):
+    root, house = str(tmp_path / "static"), daily.Warehouse(town.spark, str(tmp_path / "house"))
+    land_timetable(town, root, stop_times=town.stg["stop_times"].filter("stop_sequence <> 'A1'"))
+    feed = frame(town.spark, "feedhash string, ingestedat timestamp_ntz", ("aa", at(1, 3, 0)))
+    assert house.load_timetable_day(root, date(2024, 1, 1), feed)
+    assert rows(house.staging()["trips"], "trip_id") == rows(town.stg["trips"], "trip_id")
+    assert rows(house.versions(), "versionkey", "feedhash", "iscurrent") == [(1, "aa", True)]
+    assert not house.load_timetable_day(root, date(2024, 1, 1), feed)
+    bad = str(tmp_path / "bad")
+    land_timetable(town, bad, trips=town.stg["trips"].unionByName(town.stg["trips"]))
+    with pytest.raises(ValueError, match="trips"):
+        house.load_timetable_day(bad, date(2024, 1, 1))
+    assert house.staging()["trips"].count() == town.stg["trips"].count()
+
+
 def test_coexisting_versions_do_not_fan_out(town, live, loaded):
     both = {**town.dims, "route": town.dims["route"].unionByName(town.dims["route"].selectExpr("routekey - 10 as routekey", "agencykey", "routeid", "routeshortname", "routelongname", "routetype", "0 as versionkey"))}
     fact = daily.build_trip_fact(town.stg, both, live[1], town.dates)

@@ -547,18 +547,45 @@ def flatten_vehicle_positions(t: Lens) -> DataFrame:
     return flatten.flatten_vehicle_positions(flatten.valid_snapshots(t.vehicle_feed))
 
 
+def _landed(t: Lens) -> str:
+    """Folder with the vehicle snapshots as files, all landed on one day."""
+    root = scratch_path(t.spark, "landed")
+    for agency in range(5):
+        body = t.vehicle_feed.filter(F.col("agency_key") == str(agency)).select("length", "header", "entity")
+        body.write.json(f"{root}/{agency}/vehicle-positions/{LAST_DAY.replace('-', '/')}")
+    return root
+
+
 @query
 def stream_snapshots_flatten(t: Lens) -> DataFrame:
     """Landed snapshot files, streamed and flattened."""
-    root, out, state = (scratch_path(t.spark, name) for name in ("landed", "flat", "flat-state"))
-    for agency in range(5):
-        body = t.vehicle_feed.filter(F.col("agency_key") == str(agency)).select("length", "header", "entity")
-        body.write.json(f"{root}/{agency}/vehicle-positions/2024/01/30")
-    rows = streams.stream_vehicle_positions(t.spark, root)
+    out, state = (scratch_path(t.spark, name) for name in ("flat", "flat-state"))
+    rows = streams.stream_vehicle_positions(t.spark, _landed(t))
     rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(out)
 
 
+@query
+def feed_day_staged(t: Lens) -> DataFrame:
+    """Landed snapshot files through the feed-day run, as stored."""
+    house = Warehouse(t.spark, scratch_path(t.spark, "house"))
+    house.load_feed_day(_landed(t), date.fromisoformat(LAST_DAY), t.dims)
+    return house.positions()
+
+
+@query
+def timetable_day_staged(t: Lens) -> DataFrame:
+    """Timetable files, with one row per trip and sequence so that the gate lets them pass, through the timetable-day run; the staged trips."""
+    root = scratch_path(t.spark, "static")
+    rest = [F.min(c).alias(c) for c in t.stop_times.columns if c not in ("trip_id", "stop_sequence")]
+    visits = t.stop_times.groupBy("trip_id", "stop_sequence").agg(*rest).select(*t.stop_times.columns)
+    for name, df in {**t.timetable, "stop_times": visits}.items():
+        df.write.option("header", True).csv(f"{root}/{LAST_DAY.replace('-', '/')}/{name}.txt")
+    house = Warehouse(t.spark, scratch_path(t.spark, "house"))
+    house.load_timetable_day(root, date.fromisoformat(LAST_DAY))
+    return house.staging()["trips"].select("trip_id", "route_id", "service_id", "direction_id")
+
+
 @query
 def stale_snapshots(t: Lens) -> DataFrame:
     aged = flatten.with_feed_age(t.vehicle_feed, "polled_at")

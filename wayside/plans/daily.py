@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_key, service_day
+from ..functions.clock import DEFAULT_ZONE, date_key, service_day
+from ..operators import audit, gaps
 from ..operators import days as day_ops
-from ..operators import gaps
 from ..operators import stops as stop_ops
 from ..operators import trips as trip_ops
 from ..operators.calendar import date_range
+from ..operators.flatten import flatten_trip_updates, flatten_vehicle_positions, valid_snapshots
 from ..operators.keys import narrow, newest_dims
-from ..operators.quality import preflight
-from ..schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP
-from ..sources.sinks import read_table, replace_days
+from ..operators.latest import keep_latest
+from ..operators.quality import check_tables, preflight, require_no_critical
+from ..schemas import DIMENSIONS, FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP, STAGING_COLUMNS, STOP_UPDATES, VEHICLE_POSITIONS
+from ..session import scratch_path
+from ..sources.feeds import feed_glob, read_feed
+from ..sources.sinks import overwrite_table, read_table, replace_days, write_day, write_report
+from ..sources.static import delete_path, path_exists, read_static, staged_folder
 
 Frames = Mapping[str, DataFrame]
 PHASES = ("skeleton", "merge", "both")
@@ -54,6 +59,8 @@ def on_dates(fact: DataFrame, dates: DataFrame) -> DataFrame:
 
 def pings_on(positions: DataFrame, dates: DataFrame, cutoff_hour: int = 0) -> DataFrame:
     """Pings of the service days; the bounds on the time itself can skip row groups."""
+    if "service_date" in positions.columns:  # stored by day: other partitions are not opened
+        positions = narrow(positions, "service_date", dates)
     first, last = (dates.agg(f("service_date")).scalar() for f in (F.min, F.max))
     at = F.col("timestamp_local")
     shift = F.make_dt_interval(F.lit(0), F.lit(cutoff_hour), F.lit(0), F.lit(0))
@@ -105,9 +112,15 @@ def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: Data
     return fact
 
 
+# What identifies a stored feed row.
+UPDATE_KEYS = ["agency_key", "trip_id", "stop_id", "stop_sequence", "service_date"]
+POSITION_KEYS = ["agency_key", "vehicle_id", "timestamp_utc"]
+
+
 @dataclass
 class Warehouse:
-    """Where the facts are stored: one parquet table each, partitioned by date key."""
+    """Where staging, facts and feed versions are stored: one parquet table each, facts partitioned by date key and
+    feed rows by agency and service day."""
 
     spark: SparkSession
     root: str
@@ -129,6 +142,69 @@ class Warehouse:
     def day(self) -> DataFrame:
         return read_table(self.spark, self._path("fact_service_day"), FACT_SERVICE_DAY)
 
+    def updates(self) -> DataFrame:
+        return read_table(self.spark, self._path("rt_stop_time_updates"), STOP_UPDATES)
+
+    def positions(self) -> DataFrame:
+        return read_table(self.spark, self._path("rt_vehicle_positions"), f"{VEHICLE_POSITIONS}, service_date date")
+
+    def staging(self) -> dict[str, DataFrame]:
+        columns = {name: ", ".join(f"{c} string" for c in names) for name, names in STAGING_COLUMNS.items()}
+        return {name: read_table(self.spark, self._path(f"stg_{name}"), ddl) for name, ddl in columns.items()}
+
+    def versions(self) -> DataFrame:
+        return read_table(self.spark, self._path("dim_feed_version"), DIMENSIONS["feed_version"])
+
+    def load_feed_day(self, root: str, day: Date, dims: Frames, zone: str = DEFAULT_ZONE, fmt: str = "json") -> dict[str, bool]:
+        """One landed feed day: drop junk, flatten, keep the newest rows, store them, then set times of operated trips.
+
+        A position belongs to its local day, one without a time to ``day``. Returns per table whether ``day`` got rows; a
+        feed that did not land changes nothing.
+        """
+        cutoff = self.options.cutoff_hour
+        stored = {"rt_stop_time_updates": False, "rt_vehicle_positions": False}
+
+        def snapshots(feed: str) -> DataFrame | None:
+            landed = path_exists(self.spark, feed_glob(root, feed=feed, day=day))
+            return valid_snapshots(read_feed(self.spark, root, feed=feed, day=day, fmt=fmt)) if landed else None
+
+        reports = snapshots("trip-updates")
+        if reports is not None:
+            rows = keep_latest(flatten_trip_updates(reports, zone, cutoff), UPDATE_KEYS, ["feed_timestamp_utc"])
+            stored["rt_stop_time_updates"] = write_day(rows, self._path("rt_stop_time_updates"), day)
+        vehicles = snapshots("vehicle-positions")
+        if vehicles is not None:
+            rows = keep_latest(flatten_vehicle_positions(vehicles, zone), POSITION_KEYS, ["feed_timestamp_utc"])
+            rows = rows.withColumn("service_date", F.coalesce(service_day("timestamp_local", cutoff), F.lit(day)))
+            stored["rt_vehicle_positions"] = write_day(rows, self._path("rt_vehicle_positions"), day)
+        if stored["rt_vehicle_positions"] and path_exists(self.spark, self._path("fact_trip")):
+            self.backfill_times(dims, self.positions(), date_range(self.spark, day, day))
+        return stored
+
+    def load_timetable_day(self, root: str, day: Date, feeds: DataFrame | None = None) -> bool:
+        """One staged timetable day: skip a known feed, check, stop on a critical failure, refresh staging, register.
+
+        ``feeds`` (feedhash, ingestedat, …) are the archives the files came from; with none of them new, nothing is
+        done and False is returned. The report of the checks stays in ``validation/<day>``.
+        """
+        if feeds is not None and audit.is_new_version(feeds, self.versions()).isEmpty():
+            return False
+        folder = staged_folder(self.spark, root, day, day)
+        present = [name for name in STAGING_COLUMNS if path_exists(self.spark, f"{folder}/{name}.txt")]
+        frames = {name: read_static(self.spark, root, name, day) for name in present}
+        checks = check_tables(self.spark, {name: frames.get(name) for name in STAGING_COLUMNS})
+        require_no_critical(write_report(checks, self._path(f"validation/{day}")))
+        for name, df in frames.items():
+            overwrite_table(df, self._path(f"stg_{name}"))
+        if feeds is not None:
+            registered = scratch_path(self.spark, "versions")
+            try:
+                audit.register_feed_version(self.versions(), feeds).write.parquet(registered)
+                overwrite_table(self.spark.read.parquet(registered), self._path("dim_feed_version"))
+            finally:
+                delete_path(self.spark, registered)
+        return True
+
     def load_stops(self, stg: Frames, dims: Frames, updates: DataFrame, dates: DataFrame, phase: str = "both", force: bool = False) -> None:
         if phase != "merge":
             preflight(dims, "trip")

@@ -576,5 +576,9 @@ BODIES["extract_roundtrip"] = BODIES["missed_trip_rate_by_route"]
 BODIES["range_backfill"] = BODIES["service_day_from_timetable"]
 BODIES["replace_day_roundtrip"] = "SELECT datekey, count(*) AS n FROM ft WHERE datekey % 2 = 1 OR (datekey % 4 = 0 AND tripstatus = 'MISSED') GROUP BY 1"
 BODIES["stream_snapshots_flatten"] = BODIES["flatten_vehicle_positions"]
+BODIES["feed_day_staged"] = f"""SELECT *, COALESCE(CAST(timestamp_local AS DATE), DATE '2024-01-30') AS service_date FROM ({BODIES['flatten_vehicle_positions']})
+    QUALIFY row_number() OVER (PARTITION BY agency_key, vehicle_id, timestamp_utc ORDER BY feed_timestamp_utc DESC, trip_id DESC NULLS LAST, route_id DESC NULLS LAST,
+    latitude DESC, longitude DESC, current_stop_sequence DESC NULLS LAST, current_status DESC) = 1"""
+BODIES["timetable_day_staged"] = "SELECT trip_id, route_id, service_id, CAST(direction_id AS VARCHAR) AS direction_id FROM tt_trips"
 
 ORACLES: dict[str, str] = {name: compose(body) for name, body in BODIES.items()}
