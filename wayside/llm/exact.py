@@ -5,7 +5,7 @@ holds for each digest the stable identifier (smallest ``doc_id``), the locator o
 (file and row within it) and how many rows had the digest. Afterwards every hit, a row whose digest
 was there already, is compared byte by byte with the text behind the locator; rows that share a digest
 but not the text form groups of their own. The state folder can be reused: a later run over more
-files continues from it.
+files continues from it. The comparison deals out a large group of copies in slices, each with a copy of the keeper.
 
 Edge cases: a null text counts as empty; rows without ``doc_id`` come after all others; of rows with the
 same id and text the first by locator stays; extra columns are ignored; an empty table gives no rows.
@@ -35,6 +35,9 @@ STATE_CONF = {
 
 IDENT = "doc_id bigint, file string, line bigint"
 
+#: Copies that one copy of their keeper's text is compared with; larger groups are salted.
+COPIES = 256
+
 
 def normalised(column: str = "text") -> Column:
     """The text with every run of white space replaced by one space."""
@@ -108,13 +111,17 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     members = mine.join(staged(remembered(spark, state), "dedup-seen"), "digest")
     same_row = (F.col("file") == F.col("keeper.file")) & (F.col("line") == F.col("keeper.line"))
 
-    shared = members.where("n > 1").select("file", "line", "digest", same_row.alias("first"))
+    shared = members.where("n > 1").select("file", "line", "digest", "n", same_row.alias("first"))
     texts = staged(
         rows.select("file", "line", "doc_id", normalised().alias("body")).join(shared, ["file", "line"]), "dedup-hits"
     )
-    hits = texts.where("not first")
-    keepers = texts.where("first").select("digest", F.col("body").alias("kept_body"))
-    other = hits.join(keepers, "digest").where("body <> kept_body").drop("kept_body", "first")
+    # A digest with many copies is compared in slices, each with a copy of the keeper's text.
+    slices = F.ceil(F.col("n") / COPIES)
+    hits = texts.where("not first").withColumn("slice", F.pmod(F.xxhash64("file", "line"), slices))
+    keepers = texts.where("first").select(
+        "digest", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("slice"), F.col("body").alias("kept_body")
+    )
+    other = hits.join(keepers, ["digest", "slice"]).where("body <> kept_body").drop("kept_body", "first", "n", "slice")
     ident = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "line")
     regrouped = other.groupBy("digest", "body").agg(F.min(ident).alias("own"), F.count("*").alias("own_n"))
     strays = staged(
