@@ -151,7 +151,7 @@ def answer(words: DataFrame, buckets: int, task: Callable[[Iterator[tuple]], Ite
 
     arrow = arrow_schema(words, schema)
     if buckets:
-        words = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        words = words.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return words.mapInArrow(run, schema)
 
 
@@ -202,7 +202,10 @@ def assemble_chunks(chunks: DataFrame, answers: DataFrame, task: Callable[[list[
 
     arrow = arrow_schema(chunks, schema)
     both = chunks.unionByName(answers)
-    return both.repartition(width(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+    # Chunks in turn instead of by a hash, so that no task gets several while others get none.
+    turn = (F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
+    dealt = both.repartitionById(width(chunks.sparkSession), turn)
+    return dealt.sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
 
 
 def assemble(
