@@ -37,7 +37,7 @@ def bounds(docs: DataFrame, buckets: int) -> Bounds:
 
 
 def in_order(docs: DataFrame, at: Bounds, partitions: int, guests: bool = False) -> DataFrame:
-    """``bucket, guest, doc_id, text`` with whole buckets in a partition, sorted within.
+    """``bucket, guest, doc_id, text`` with whole buckets in a partition, dealt in turn, sorted within.
 
     With ``guests``, the rows with a bucket's first id also follow the rows of the bucket before (the first of all
     those of the last), marked as guests. Rows of the same id are in the order of a hash of their text.
@@ -55,7 +55,7 @@ def in_order(docs: DataFrame, at: Bounds, partitions: int, guests: bool = False)
     dealt = rows.withColumn("place", F.explode(place("order"))).withColumn("tie", F.xxhash64("text"))
     return (
         dealt.withColumns({"bucket": F.shiftright("place", 1), "guest": F.col("place") % 2})
-        .repartition(partitions, "bucket")
+        .repartitionById(partitions, "bucket")
         .sortWithinPartitions("bucket", "guest", "order", "tie")
         .select("bucket", "guest", "doc_id", "text")
     )
