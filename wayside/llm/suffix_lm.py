@@ -1,19 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over tokens.
 
-A text is a start, its words and an end. The tree predicts a token from up to ``DEPTH`` tokens before it. Its symbols are the
-words that make up at least ``FREQUENT`` of the training tokens, the start, the end, and one class for all other words; a
-word of that class has its share of the class as at the root. The root has the training counts with an absolute
-discount, whose mass is that of unseen words (one symbol, as in the base score).
+A text is a start, its words and an end. The tree predicts a token from up to ``DEPTH`` tokens before it. Every word of the training
+documents is a symbol; words that training has not seen are one symbol, as in the base score. The root has the training
+counts with an absolute discount, whose mass is that of unseen words.
 
-The tree grows level by level: contexts are those that make up ``FREQUENT`` of the tokens. One stays if its next-symbol
-distribution diverges from that of its suffix one token shorter: each training token, left out in turn, must be more probable by
-``DIVERGENCE`` nats on average in the smoothed distribution of the context than in the shorter one. Suffixes of contexts that
-stay stay, too. A state's distribution keeps next symbols with a share of at least ``SHARE``; the other mass, and one part per
-kind of next symbol, goes by the distribution of the next shorter state. A token is scored in the longest suffix that stayed.
+The tree grows level by level: contexts are those seen at least ``LEAST`` times in training, whatever the size of the corpus. One
+has a distribution of its own if it diverges from that of its suffix one token shorter: each training token, left out in
+turn, must be more probable by ``DIVERGENCE`` nats on average in the smoothed distribution of the context than in the
+shorter one (read to a thousandth of a nat). Other contexts have the distribution of the next shorter one. A distribution keeps
+all its next symbols, and one part per kind of next symbol goes by the distribution of the next shorter context.
 
-Words are counted once per distinct word (see ``lexicon``) and contexts by aggregation, both over all training documents, so what
-is gathered grows with the corpus. The tree is bounded: a level has at most ``1 / FREQUENT`` contexts and
-``1 / (FREQUENT * SHARE)`` entries.
+Words are counted once per distinct word (see ``lexicon``). In each level a chunk of documents sends its distinct pairs of context and
+next symbol to the buckets of the contexts, which hold that level of the tree, and gets their counts back. A context with
+more than ``HOT`` tokens and a quarter of a bucket's share is cut over all buckets by symbol, and what it has in all is
+summed first; there are at most four such contexts per bucket, which is all that is broadcast.
 
 Edge cases: a null text counts as empty and is only an end; without training documents every token is unseen; rows of the
 same id each come out; extra columns are ignored; an empty table gives no rows.
@@ -27,15 +27,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayside.llm.common import remainder, staged
-from wayside.llm.lexicon import answer, assemble_chunks, pack, split, squeeze, unpack, unsqueeze
+from wayside.llm.lexicon import answer, assemble_chunks, pack, split, unpack
+from wayside.session import scratch_path
 
-DEPTH, FREQUENT, DIVERGENCE, SHARE = 3, 5e-5, 0.01, 2e-3
+DEPTH, LEAST, DIVERGENCE, HOT = 3, 2, 0.01, 1000
+#: Characters of text in a chunk, and parts of a nat in which buckets read probabilities.
+CHUNK, NATS = 16 << 20, 1024
 FOLDS, HELD = 7, 2
-#: Classes that are no words; words follow. A class takes this many bits of a context.
-OTHER, START, END, BITS = 0, 1, 2, 20
+#: Symbols that are no words; words follow. A symbol takes this many bits of an entry.
+OTHER, START, END, BITS = 0, 1, 2, 40
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -55,58 +58,9 @@ def _find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_[at] == values
 
 
-@dataclass
-class Chunk:
-    """Documents as numbers of words, and by number the class and training count of the word."""
-
-    ids: np.ndarray
-    known: np.ndarray
-    lens: np.ndarray
-    flat: np.ndarray
-    kind: np.ndarray
-    often: np.ndarray
-
-    @staticmethod
-    def read(data: bytes) -> Chunk:
-        return Chunk(*unpack(data, np.int64, np.uint8, np.int64, np.int32, np.int32, np.int64))
-
-    def names(self) -> list[int | None]:
-        return [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())]
-
-    def parts(self, size: int = 1 << 19) -> Iterator[Chunk]:
-        """The documents in runs of about ``size`` words, so that what is worked out per token stays small."""
-        ends = np.cumsum(self.lens)
-        at = 0
-        while at < len(self.lens):
-            begin = int(ends[at] - self.lens[at])
-            to = max(at + 1, int(np.searchsorted(ends, begin + size, side="right")))
-            flat = self.flat[begin : int(ends[to - 1])]
-            yield Chunk(self.ids[at:to], self.known[at:to], self.lens[at:to], flat, self.kind, self.often)
-            at = to
-
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """Classes with a start before and an end after each document, and how far each is from its start."""
-        sizes = self.lens + 2
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        whole = np.repeat(sizes, sizes)
-        out = np.full(len(inside), START, np.int64)
-        out[inside == whole - 1] = END
-        out[(inside > 0) & (inside < whole - 1)] = self.kind[self.flat]
-        return out, inside
-
-
-def contexts(tokens: np.ndarray, inside: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with at least ``length`` tokens before them, and these as one integer, the nearest lowest."""
-    at = np.flatnonzero(inside >= length) if length else np.flatnonzero(inside >= 1)
-    key = np.zeros(len(at), np.int64)
-    for back in range(1, length + 1):
-        key |= (tokens[at - back] + 1) << (BITS * (back - 1))
-    return at, key
-
-
 @dataclass
 class Level:
-    """States of one length: sorted contexts; what all get from the shorter state and what they are divided by; entries."""
+    """Contexts of one length, sorted; what each gets from the shorter one and what it is divided by; entries."""
 
     contexts: np.ndarray
     rest: np.ndarray
@@ -117,140 +71,238 @@ class Level:
 
 @dataclass
 class SuffixTree:
-    """``root`` is the probability of each class at the root, ``unseen`` that of any word that training has not seen."""
+    """``root`` is the probability at the root of the symbols that are no words, ``unseen`` that of any word that training has
+    not seen, ``ends`` the number of training documents; ``levels`` are the contexts that are cut over buckets."""
 
     root: np.ndarray
     tokens: int
     discount: float
     unseen: float
+    ends: int = 0
     levels: list[Level] = field(default_factory=list)
 
     def of_count(self, often: np.ndarray) -> np.ndarray:
         """Probability at the root of words seen this often."""
         return np.where(often > 0, (often - self.discount) / max(1, self.tokens), self.unseen)
 
-    def chunk_scores(self, chunk: Chunk) -> np.ndarray:
-        """log10 of the probability of every document of a chunk."""
-        tokens, inside = chunk.tokens()
-        at, _ = contexts(tokens, inside, 0)
-        symbol = tokens[at]
-        own = self.root[symbol]
-        word = symbol != END
-        share = np.ones(len(at))
-        share[word] = self.of_count(chunk.often)[chunk.flat] / own[word]
-        p = own.copy()
-        open_ = np.ones(len(tokens), bool)
-        place = np.zeros(len(tokens), np.int64)
-        place[at] = np.arange(len(at))
-        for length, level in enumerate(self.levels, 1):
-            here, key = contexts(tokens, inside, length)
-            here, key = here[open_[here]], key[open_[here]]
-            state, there = _find(level.contexts, key)
-            open_[:] = False
-            here, state = here[there], state[there]
-            if not len(here):
-                break
-            open_[here] = True
-            entry, listed = _find(level.keys, (state << BITS) + tokens[here])
-            n = np.where(listed, level.counts[entry], 0) if len(level.counts) else 0
-            k = place[here]
-            p[k] = (n + level.rest[state] * p[k]) / level.total[state]
-        logs = np.log10(p * share)
-        sizes = chunk.lens + 1
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
-
-
-def grow(coded: DataFrame, tree: SuffixTree, frequent: float = FREQUENT, depth: int = DEPTH) -> SuffixTree:
-    """Add the levels to a tree that is only a root, from the coded chunks."""
-    spark = coded.sparkSession
-    least = max(2.0, frequent * tree.tokens)
-    root = spark.createDataFrame(
-        [(k, float(p)) for k, p in enumerate(tree.root.tolist()) if p > 0], "symbol int, p double"
-    )
-    looked_at = np.sort(np.arange(len(tree.root), dtype=np.int64) + 1)
-    shorter, levels = None, []
-    for length in range(1, depth + 1):
 
-        def count(batches: Iterator[pa.RecordBatch], length=length, looked_at=looked_at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    found = [np.zeros((2, 0), np.int64)]
-                    for part in Chunk.read(data).parts():
-                        tokens, inside = part.tokens()
-                        learn = np.repeat(np.array([in_training(i) for i in part.names()], bool), part.lens + 2)
-                        at, key = contexts(tokens, inside, length)
-                        state, there = _find(looked_at, key)
-                        there &= learn[at]
-                        found.append(np.stack(np.unique((state[there] << BITS) + tokens[at[there]], return_counts=True)))
-                    every = np.concatenate(found, axis=1)
-                    pair, where = np.unique(every[0], return_inverse=True)
-                    n = np.bincount(where, every[1], len(pair)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(looked_at[pair >> BITS]), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)],
-                        names=["context", "symbol", "n"],
-                    )
-
-        pairs = coded.select("data").mapInArrow(count, "context bigint, symbol int, n bigint")
-        pairs = staged(pairs.groupBy("context", "symbol").agg(F.sum("n").alias("n")), "lm-pairs")
-        totals = staged(
-            pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least),
-            "lm-contexts",
-        )
-        counted = pairs.join(totals, "context")
-        if length == 1:
-            both = counted.join(root, "symbol").withColumn("suffix", F.lit(0).cast("bigint"))
-        else:
-            suffix = F.col("context").bitwiseAND(F.lit((1 << (BITS * (length - 1))) - 1))
-            both = counted.withColumn("suffix", suffix).join(shorter, ["suffix", "symbol"])
-        loo = (F.col("n") - 1 + F.col("kinds") * F.col("p")) / (F.col("total") - 1 + F.col("kinds"))
-        gain = both.groupBy("context", "suffix").agg(
-            F.sum(F.col("n") * F.log(loo / F.col("p"))).alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds")
-        )
-        states = gain.select("context", "suffix", "gain", "total", "kinds").toPandas()
-        levels.append((states, counted))
-        next_ = counted.where(F.col("n") >= least).select("context", "symbol").toPandas()
-        shorter = counted.select(F.col("context").alias("suffix"), "symbol", (F.col("n") / F.col("total")).alias("p"))
-        looked_at = np.sort((next_["context"].to_numpy(np.int64) << BITS) | (next_["symbol"].to_numpy(np.int64) + 1))
-        if not len(looked_at):
-            break
-    needed: set[int] = set()
-    kept = []
-    for states, counted in reversed(levels):
-        stays = (states["gain"] >= DIVERGENCE * states["total"]) | states["context"].isin(needed)
-        states = states[stays].sort_values("context")
-        needed = set(states["suffix"].tolist())
-        kept.append((states, counted))
-    for states, counted in reversed(kept):
-        if states.empty:
-            break
-        mine = spark.createDataFrame(states[["context"]], "context bigint")
-        rows = counted.where(F.col("n") >= SHARE * F.col("total")).join(F.broadcast(mine), "context", "left_semi")
-        entries = rows.select("context", "symbol", "n").toPandas()
-        context = states["context"].to_numpy(np.int64)
-        state = np.searchsorted(context, entries["context"].to_numpy(np.int64))
-        key, n = (state << BITS) + entries["symbol"].to_numpy(np.int64), entries["n"].to_numpy(float)
-        total = (states["total"] + states["kinds"]).to_numpy(float)
-        order = np.argsort(key)
-        tree.levels.append(Level(context, total - np.bincount(state, n, len(context)), total, key[order], n[order]))
-    return tree
-
-
-def score_texts(docs: DataFrame, frequent: float = FREQUENT, depth: int = DEPTH) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+def _halves(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (a & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (a >> 32).astype(np.int32)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.view(np.uint32).astype(np.int64) | (high.astype(np.int64) << 32)
+
+
+def _spread(a: np.ndarray) -> np.ndarray:
+    a = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (a ^ (a >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
+@dataclass
+class Chunk:
+    """Documents as numbers of words, the symbol and training count of each word, and for each token its probability so far
+    and its context of the present length, as a place (from 1, 0 is none) in the contexts' numbers and training counts."""
+
+    ids: np.ndarray
+    known: np.ndarray
+    lens: np.ndarray
+    flat: np.ndarray
+    kind: np.ndarray
+    often: np.ndarray
+    p: np.ndarray
+    context: np.ndarray
+    number: np.ndarray
+    total: np.ndarray
+
+    @staticmethod
+    def read(data: bytes) -> Chunk:
+        return Chunk(*unpack(data, np.int64, np.uint8, np.int64, np.int32, np.int64, np.int64, np.float32, np.int32, np.int64, np.int64))
+
+    def packed(self) -> bytes:
+        return pack(*vars(self).values())
+
+    @staticmethod
+    def first(ids, known, lens, flat, kind, often, tree: SuffixTree, least: float) -> Chunk:
+        """With the probabilities of the root and contexts of one token."""
+        end = np.cumsum(lens + 1) - 1
+        inside = np.ones(int(lens.sum()) + len(lens), bool)
+        inside[end] = False
+        word = np.full(len(inside), len(kind), np.int32)
+        word[inside] = flat
+        p = np.append(tree.of_count(often), tree.root[END])[word].astype(np.float32)
+        context = np.empty(len(word), np.int32)
+        context[1:] = word[:-1]
+        context[end - lens] = len(kind)  # the start
+        total = np.append(often, tree.ends)
+        place = np.where(total >= least, np.arange(1, len(total) + 1), 0).astype(np.int32)
+        return Chunk(ids, known, lens, flat, kind, often, p, place[context], np.append(kind, START), total)
+
+    def names(self) -> list[int | None]:
+        return [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())]
+
+    def pairs(self, buckets: int, hot: float) -> Pairs:
+        at = np.flatnonzero(self.context)
+        word = np.full(len(self.context), len(self.kind), np.int64)
+        inside = np.ones(len(word), bool)
+        inside[np.cumsum(self.lens + 1) - 1] = False
+        word[inside] = self.flat
+        key, first, where = np.unique((self.context[at].astype(np.int64) << 32) | word[at], return_index=True, return_inverse=True)
+        context, symbol = (key >> 32) - 1, np.append(self.kind, END)[key & 0xFFFFFFFF]
+        number = self.number[context]
+        cut = self.total[context] > hot
+        bucket = (_spread(number) % np.uint64(buckets)).astype(np.int64)
+        bucket[cut] = buckets + (_spread(number[cut] ^ _spread(symbol[cut]).astype(np.int64)) % np.uint64(buckets)).astype(np.int64)
+        return Pairs(at, where, context, number, symbol, self.p[at[first]].astype(float), bucket, np.argsort(bucket, kind="stable"))
+
+    def questions(self, buckets: int, hot: float) -> Iterator[tuple[int, bytes]]:
+        """Per bucket the distinct pairs of context and next symbol, with their training counts and probabilities so far."""
+        found = self.pairs(buckets, hot)
+        learn = np.repeat(np.array([in_training(i) for i in self.names()], bool), self.lens + 1)
+        n = np.bincount(found.where[learn[found.at]], minlength=len(found.number)).astype(np.int32)
+        nats = np.round(np.log(found.p) * NATS).astype(np.int32)
+        bucket = found.bucket[found.order]
+        for mine in np.split(found.order, np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []:
+            yield int(found.bucket[mine[0]]), pack(*_halves(found.number[mine]), *_halves(found.symbol[mine]), n[mine], nats[mine])
+
+    def answered(self, answers: list[bytes], buckets: int, hot: float) -> None:
+        """Take over what the buckets say, and go on to the contexts that are one token longer."""
+        found = self.pairs(buckets, hot)
+        n, kinds, low, high = (np.zeros(len(found.number), np.int32) for _ in range(4))
+        parts = [unpack(a, np.int32, np.int32, np.int32, np.int32) for a in answers]
+        for k, column in enumerate((n, kinds, low, high)):
+            column[found.order] = np.concatenate([p[k] for p in parts]) if parts else column
+        p = (n + kinds * found.p) / (self.total[found.context] + kinds)
+        self.p = self.p.copy()
+        self.p[found.at] = np.where(kinds > 0, p, found.p)[found.where]
+        number = _whole(low, high)
+        longer = (number > 0) & (found.symbol != END)
+        place = np.where(longer, np.cumsum(longer), 0).astype(np.int32)[found.where]
+        self.context = np.zeros(len(self.context), np.int32)
+        self.context[found.at[place > 0] + 1] = place[place > 0]
+        self.number, self.total = number[longer], n[longer].astype(np.int64)
+
+
+@dataclass
+class Pairs:
+    """Tokens with a context, the place of each in the distinct pairs, and these; ``order`` is by bucket."""
+
+    at: np.ndarray
+    where: np.ndarray
+    context: np.ndarray
+    number: np.ndarray
+    symbol: np.ndarray
+    p: np.ndarray
+    bucket: np.ndarray
+    order: np.ndarray
+
+
+def _summed(rows: list[bytes]) -> tuple[Level, np.ndarray, np.ndarray]:
+    """What a bucket holds of a level, with every entry's probability in the shorter context, and each row's places in it."""
+    parts = [unpack(r, *[np.int32] * 6) for r in rows]
+    a = [np.concatenate([p[k] for p in parts]) for k in range(6)]
+    contexts, state = np.unique(_whole(a[0], a[1]), return_inverse=True)
+    keys, first, place = np.unique((state.astype(np.int64) << BITS) | _whole(a[2], a[3]), return_index=True, return_inverse=True)
+    n = np.bincount(place, a[4], len(keys))
+    state = keys >> BITS
+    kinds = np.bincount(state, n > 0, len(contexts))
+    return Level(contexts, kinds, np.bincount(state, n, len(contexts)) + kinds, keys, n), np.exp(a[5][first] / NATS), place
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    at, chunks, held = None, [], []
+    for batch in batches:
+        for chunk, bucket, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != at:
+                if held:
+                    yield at, chunks, held
+                at, chunks, held = bucket, [], []
+            chunks.append(chunk)
+            held.append(data)
+    if held:
+        yield at, chunks, held
+
+
+def hot_states(asked: DataFrame, buckets: int) -> Level:
+    """The contexts that are cut over buckets: ``rest`` is the kinds of next symbols of those that diverge, 0 of others."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, held in _by_bucket(batches):
+            level, p, _ = _summed(held)
+            seen = level.counts > 0
+            columns = level.contexts[level.keys >> BITS][seen], level.counts[seen], p[seen]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "n", "p"])
+
+    cut = asked.where(F.col("bucket") >= buckets)
+    dealt = cut.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    pairs = staged(dealt.mapInArrow(slices, "context bigint, n double, p double"), "lm-hot")
+    sums = pairs.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    loo = (F.col("n") - 1 + F.col("kinds") * F.col("p")) / (F.col("total") - 1 + F.col("kinds"))
+    found = pairs.join(F.broadcast(sums), "context").groupBy("context").agg(
+        F.sum(F.col("n") * F.log(loo / F.col("p"))).alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds")
+    ).toPandas().sort_values("context")
+    kinds = np.where(found["gain"] >= DIVERGENCE * found["total"], found["kinds"], 0).astype(float)
+    none = np.zeros(0)
+    return Level(found["context"].to_numpy(np.int64), kinds, found["total"].to_numpy(float) + kinds, none.astype(np.int64), none)
+
+
+def _cleared(spark: SparkSession, path: str) -> None:
+    """Delete a level that the next one has taken over, and let Spark clean up the shuffles between them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()
+
+
+def counted_pairs(asked: DataFrame, hot: Level, buckets: int, least: float) -> DataFrame:
+    """The buckets' answers: per pair its count, the kinds of its context if that diverges, and its number as a longer context."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, chunks, held in _by_bucket(batches):
+            level, p, place = _summed(held)
+            state, n = level.keys >> BITS, level.counts
+            kinds = level.rest[state]
+            gain = np.zeros(len(level.contexts))
+            some = n > 0
+            loo = (n[some] - 1 + kinds[some] * p[some]) / (level.total[state][some] - 1)
+            gain += np.bincount(state[some], n[some] * np.log(loo / p[some]), len(gain))
+            stays = np.where(gain >= DIVERGENCE * (level.total - level.rest), level.rest, 0)
+            if bucket >= buckets:
+                at, there = _find(hot.contexts, level.contexts)
+                stays = np.where(there, hot.rest[at], 0)
+            longer = n >= least
+            number = np.where(longer, np.cumsum(longer) * 2 * buckets + bucket, 0)
+            columns = [n.astype(np.int32), stays[state].astype(np.int32), *_halves(number)]
+            ends = np.cumsum([len(unpack(r, np.int32)[0]) for r in held])
+            for chunk, mine in zip(chunks, np.split(place, ends[:-1])):
+                data = pack(*(c[mine] for c in columns))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())],
+                    names=["chunk", "bucket", "data"],
+                )
+
+    return asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(task, ROWS)
+
+
+def score_texts(docs: DataFrame, frequent: float = 0.0, depth: int = DEPTH) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
+
+    With ``frequent`` contexts must also make up that share of the training tokens."""
     spark = docs.sparkSession
-    chunks, words, buckets = split(docs, lambda: words_of, in_training)
+    chunks, words, buckets = split(docs, lambda: words_of, in_training, CHUNK)
 
     def tally(rows: Iterator[tuple]) -> Iterator[tuple]:
-        """Per bucket its words with their training counts, and for each chunk the counts of its words."""
+        """Per bucket the training counts of its words, and for each chunk the symbols and counts of its words."""
 
         def finished(held):
             sums: dict[bytes, int] = {}
             for _, listed, extra in held:
                 for word, n in zip(listed, unpack(extra, np.int32)[0].tolist()):
                     sums[word] = sums.get(word, 0) + n
-            yield None, at, squeeze(b" ".join(sums)), pack(np.fromiter(sums.values(), np.int64, len(sums)))
+            yield None, at, None, pack(np.fromiter(sums.values(), np.int64, len(sums)))
+            symbols = {word: END + 1 + i * buckets + at if n else OTHER for i, (word, n) in enumerate(sums.items())}
             for chunk, listed, _ in held:
-                yield chunk, at, squeeze(b" ".join(listed)), pack(np.fromiter(map(sums.__getitem__, listed), np.int64, len(listed)))
+                kind, often = (np.fromiter(map(d.__getitem__, listed), np.int64, len(listed)) for d in (symbols, sums))
+                yield chunk, at, pack(*_halves(kind), often), None
 
         at, held = None, []
         for chunk, bucket, listed, extra in rows:
@@ -278,71 +330,60 @@ def score_texts(docs: DataFrame, frequent: float = FREQUENT, depth: int = DEPTH)
     ).head()
     ends = docs.select("doc_id").where(remainder("doc_id", FOLDS) != HELD).count()
     kinds, tokens = size["kinds"] + (ends > 0), size["tokens"] + ends
-    least = max(2.0, frequent * tokens)
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, extra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (often,) = unpack(extra, np.int64)
-                top = np.flatnonzero(often >= least)
-                listed = unsqueeze(data).split(b" ") if len(top) else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([listed[i] for i in top], pa.binary()), pa.array(often[top])], names=["word", "n"]
-                )
-
-    # At most 1 / frequent words.
-    top = [(bytes(r["word"]), r["n"]) for r in counted.mapInArrow(common, "word binary, n bigint").collect()]
-    top.sort(key=lambda r: (-r[1], r[0]))
-    class_of = {word: END + 1 + i for i, (word, _) in enumerate(top)}
+    least = max(float(LEAST), frequent * tokens)
+    hot = max(HOT, tokens / (4 * buckets))
     discount = max(0.1, size["once"] / max(1, size["once"] + 2 * size["twice"]))
-    tree = SuffixTree(np.zeros(END + 1 + len(top)), tokens, discount, discount * kinds / tokens if tokens else 1.0)
+    tree = SuffixTree(np.zeros(END + 1), tokens, discount, discount * kinds / tokens if tokens else 1.0, ends)
     tree.root[END] = tree.of_count(np.array([ends]))[0]
-    tree.root[END + 1 :] = tree.of_count(np.array([n for _, n in top], np.int64))
-    tree.root[OTHER] = max(1 - tree.root.sum(), 1e-12)
-    sent_classes = spark.sparkContext.broadcast(class_of)
+    tree.root[OTHER] = tree.unseen
 
-    def classify(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for chunk, bucket, listed, extra in rows:
-            kind = np.fromiter((sent_classes.value.get(w, OTHER) for w in listed), np.int32, len(listed))
-            yield chunk, bucket, pack(kind, unpack(extra, np.int64)[0])
+    def asked(chunk: int, state: Chunk) -> Iterator[tuple]:
+        yield chunk, -1, state.packed()
+        for bucket, data in state.questions(buckets, hot):
+            yield chunk, bucket, data
 
-    def code(body: bytes, answers: list[bytes]) -> bytes:
-        ids, known, lens, flat, bucket = unpack(body, np.int64, np.uint8, np.int64, np.int32, np.int32)
-        kind, often = np.zeros(len(bucket), np.int32), np.zeros(len(bucket), np.int64)
-        if answers:
+    def begin(group: list[tuple]) -> Iterator[tuple]:
+        ids, known, lens, flat, bucket = unpack(group[0][2], np.int64, np.uint8, np.int64, np.int32, np.int32)
+        kind, often = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+        if len(group) > 1:
             places = np.argsort(bucket, kind="stable")
-            parts = [unpack(a, np.int32, np.int64) for a in answers]
-            kind[places], often[places] = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        return pack(ids, known, lens, flat, kind, often)
-
-    answers = answer(table.where("chunk is not null"), 0, classify)
-    coded = staged(assemble_chunks(chunks, answers, lambda group: (group[0][0], code(group[0][2], [r[2] for r in group[1:]])),
-                                   "chunk bigint, data binary"), "lm-coded")
-    sent = spark.sparkContext.broadcast(grow(coded, tree, frequent, depth))
+            low, high, n = (np.concatenate(c) for c in zip(*(unpack(r[2], np.int32, np.int32, np.int64) for r in group[1:])))
+            kind[places], often[places] = _whole(low, high), n
+        return asked(group[0][0], Chunk.first(ids, known, lens, flat, kind, often, tree, least))
+
+    def further(group: list[tuple]) -> Chunk:
+        state = Chunk.read(group[0][2])
+        state.answered([r[2] for r in group[1:]], buckets, hot)
+        return state
+
+    answers, task, before = table.where("chunk is not null").select("chunk", "bucket", "data"), begin, None
+    for length in range(1, depth + 1):
+        path = scratch_path(spark, "lm-level")
+        assemble_chunks(chunks, answers, task, ROWS).write.parquet(path)
+        level = spark.read.schema(ROWS).parquet(path)
+        if before:
+            _cleared(spark, before)
+        chunks, pairs = level.where("bucket < 0"), level.where("bucket >= 0")
+        tree.levels.append(hot_states(pairs, buckets))
+        answers = counted_pairs(pairs, tree.levels[-1], buckets, least)
+        task, before = lambda group: asked(group[0][0], further(group)), path
     rare = float(np.log10(tokens + kinds + 1.0))
     base_end = float(np.log10(ends + 1.0) - rare)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                for part in Chunk.read(data).parts():
-                    yield rows(part)
-
-    def rows(chunk: Chunk) -> pa.RecordBatch:
+    def rows(group: list[tuple]) -> Iterator[tuple]:
+        chunk = further(group)
         owner = np.repeat(np.arange(len(chunk.lens)), chunk.lens)
         total = lambda v: np.bincount(owner, v[chunk.flat], len(chunk.lens))
-        named = chunk.names()
-        columns = [
-            pa.array(named, pa.int64()), pa.array([not in_training(i) for i in named], pa.bool_()), pa.array(chunk.lens + 1),
-            pa.array(total((chunk.often > 0).astype(float)).astype(np.int64) + (ends > 0)),
-            pa.array(np.full(len(named), tokens, np.int64)),
-            pa.array(total(np.log10(chunk.often + 1.0) - rare) + base_end), pa.array(sent.value.chunk_scores(chunk)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[n.split()[0] for n in SCHEMA.split(", ")])
+        named, sizes = chunk.names(), chunk.lens + 1
+        logs = np.add.reduceat(np.log10(chunk.p.astype(float)), np.cumsum(sizes) - sizes)
+        known = total((chunk.often > 0).astype(float)).astype(np.int64) + (ends > 0)
+        base = total(np.log10(chunk.often + 1.0) - rare) + base_end
+        return zip(named, (not in_training(i) for i in named), sizes.tolist(), known.tolist(), [tokens] * len(named), base.tolist(), logs.tolist())
 
-    return coded.select("data").mapInArrow(score, SCHEMA)
+    return assemble_chunks(chunks, answers, rows, SCHEMA)
 
 
+ROWS = "chunk bigint, bucket int, data binary"
 SCHEMA = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 )
