@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter, defaultdict
 from math import log, log10
@@ -10,6 +9,7 @@ from math import log, log10
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from wayside.llm import suffix_lm
 
 ROWS = "doc_id bigint, text string"
@@ -61,3 +61,33 @@ def test_rare_contexts_have_states(spark, monkeypatch):
         monkeypatch.setattr(suffix_lm, "HOT", hot)
         got = {r["doc_id"]: r["score"] for r in suffix_lm.score_texts(docs).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=0.02) for i in want)
+
+
+def plain_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_scattered_near_copies(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(40):
+        words = [f"t{w}" for w in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 30):
+            copy = list(words)
+            for at in rng.choice(120, edits, replace=False):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    texts += [None, "", "  ", "one", "ONE", "two words"]
+    sets = [plain_shingles(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), ROWS).repartition(3)
+    got = corpus_pipeline.no_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
