@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from wayside.llm import suffix_lm
+from wayside.llm import quality, suffix_lm
 
 ROWS = "doc_id bigint, text string"
 
@@ -91,3 +91,11 @@ def test_pipeline_drops_scattered_near_copies(spark):
     got = corpus_pipeline.no_near_copies(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
+def test_top_word_counts_all_words():
+    scattered = " ".join(["top"] * 49 + [f"d{k}" for k in range(51)])
+    rng = np.random.default_rng(4)
+    words = ["top" if k % 16 == 5 else f"v{rng.integers(0, 60)}" for k in range(480)]
+    found = quality.features([scattered, " ".join(words)])[:, quality.FEATURES.index("top_word")]
+    assert found == pytest.approx([0.49, max(Counter(words).values()) / 480])
