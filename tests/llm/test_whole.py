@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from wayside.llm import quality, suffix_lm
+from wayside.llm import fingerprint, quality, suffix_lm
 
 ROWS = "doc_id bigint, text string"
 
@@ -99,3 +99,10 @@ def test_top_word_counts_all_words():
     words = ["top" if k % 16 == 5 else f"v{rng.integers(0, 60)}" for k in range(480)]
     found = quality.features([scattered, " ".join(words)])[:, quality.FEATURES.index("top_word")]
     assert found == pytest.approx([0.49, max(Counter(words).values()) / 480])
+
+
+def test_likeness_does_not_jump_with_length():
+    rng = np.random.default_rng(9)
+    pairs = [(t[:127], t) for t in (rng.integers(97, 123, 129).astype(np.uint32) for _ in range(50))]
+    prints = fingerprint.prints([t for p in pairs for t in p])
+    assert np.mean([fingerprint.likeness(a, b) for a, b in zip(prints[::2], prints[1::2])]) > 0.85

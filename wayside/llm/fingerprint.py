@@ -6,8 +6,8 @@ bring any symbols down to six labels of which neighbours differ), starts a phras
 names the phrase by a hash of its symbols. The names are the symbols of the next level, up to one name for the whole
 text. Cuts depend on a few neighbours only, so equal passages have the same phrases inside, wherever they stand.
 
-The fingerprint is the name of the whole text and the smallest ``SKETCH`` hashes of the phrase names of level two and up,
-in texts of under ``SHORT`` code points of level one, too.
+The fingerprint is the name of the whole text and the smallest ``SKETCH`` hashes of the phrase names of all levels,
+whatever its length, so that any two sketches are of the same kinds of phrases.
 Likeness is the estimated share of phrases in common (Dice); equal texts have likeness 1.
 
 Edge cases: a null text counts as empty and has the name zero and no phrases, like 1 to another empty text and 0 to any
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from wayside.llm.common import width
 from wayside.llm.ordered import bounds, in_order
 
-SKETCH, FROM_LEVEL, SHORT = 64, 2, 128
+SKETCH = 64
 #: Code points parsed together.
 BLOCK = 1 << 20
 
@@ -77,7 +77,7 @@ def _labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def parse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of whole texts, and (text, phrase name) of all phrases that count."""
+    """Names of whole texts, and (text, phrase name) of all phrases."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     names = np.zeros(len(texts), dtype=np.uint64)
     owners, phrases = [], []
@@ -115,11 +115,8 @@ def parse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.searchsorted(starts, first)
         count = np.diff(np.append(first, len(symbols)))
         done = count == 1
-        kept = done | (level >= FROM_LEVEL) | (sizes[open_] < SHORT)
-        if kept.any():
-            owner, keep = np.repeat(open_, count), np.repeat(kept, count)
-            owners.append(owner[keep])
-            phrases.append(symbols[keep])
+        owners.append(np.repeat(open_, count))
+        phrases.append(symbols)
         names[open_[done]] = symbols[first[done]]
         symbols = symbols[np.repeat(~done, count)]
         open_, count = open_[~done], count[~done]
