@@ -8,17 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayside.llm import quality, toxicity
+from wayside.llm.align import alignment
 from wayside.llm.bpe import digests
 from wayside.llm.common import documents
+from wayside.llm.decontaminate import contaminated
 from wayside.llm.exact import exact_groups
 from wayside.llm.fingerprint import compared_with_edits
 from wayside.llm.mixing import mix
+from wayside.llm.phrases import collocations
 from wayside.llm.simhash import near_groups
 from wayside.llm.suffix_lm import score_texts
 from wayside.llm.token_files import read_tokens, write_tokens
 from wayside.llm.urls import judge_urls
 
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 RULES = [
     ("net", "/", "block"),
@@ -85,6 +89,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY)))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over the bytes of every text."""
+    return alignment(documents(spark, sf_dir), *map(public_tokenizers.path, ALIGNED))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document stands in benchmark items, and in which."""
+    found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -96,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_lm": op8_suffix_lm,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
+    "op11_align": op11_align,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -165,4 +191,63 @@ ORACLES: dict[str, str] = {
             cast(sum(case when through <= budget and finish is not null then size else 0 end) as bigint) as taken
         from m group by all
     """,
+    "op12_decontaminate": r"""
+        with d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+        ), b as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+        ), bw as (
+            select distinct item_id, m, array_to_string(ws[i : i + m - 1], ' ') as w
+            from (select item_id, ws, least(len(ws), 10) as m, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as i from b where len(ws) > 0)
+        ), dw as (
+            select doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') as w
+            from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as i from d, (select distinct m from bw))
+        ), f as (
+            select dw.doc_id, dw.i, dw.m, bw.item_id from dw join bw using (m, w)
+        ), h as (
+            select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from f) group by doc_id
+        ), t as (
+            select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as listed
+            from (select distinct doc_id, item_id from f) group by doc_id
+        )
+        select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+            sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id
+    """,
+    "op13_phrases": r"""
+        with p as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ), w as (
+            select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p
+        ), g as (
+            select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase
+            from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3)) as v(k))
+        ), f as (
+            select lang, k, phrase, count(*) as a from g group by all
+        ), n as (
+            select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang
+        ), c as (
+            select *, string_split(phrase, ' ') as ws from f where k > 1 and a >= 10
+        ), cut as (
+            select c.lang, c.k, c.phrase, c.ws, c.a, j, x.a as l, y.a as r,
+                cast(1000000 * c.a::hugeint * c.a::hugeint // (x.a::hugeint * y.a::hugeint) as bigint) as score
+            from (select *, unnest(range(1, k)) as j from c) as c
+            join f as x on x.lang = c.lang and x.k = j and x.phrase = array_to_string(c.ws[1 : j], ' ')
+            join f as y on y.lang = c.lang and y.k = c.k - j and y.phrase = array_to_string(c.ws[j + 1 : c.k], ' ')
+        ), best as (
+            select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1
+        ), held as (
+            select distinct lang, array_to_string(ws[i : i + 1], ' ') as phrase, a from (select *, unnest([1, 2]) as i from c where k = 3)
+        ), kept as (
+            select * from best b where not exists (
+                select 1 from held h where h.lang = b.lang and h.phrase = b.phrase and 100 * h.a >= 50 * b.a)
+        )
+        select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n.n, score
+        from kept join n on n.lang = kept.lang
+        qualify rank <= 2000
+    """,
 }
