@@ -222,12 +222,15 @@ ORACLES: dict[str, str] = {
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
             from documents
         ), w as (
-            select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p
-        ), g as (
-            select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase
-            from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3)) as v(k))
+            select lang, row_number() over () as piece, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p
+        ), o as (
+            select lang, piece, unnest(ws) as w, generate_subscripts(ws, 1) as pos from w
+        ), q as (
+            select lang, w, lead(w, 1) over g as w2, lead(w, 2) over g as w3 from o window g as (partition by piece order by pos)
         ), f as (
-            select lang, k, phrase, count(*) as a from g group by all
+            select lang, 1 as k, w as phrase, count(*) as a from q group by all
+            union all select lang, 2, w || ' ' || w2, count(*) from q where w2 is not null group by all
+            union all select lang, 3, w || ' ' || w2 || ' ' || w3, count(*) from q where w3 is not null group by all
         ), n as (
             select lang, cast(sum(a) as bigint) as n from f where k = 1 group by lang
         ), c as (
