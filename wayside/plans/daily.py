@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import date as Date
@@ -21,11 +22,12 @@ from ..operators.flatten import flatten_trip_updates, flatten_vehicle_positions,
 from ..operators.keys import narrow, newest_dims
 from ..operators.latest import keep_latest
 from ..operators.quality import check_tables, preflight, require_no_critical
-from ..schemas import DIMENSIONS, FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP, STAGING_COLUMNS, STOP_UPDATES, VEHICLE_POSITIONS
-from ..session import scratch_path
+from ..schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP, STAGING_COLUMNS, STOP_UPDATES, VEHICLE_POSITIONS
 from ..sources.feeds import feed_glob, read_feed
-from ..sources.sinks import overwrite_table, read_table, replace_days, write_day, write_report
-from ..sources.static import delete_path, path_exists, read_static, staged_folder
+from ..sources.sinks import Landed, counted, merge_landed, overwrite_table, read_table, replace_days, write_report
+from ..sources.static import path_exists, read_feed_info, read_static, staged_folder
+from .dimstore import DimensionStore
+from .ledger import Ledger
 
 Frames = Mapping[str, DataFrame]
 PHASES = ("skeleton", "merge", "both")
@@ -119,8 +121,11 @@ POSITION_KEYS = ["agency_key", "vehicle_id", "timestamp_utc"]
 
 @dataclass
 class Warehouse:
-    """Where staging, facts and feed versions are stored: one parquet table each, facts partitioned by date key and
-    feed rows by agency and service day."""
+    """Where staging, dimensions, facts and the run ledger are stored: one parquet table each, facts partitioned by date key and
+    feed rows by agency and service day.
+
+    Every load writes its steps into the ledger. A load that is given the ``run_id`` of one that failed skips the steps that one has finished.
+    """
 
     spark: SparkSession
     root: str
@@ -152,58 +157,86 @@ class Warehouse:
         columns = {name: ", ".join(f"{c} string" for c in names) for name, names in STAGING_COLUMNS.items()}
         return {name: read_table(self.spark, self._path(f"stg_{name}"), ddl) for name, ddl in columns.items()}
 
+    @property
+    def dimensions(self) -> DimensionStore:
+        return DimensionStore(self.spark, self._path("dims"))
+
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, self._path("run_ledger"))
+
     def versions(self) -> DataFrame:
-        return read_table(self.spark, self._path("dim_feed_version"), DIMENSIONS["feed_version"])
+        return self.dimensions.versions()
 
-    def load_feed_day(self, root: str, day: Date, dims: Frames, zone: str = DEFAULT_ZONE, fmt: str = "json") -> dict[str, bool]:
+    def load_feed_day(self, root: str, day: Date, dims: Frames | None = None, zone: str = DEFAULT_ZONE, fmt: str = "json",
+                      run_id: str | None = None) -> dict[str, Landed]:
         """One landed feed day: drop junk, flatten, keep the newest rows, store them, then set times of operated trips.
 
-        A position belongs to its local day, one without a time to ``day``. Returns per table whether ``day`` got rows; a
-        feed that did not land changes nothing.
+        A position belongs to its local day, one without a time to ``day``. Rows of other service days join what other landing days have
+        stored for them. Returns per table what was read and stored, true where ``day`` itself got rows; a feed that did not
+        land changes nothing. ``dims`` default to the stored dimensions as of ``day``.
         """
-        cutoff = self.options.cutoff_hour
-        stored = {"rt_stop_time_updates": False, "rt_vehicle_positions": False}
-
-        def snapshots(feed: str) -> DataFrame | None:
-            landed = path_exists(self.spark, feed_glob(root, feed=feed, day=day))
-            return valid_snapshots(read_feed(self.spark, root, feed=feed, day=day, fmt=fmt)) if landed else None
-
-        reports = snapshots("trip-updates")
-        if reports is not None:
-            rows = keep_latest(flatten_trip_updates(reports, zone, cutoff), UPDATE_KEYS, ["feed_timestamp_utc"])
-            stored["rt_stop_time_updates"] = write_day(rows, self._path("rt_stop_time_updates"), day)
-        vehicles = snapshots("vehicle-positions")
-        if vehicles is not None:
-            rows = keep_latest(flatten_vehicle_positions(vehicles, zone), POSITION_KEYS, ["feed_timestamp_utc"])
-            rows = rows.withColumn("service_date", F.coalesce(service_day("timestamp_local", cutoff), F.lit(day)))
-            stored["rt_vehicle_positions"] = write_day(rows, self._path("rt_vehicle_positions"), day)
-        if stored["rt_vehicle_positions"] and path_exists(self.spark, self._path("fact_trip")):
-            self.backfill_times(dims, self.positions(), date_range(self.spark, day, day))
+        run, cutoff = run_id or uuid.uuid4().hex, self.options.cutoff_hour
+        stored = {"rt_stop_time_updates": Landed(), "rt_vehicle_positions": Landed()}
+
+        def load(feed: str, table: str, keys: list[str], flatten) -> None:
+            with self.ledger.step(run, feed, day) as step:
+                if step.done or not path_exists(self.spark, feed_glob(root, feed=feed, day=day)):
+                    return
+                rows = flatten(valid_snapshots(read_feed(self.spark, root, feed=feed, day=day, fmt=fmt)))
+                stored[table] = done = merge_landed(rows, self._path(table), day, keys, ["feed_timestamp_utc"])
+                step.note(rows_read=done.read, rows_kept=done.kept, rows_written=done.written)
+
+        def placed(vehicles: DataFrame) -> DataFrame:
+            rows = flatten_vehicle_positions(vehicles, zone)
+            return rows.withColumn("service_date", F.coalesce(service_day("timestamp_local", cutoff), F.lit(day)))
+
+        load("trip-updates", "rt_stop_time_updates", UPDATE_KEYS, lambda v: flatten_trip_updates(v, zone, cutoff))
+        load("vehicle-positions", "rt_vehicle_positions", POSITION_KEYS, placed)
+        days = stored["rt_vehicle_positions"].days
+        if days and path_exists(self.spark, self._path("fact_trip")):
+            with self.ledger.step(run, "actual-times", day) as step:
+                if not step.done:
+                    touched = self.spark.createDataFrame([(d,) for d in days], "service_date date")
+                    self.backfill_times(dims or self.dimensions.as_of(day), self.positions(), touched)
         return stored
 
-    def load_timetable_day(self, root: str, day: Date, feeds: DataFrame | None = None) -> bool:
-        """One staged timetable day: skip a known feed, check, stop on a critical failure, refresh staging, register.
+    def load_timetable_day(self, root: str, day: Date, feeds: DataFrame | None = None, feed_key: str | None = None,
+                           run_id: str | None = None) -> bool:
+        """One staged timetable day: skip a known feed, check, stop on a critical failure, refresh staging and dimensions.
 
         ``feeds`` (feedhash, ingestedat, …) are the archives the files came from; with none of them new, nothing is
-        done and False is returned. The report of the checks stays in ``validation/<day>``.
+        done and False is returned. They are registered with the dates and publisher of ``feed_info``, and the dimensions
+        follow the new tables; without ``feeds`` only staging is refreshed. A table that did not come is empty afterwards, unless the
+        checks need it. The report of the checks stays in ``validation/<day>``.
         """
-        if feeds is not None and audit.is_new_version(feeds, self.versions()).isEmpty():
-            return False
-        folder = staged_folder(self.spark, root, day, day)
-        present = [name for name in STAGING_COLUMNS if path_exists(self.spark, f"{folder}/{name}.txt")]
-        frames = {name: read_static(self.spark, root, name, day) for name in present}
-        checks = check_tables(self.spark, {name: frames.get(name) for name in STAGING_COLUMNS})
-        require_no_critical(write_report(checks, self._path(f"validation/{day}")))
-        for name, df in frames.items():
-            overwrite_table(df, self._path(f"stg_{name}"))
-        if feeds is not None:
-            registered = scratch_path(self.spark, "versions")
-            try:
-                audit.register_feed_version(self.versions(), feeds).write.parquet(registered)
-                overwrite_table(self.spark.read.parquet(registered), self._path("dim_feed_version"))
-            finally:
-                delete_path(self.spark, registered)
-        return True
+        with self.ledger.step(run_id or uuid.uuid4().hex, "timetable", day) as step:
+            if step.done:
+                return True
+            step.note(feed_key=feed_key)
+            if feeds is not None:
+                fresh = audit.is_new_version(feeds, self.versions()).agg(F.max(F.struct("ingestedat", "feedhash")).alias("last")).first()["last"]
+                known = feeds.agg(F.max(F.struct("ingestedat", "feedhash")).alias("last")).first()["last"]
+                step.note(is_new_version=fresh is not None, feed_hash=known["feedhash"] if known else None)
+                if fresh is None:
+                    return False
+            folder = staged_folder(self.spark, root, day, day)
+            present = [name for name in STAGING_COLUMNS if path_exists(self.spark, f"{folder}/{name}.txt")]
+            frames = {name: read_static(self.spark, root, name, day) for name in present}
+            checks = check_tables(self.spark, {name: frames.get(name) for name in STAGING_COLUMNS})
+            require_no_critical(write_report(checks, self._path(f"validation/{day}")))
+            written = 0
+            for name, columns in STAGING_COLUMNS.items():
+                absent = self.spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+                rows, seen = counted(frames.get(name, absent))
+                overwrite_table(rows, self._path(f"stg_{name}"))
+                written += seen.get["rows"]
+            step.note(rows_written=written, file_count=len(present))
+            if feeds is not None:
+                about = audit.describe_feed(read_feed_info(self.spark, f"{folder}/feed_info.txt"))
+                described = feeds.withColumns({c: about.select(c).scalar() for c in about.columns if c not in feeds.columns})
+                self.dimensions.load(self.staging(), day, described.withColumn("filecount", F.lit(len(present)).cast("smallint")))
+            return True
 
     def load_stops(self, stg: Frames, dims: Frames, updates: DataFrame, dates: DataFrame, phase: str = "both", force: bool = False) -> None:
         if phase != "merge":
@@ -259,18 +292,21 @@ class Warehouse:
         return self.spark.createDataFrame(found, work.schema)
 
     def run_range(self, stg: Frames, dims: Frames, updates: DataFrame, positions: DataFrame, start: Date, end: Date,
-                  phase: str = "both", force: bool = False, days_per_job: int | None = None) -> None:
+                  phase: str = "both", force: bool = False, days_per_job: int | None = None, run_id: str | None = None) -> None:
         """Backfill a range. One job handles it all unless ``days_per_job`` splits it; a failing
-        part does not stop the others, and all failures are raised together at the end."""
+        part does not stop the others, and all failures are raised together at the end. Called again with the same
+        ``run_id`` and parts, it does those that the ledger does not list as finished."""
         if start > end:
             raise ValueError(f"start {start} is after end {end}")
-        step = days_per_job or (end - start).days + 1
-        failed = []
+        length = days_per_job or (end - start).days + 1
+        run, failed = run_id or uuid.uuid4().hex, []
         first = start
         while first <= end:
-            last = min(end, first + timedelta(days=step - 1))
+            last = min(end, first + timedelta(days=length - 1))
             try:
-                self.run(stg, dims, updates, positions, date_range(self.spark, first, last), phase, force)
+                with self.ledger.step(run, f"{phase} {first}..{last}", first) as step:
+                    if not step.done:
+                        self.run(stg, dims, updates, positions, date_range(self.spark, first, last), phase, force)
             except Exception as error:  # noqa: BLE001 - collected and raised below
                 failed.append((first, last, error))
             first = last + timedelta(days=1)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import date as Date
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.latest import keep_latest
 from ..operators.quality import summary, verdicts
 from ..schemas import columns_of
+from ..session import scratch_path
 from .static import delete_path, list_files, path_exists
 
 
@@ -29,8 +35,13 @@ def replace_partition(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def _files(spark: SparkSession, path: str, column: str, days) -> dict:
-    """Data files of each day of a table, by day; the list of days is short."""
-    return {day: list_files(spark, f"{path}/{column}={day}/*") for day in days}
+    """Data files of each day of a table, by day, from one listing."""
+    found: dict = {day: set() for day in days}
+    named = {str(day): day for day in days}
+    if named:
+        for file in list_files(spark, f"{path}/{column}={{{','.join(named)}}}/*"):
+            found[named[file.rsplit(f"/{column}=", 1)[1].split("/")[0]]].add(file)
+    return found
 
 
 def replace_days(df: DataFrame, path: str, column: str, wanted: DataFrame) -> list:
@@ -61,6 +72,69 @@ def write_day(df: DataFrame, path: str, *days, day_column: str = "service_date")
     return _files(spark, f"{path}/*", day_column, days) != before
 
 
+@dataclass(frozen=True)
+class Landed:
+    """What a load read, kept after removing repeats, and wrote; the days it touched, and whether its own day got rows."""
+
+    read: int = 0
+    kept: int = 0
+    written: int = 0
+    days: tuple = ()
+    own_day: bool = False
+
+    def __bool__(self) -> bool:
+        return self.own_day
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame, and the count of its rows once it has been written: no pass of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def merge_landed(df: DataFrame, path: str, day: Date, keys: Sequence[str], newest: Sequence[str], day_column: str = "service_date",
+                 reach: int = 2) -> Landed:
+    """Store the rows that landed on ``day`` per agency and service day, next to those that landed on other days.
+
+    Each stored row knows its ``landed_date``. The load takes the place of all rows that landed on ``day``: in the agency-days
+    it has rows for, and in those within ``reach`` days of ``day`` where an earlier load of it had. Rows of other landing days stay there, and of rows
+    with the same ``keys`` the newest is kept. Only these agency-days are read and rewritten.
+    """
+    spark = df.sparkSession
+    aside = scratch_path(spark, "landed-rows")
+    place = ["agency_key", day_column]
+    unique = list(dict.fromkeys([*place, *keys]))
+    try:
+        rows, read = counted(df)
+        rows, kept = counted(keep_latest(rows, unique, newest).withColumn("landed_date", F.lit(day)))
+        rows.write.partitionBy(*place).parquet(aside)
+        fresh = spark.read.schema(rows.schema).parquet(aside)
+        touched = {tuple(r) for r in fresh.select(*place).distinct().collect()}
+        others, earlier = None, set()
+        if path_exists(spark, path):
+            near = [day + timedelta(days=n) for n in range(-reach, reach + 1)]
+            stored = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+            stored = stored.withColumn("landed_date", F.coalesce("landed_date", day_column))
+            mine = stored.filter(F.col(day_column).isin(near) & (F.col("landed_date") == F.lit(day)))
+            earlier = {tuple(r) for r in mine.select(*place).distinct().collect()}
+            where = sorted(touched | earlier)
+            pairs = F.struct(*place).isin([F.struct(F.lit(a), F.lit(d)) for a, d in where])
+            inside = F.col("agency_key").isin(sorted({a for a, _ in where})) & F.col(day_column).isin(sorted({d for _, d in where}))
+            others = stored.filter(inside & pairs & (F.col("landed_date") != F.lit(day))) if where else None
+        result = fresh if others is None else keep_latest(fresh.unionByName(others), unique, newest)
+        result, written = counted(result)
+        before = {p: list_files(spark, f"{path}/agency_key={p[0]}/{day_column}={p[1]}/*") for p in earlier}
+        replace_partition(result, path, *place)
+        for agency, d in earlier - touched:
+            folder = f"{path}/agency_key={agency}/{day_column}={d}"
+            if list_files(spark, f"{folder}/*") == before[agency, d]:
+                delete_path(spark, folder)
+    finally:
+        delete_path(spark, aside)
+    days = tuple(sorted({d for _, d in touched | earlier}))
+    return Landed(read.get["rows"], kept.get["rows"], written.get["rows"], days, any(d == day for _, d in touched))
+
+
 def write_report(checks: DataFrame, path: str) -> DataFrame:
     """Validation report as JSON: check rows, one row per table and the summary; returns the rows per table.
 
