@@ -131,8 +131,13 @@ def merge_pings(
     ``estimated_scope`` is the estimated flag written to operated rows: true, because their miles
     stay the scheduled ones.
     """
+    return merge_summary(fact, ping_summary(positions, cutoff_hour=cutoff_hour), dims, force, estimated_scope)
+
+
+def merge_summary(fact: DataFrame, summary: DataFrame, dims: Frames, force: bool = False, estimated_scope: bool = True) -> DataFrame:
+    """``merge_pings`` with the pings summed up already, per trip and service day."""
     trips = dims["trip"].select(F.col("tripid").alias("trip_id"), "tripkey")
-    pings = ping_summary(positions, cutoff_hour=cutoff_hour).join(trips, "trip_id")
+    pings = summary.join(trips, "trip_id")
     source = pings.select(
         "tripkey",
         date_key("service_date").alias("datekey"),

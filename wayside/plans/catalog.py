@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from ..schemas import DIMENSIONS, FACT_TRIP, conform
 from ..session import configure, scratch_path
 from ..sources import sinks
 from ..sources.static import append_drifted, reconcile
-from ..streaming import streams
-from . import reports, views
-from .daily import Warehouse
+from ..streaming import alarms, facts, streams
+from . import ledger, reports, views
+from .daily import Options, Warehouse
 from .lens import AS_OF, FIRST_DAY, LAST_DAY, Lens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -573,6 +573,22 @@ def feed_day_staged(t: Lens) -> DataFrame:
     return house.positions()
 
 
+LANDINGS = ("2024-01-28", "2024-01-29", "2024-01-30")
+
+
+@query
+def feed_days_neighbouring(t: Lens) -> DataFrame:
+    """The snapshots landed on three days in turn, each with pings of all service days, loaded one after the other with a cut-off at three."""
+    root, house = scratch_path(t.spark, "landed"), Warehouse(t.spark, scratch_path(t.spark, "house"), Options(cutoff_hour=3))
+    for turn, day in enumerate(LANDINGS):
+        mine = t.vehicle_feed.filter(F.hour(F.timestamp_seconds("header.timestamp")) % 3 == turn)
+        for agency in range(5):
+            body = mine.filter(F.col("agency_key") == str(agency)).select("length", "header", "entity")
+            body.write.json(f"{root}/{agency}/vehicle-positions/{day.replace('-', '/')}")
+        house.load_feed_day(root, date.fromisoformat(day), t.dims)
+    return house.positions()
+
+
 @query
 def timetable_day_staged(t: Lens) -> DataFrame:
     """Timetable files, with one row per trip and sequence so that the gate lets them pass, through the timetable-day run; the staged trips."""
@@ -592,6 +608,62 @@ def stale_snapshots(t: Lens) -> DataFrame:
     return aged.groupBy("agency_key", "is_stale").agg(F.count(F.lit(1)).alias("n"), F.max("feed_age").alias("oldest"))
 
 
+# ---- stored dimensions and the run ledger
+
+
+def _two_days(t: Lens) -> Warehouse:
+    """A warehouse after two timetable days: the first with every other stop only, the second with all of them, new names for some, and no
+    transfers or calendar exceptions."""
+    root, house = scratch_path(t.spark, "static"), Warehouse(t.spark, scratch_path(t.spark, "house"))
+    visits = t.stop_times.filter("stop_sequence rlike '^[0-9]+$'").groupBy("trip_id", "stop_sequence")
+    visits = visits.agg(*[F.min(c).alias(c) for c in t.stop_times.columns if c not in ("trip_id", "stop_sequence")]).select(*t.stop_times.columns)
+    number = F.substring("stop_id", 2, 20).cast("bigint")
+    first = t.stops.filter(number % 2 == 0)
+    renamed = t.stops.withColumn("stop_name", F.when(number % 6 == 0, F.concat(F.lit("New "), "stop_name")).otherwise(F.col("stop_name")))
+    days = {
+        "2024-01-01": {**t.timetable, "stop_times": visits, "stops": first},
+        "2024-01-15": {**t.timetable, "stop_times": visits, "stops": renamed, "transfers": None, "calendar_dates": None},
+    }
+    for day, tables in days.items():
+        folder = f"{root}/{day.replace('-', '/')}"
+        for name, df in tables.items():
+            if df is not None:
+                df.write.option("header", True).csv(f"{folder}/{name}.txt")
+        info = t.spark.range(1).select(F.lit("Wayside Transit").alias("feed_publisher_name"), F.lit(day.replace("-", "")).alias("feed_start_date"),
+                                       F.lit("20241231").alias("feed_end_date"), F.lit(f"v{day}").alias("feed_version"))
+        info.write.option("header", True).csv(f"{folder}/feed_info.txt")
+        at = F.lit(day).cast("date").cast("timestamp_ntz")
+        feed = t.spark.range(1).select(F.sha2(F.lit(day), 256).alias("feedhash"), at.alias("ingestedat"))
+        house.load_timetable_day(root, date.fromisoformat(day), feed, "main")
+    return house
+
+
+@query
+def timetable_two_days(t: Lens) -> DataFrame:
+    """The stops with the days their rows hold, and whether they keep the key of the first day."""
+    stops = _two_days(t).dimensions.history("stop")
+    keys_then = stops.filter("validfrom = date'2024-01-01'").select("stopid", F.col("stopkey").alias("before"))
+    joined = stops.join(keys_then, "stopid", "left").withColumn("same_key", F.col("stopkey") == F.col("before"))
+    return joined.select("stopid", "stopname", "versionkey", "validfrom", "validto", "same_key")
+
+
+@query
+def run_ledger_digest(t: Lens) -> DataFrame:
+    """The digest of the days on which timetables were loaded, from the ledger and the stored versions."""
+    house = _two_days(t)
+    entries = house.ledger.entries()
+    verdicts = quality.verdicts(quality.check_tables(t.spark, house.staging()))
+    checks = quality.summary(verdicts).select("overall_passed", F.col("passed").cast("int"), F.col("total_tables").cast("int"))
+    loaded = entries.select("run_date").distinct()
+    validations = loaded.select("run_date", *[checks.select(c).scalar().alias(c) for c in checks.columns])
+    none = t.spark.createDataFrame([], "run_date date, fallback_date date")
+    digest = audit.daily_digest(ledger.runs(entries), validations, none, ledger.versions_seen(entries), loaded)
+    described = house.versions().select("feedhash", "feedstartdate", "feedpublishername", "filecount")
+    return digest.join(described, digest["feed_hash"] == described["feedhash"]).select(
+        "run_date", "run_status", "is_new_version", "file_count", "feed_hash", "headline", "feedstartdate", "feedpublishername"
+    )
+
+
 # ---- gaps
 
 
@@ -935,3 +1007,58 @@ def stream_positions_latest(t: Lens) -> DataFrame:
         "agency_key", "vehicle_id", "timestamp_utc", "feed_timestamp_utc", "trip_id", F.col("timestamp_utc").cast("date").alias("service_date")
     )
     return _run_stream(t, rows, ["agency_key", "vehicle_id", "timestamp_utc"], ["feed_timestamp_utc"], "service_date")
+
+
+@query
+def stream_positions_distinct(t: Lens) -> DataFrame:
+    """Every ping delivered twice, in files of their own, and kept once."""
+    landed, out, state = (scratch_path(t.spark, name) for name in ("twice", "once", "once-state"))
+    for _ in range(2):
+        t.table("events").write.mode("append").parquet(landed)
+    events = t.spark.readStream.schema(t.table("events").schema).parquet(landed)
+    keys_of = ["agency_key", "trip_id", "vehicle_id", "timestamp_utc", "latitude"]
+    rows = streams.without_repeats(Lens(t.spark, t.folder, events=events).positions.select(*keys_of), keys_of, "timestamp_utc")
+    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
+@query
+def stream_trip_merge(t: Lens) -> DataFrame:
+    """Scheduled trips with the pings of a stream merged in, batch by batch."""
+    landed, fact, parts, state = (scratch_path(t.spark, name) for name in ("pings", "fact-trip", "ping-parts", "merge-state"))
+    t.table("events").repartition(2).write.parquet(landed)
+    sinks.replace_partition(trips.trip_skeleton(t.timetable, t.dims, t.dates), fact, "datekey")
+    events = t.spark.readStream.schema(t.table("events").schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    positions = Lens(t.spark, t.folder, events=events).positions
+    facts.stream_trip_merge(positions, fact, parts, t.dims, state).awaitTermination()
+    return sinks.read_table(t.spark, fact, FACT_TRIP).select(*PINGED)
+
+
+@query
+def stream_failure_windows(t: Lens) -> DataFrame:
+    """Windows with failed polls from the stream, the last update of each."""
+    events = _event_stream(t).table("events")
+    failed = F.col("event_type") == "error"
+    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.when(failed, 0).otherwise(1).alias("ok"), F.when(failed, 1).otherwise(0).alias("fail"))
+    found = streams.stream_failure_windows(log).withColumn("day", F.col("window_start").cast("date"))
+    stored = _run_stream(t, found, ["window_start"], ["fail", "ok"], "day")
+    return stored.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "ok", "fail")
+
+
+@query
+def stream_outage_windows(t: Lens) -> DataFrame:
+    """Outages raised live by timers, up to an hour after the last poll, when nothing but a heartbeat comes."""
+    landed, out, state = (scratch_path(t.spark, name) for name in ("polls", "outages", "outages-state"))
+    log = t.poll_log.select(F.lit("feed").alias("poller"), F.col("ts").cast("timestamp").alias("ts"), "ok", "fail")
+    log.write.parquet(landed)
+    last = t.poll_log.agg(F.max(F.col("ts").cast("timestamp_ntz"))).first()[0]
+    alarms.heartbeat_at(t.spark, last + timedelta(hours=1, minutes=10)).write.mode("append").parquet(landed)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        raised = alarms.live_outages(t.spark.readStream.schema(log.schema).parquet(landed), late="10 minutes")
+        raised.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        t.spark.conf.set(store, before)
+    return t.spark.read.schema(raised.schema).parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"))

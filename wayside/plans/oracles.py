@@ -581,4 +581,20 @@ BODIES["feed_day_staged"] = f"""SELECT *, COALESCE(CAST(timestamp_local AS DATE)
     latitude DESC, longitude DESC, current_stop_sequence DESC NULLS LAST, current_status DESC) = 1"""
 BODIES["timetable_day_staged"] = "SELECT trip_id, route_id, service_id, CAST(direction_id AS VARCHAR) AS direction_id FROM tt_trips"
 
+BODIES["feed_days_neighbouring"] = f"""SELECT * EXCLUDE (landed) FROM (
+    SELECT *, COALESCE(CAST(timestamp_local - INTERVAL 3 HOUR AS DATE), landed) AS service_date FROM (
+      SELECT *, DATE '2024-01-28' + CAST(extract(hour FROM feed_timestamp_utc) AS INTEGER) % 3 AS landed FROM ({BODIES['flatten_vehicle_positions']})))
+    QUALIFY row_number() OVER (PARTITION BY agency_key, vehicle_id, timestamp_utc, service_date ORDER BY feed_timestamp_utc DESC, trip_id DESC NULLS LAST,
+    route_id DESC NULLS LAST, latitude DESC, longitude DESC, current_stop_sequence DESC NULLS LAST, current_status DESC) = 1"""
+BODIES["timetable_two_days"] = """WITH s AS (SELECT 'S' || s_suppkey AS stopid, s_name AS n, s_suppkey % 2 = 0 AS had, s_suppkey % 6 = 0 AS moved FROM supplier)
+    SELECT stopid, n AS stopname, 1 AS versionkey, DATE '2024-01-01' AS validfrom, CASE WHEN moved THEN DATE '2024-01-15' END AS validto, TRUE AS same_key FROM s WHERE had
+    UNION ALL SELECT stopid, 'New ' || n, 2, DATE '2024-01-15', NULL, TRUE FROM s WHERE moved
+    UNION ALL SELECT stopid, n, 2, DATE '2024-01-15', NULL, NULL FROM s WHERE NOT had"""
+BODIES["run_ledger_digest"] = """SELECT CAST(d AS DATE) AS run_date, 'SUCCEEDED' AS run_status, TRUE AS is_new_version, n AS file_count, sha256(d) AS feed_hash,
+    'ISSUES' AS headline, CAST(d AS DATE) AS feedstartdate, 'Wayside Transit' AS feedpublishername FROM (VALUES ('2024-01-01', 9), ('2024-01-15', 7)) v(d, n)"""
+BODIES["stream_positions_distinct"] = """SELECT DISTINCT agency_key, trip_id, vehicle_id, seen_at AS timestamp_utc, latitude FROM vp"""
+BODIES["stream_trip_merge"] = BODIES["trip_ping_merge"]
+BODIES["stream_failure_windows"] = BODIES["feed_failure_windows"]
+BODIES["stream_outage_windows"] = BODIES["outage_windows"]
+
 ORACLES: dict[str, str] = {name: compose(body) for name, body in BODIES.items()}

@@ -67,6 +67,17 @@ def stream_latest(df: DataFrame, path: str, keys: Sequence[str], newest: Sequenc
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def without_repeats(rows: DataFrame, keys: Sequence[str], at: str, late: str = "2 hours") -> DataFrame:
+    """A stream with rows of the same ``keys`` once, as long as they come within ``late`` of each other.
+
+    ``at`` is a wall-clock column; shifted to a TIMESTAMP it carries the watermark, which bounds the keys held as state. A poll that is
+    sent again, or a file that is delivered twice, adds nothing downstream. Rows without a time cannot be placed and drop out.
+    """
+    clock = F.timestamp_seconds(epoch_second(at))
+    marked = rows.filter(F.col(at).isNotNull()).withColumn("_at", clock).withWatermark("_at", late)
+    return marked.dropDuplicatesWithinWatermark(list(keys)).drop("_at")
+
+
 def stream_ping_summary(positions: DataFrame, late: str = "2 hours", keys: Sequence[str] = ("trip_id",)) -> DataFrame:
     """Running first ping, last ping and count per trip and local service day.
 
