@@ -141,8 +141,9 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     spark = docs.sparkSession
     try:
-        rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__line"))
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line")]
+        rows = docs.select(F.struct("*").alias("document"), *place)
     except AnalysisException:
         return drop_exact(staged(docs, "dedup-rows"))
-    kept = exact_groups(docs).where("kept").select(F.col("file").alias("__file"), F.col("line").alias("__line"))
-    return rows.join(kept, ["__file", "__line"], "left_semi").select(*[rows[c] for c in docs.columns])
+    kept = exact_groups(docs).where("kept").select("file", "line")
+    return rows.join(kept, ["file", "line"], "left_semi").select("document.*")

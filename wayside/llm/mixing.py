@@ -69,15 +69,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, passes: int = 2) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it was taken."""
-    kept = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    sized = kept.select("doc_id", "source", n_words().alias("size"), F.col("__row").alias("row"))
-    chosen = _queued(staged(sized, "mix-sizes"), weights, share, passes).where("copies > 0")
-    often = chosen.select(F.col("row").alias("__row"), "copies")
-    return (
-        kept.join(often, "__row")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[kept[c] for c in docs.columns])
-    )
+    kept = staged(docs.select(F.struct("*").alias("document")).withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    sized = kept.select("row", "document.doc_id", "document.source", "document.text").withColumn("size", n_words()).drop("text")
+    chosen = _queued(staged(sized, "mix-sizes"), weights, share, passes).where("copies > 0").select("row", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return kept.join(chosen, "row").select("document", times.alias("copy")).select("document.*")
 
 
 def _sized(docs: DataFrame) -> DataFrame:

@@ -225,10 +225,11 @@ def near_groups(docs: DataFrame, n: int = 3, budget: int = 2, pair_rows: int = P
 def drop_near(docs: DataFrame, n: int = 3, budget: int = 2) -> DataFrame:
     """One document of each group, that with the smallest ``doc_id``; of rows with that id only one, and one
     without ``doc_id`` only where the group has no other."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "near-docs")
-    found = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), n, budget).withColumnRenamed("doc_id", "__row")
-    ids = rows.select("__row", "doc_id").join(found, "__row")
+    rows = staged(docs.select(F.struct("*").alias("document")).withColumn("row", F.monotonically_increasing_id()), "near-docs")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text"))
+    found = near_groups(texts, n, budget).withColumnRenamed("doc_id", "row")
+    ids = rows.select("row", F.col("document.doc_id").alias("doc_id")).join(found, "row")
     keep = ids.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("best")
-    ).select(F.col("best.__row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
+    ).select(F.col("best.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select("document.*")
