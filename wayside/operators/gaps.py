@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import flags
 from ..functions.clock import date_from_key, date_key, key_days_before, local_day, since
 
-# Days scanned back, job names.
+# Fixed value: days scanned back.
 LOOKBACK_DAYS = 30
-STOP_JOB = "factstop-skeleton-and-merge-load"
-TRIP_JOB = "facttrip-skeleton-and-merge-load"
-DAY_JOB = "factserviceday-load"
+STOP_JOB, TRIP_JOB, DAY_JOB = "stop-fact", "trip-fact", "service-day-fact"
 
 
 def available_dates(source: DataFrame, day, as_of, lookback: int = LOOKBACK_DAYS) -> DataFrame:

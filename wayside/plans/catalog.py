@@ -13,10 +13,10 @@ from ..functions import clock, flags, guards
 from ..operators import audit, calendar, days, dims, flatten, gaps, keys, latest, quality, stops, trips
 from ..schemas import DIMENSIONS, FACT_TRIP, conform
 from ..session import configure, scratch_path
-from ..sources import sinks
+from ..sources import evolve, feeds, sinks
 from ..sources.static import append_drifted, reconcile
 from ..streaming import alarms, facts, streams
-from . import ledger, reports, views
+from . import extracts, ledger, reports, views
 from .daily import Options, Warehouse
 from .lens import AS_OF, FIRST_DAY, LAST_DAY, Lens
 
@@ -506,6 +506,19 @@ def extract_roundtrip(t: Lens) -> DataFrame:
     return t.spark.read.parquet(f"{out}/{name}")
 
 
+@query
+def extract_changed_days(t: Lens) -> DataFrame:
+    """The served copy of a view after days that were loaded in part have been loaded again; only these are recomputed."""
+    fact, out, name = scratch_path(t.spark, "fact-trip"), scratch_path(t.spark, "extracts"), "missed_rate_by_route"
+    whole = t.fact_trip
+    sinks.replace_partition(whole.filter("datekey % 5 <> 0 or tripstatus = 'MISSED'"), fact, "datekey")
+    extracts.refresh_changed(t.spark, {"trip": fact}, t.dims, out, [name])
+    again = whole.filter("datekey % 5 = 0")
+    sinks.replace_days(again, fact, "datekey", again)
+    extracts.refresh_changed(t.spark, {"trip": fact}, t.dims, out, [name])
+    return extracts.served(t.spark, out, name)
+
+
 @query
 def replace_day_roundtrip(t: Lens) -> DataFrame:
     """Even date keys replaced by their missed trips on every second of them, and by nothing on the others."""
@@ -573,6 +586,14 @@ def feed_day_staged(t: Lens) -> DataFrame:
     return house.positions()
 
 
+@query
+def snapshots_compacted(t: Lens) -> DataFrame:
+    """Many small snapshot files packed into one per agency, flattened."""
+    out = scratch_path(t.spark, "packed")
+    feeds.compact_day(t.spark, _landed(t), out, LAST_DAY)
+    return flatten.flatten_vehicle_positions(flatten.valid_snapshots(feeds.read_feed(t.spark, out, feed="vehicle-positions", day=LAST_DAY)))
+
+
 LANDINGS = ("2024-01-28", "2024-01-29", "2024-01-30")
 
 
@@ -794,6 +815,17 @@ def drifted_append(t: Lens) -> DataFrame:
     return append_drifted(stored, incoming)
 
 
+@query
+def staging_drift_days(t: Lens) -> DataFrame:
+    """Two stored days of which the first came with a column more, read together."""
+    path, contract = scratch_path(t.spark, "drifting"), "stop_id string, stop_name string"
+    first = t.table("supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name"), F.col("s_nationkey").alias("zone_hint"))
+    second = t.table("part").select(F.col("p_partkey").alias("stop_id"))
+    for day, df in ((FIRST_DAY, first), (LAST_DAY, second)):
+        evolve.write_evolved(df, path, date.fromisoformat(day), contract)
+    return evolve.read_evolved(t.spark, path, contract)
+
+
 @query
 def null_profile(t: Lens) -> DataFrame:
     broken = t.stop_times.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("trip_id", "stop_id", "arrival_time", "departure_time")])

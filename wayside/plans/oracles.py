@@ -226,9 +226,9 @@ SHARED: dict[str, str] = {
         SELECT x.d, count(s.d) AS n, count(*) FILTER (s.missed) AS o FROM vp_days x LEFT JOIN st_trip s ON s.d = x.d GROUP BY 1) WHERE n = 0 OR o > 0""",
     "lacking": """SELECT DISTINCT d FROM st_trip t WHERE NOT missed AND NOT EXISTS (
         SELECT 1 FROM st_day y WHERE y.d = t.d AND y.agencykey = t.agencykey)""",
-    "g_all": """SELECT 'factstop-skeleton-and-merge-load' AS job, d AS service_date, state FROM g_stop
-        UNION ALL SELECT 'facttrip-skeleton-and-merge-load', d, state FROM g_trip
-        UNION ALL SELECT 'factserviceday-load', d, 'missing' FROM (SELECT d FROM g_trip UNION
+    "g_all": """SELECT 'stop-fact' AS job, d AS service_date, state FROM g_stop
+        UNION ALL SELECT 'trip-fact', d, state FROM g_trip
+        UNION ALL SELECT 'service-day-fact', d, 'missing' FROM (SELECT d FROM g_trip UNION
           (SELECT d FROM lacking INTERSECT SELECT d FROM vp_days))""",
     "docs": "SELECT sha256(text) AS feedhash, TIMESTAMP '1970-01-01' + to_seconds(doc_id + 1700000000) AS ingestedat, lang FROM documents",
     "reg1_rows": "SELECT feedhash, min(ingestedat) AS ingestedat FROM docs WHERE lang = 'en' GROUP BY 1",
@@ -488,10 +488,10 @@ BODIES: dict[str, str] = {
     "gap_counters": f"SELECT {key('d')} AS datekey, count(*) FILTER (open) AS open_count, count(*) AS total_count FROM st_stop GROUP BY 1",
     "feed_gaps_service_day": "SELECT d AS service_date FROM lacking",
     "gap_dates": "SELECT job, service_date, state FROM g_all",
-    "gap_work_list": """SELECT j.job, count(g.job) = 0 AS skip, CASE WHEN count(g.job) = 0 THEN 'none' WHEN j.job = 'factserviceday-load' THEN 'load'
+    "gap_work_list": """SELECT j.job, count(g.job) = 0 AS skip, CASE WHEN count(g.job) = 0 THEN 'none' WHEN j.job = 'service-day-fact' THEN 'load'
         WHEN bool_or(g.state = 'missing') THEN 'both' ELSE 'merge' END AS phase, min(g.service_date) AS start_date, max(g.service_date) AS end_date,
         string_agg(CAST(g.service_date AS VARCHAR), ',' ORDER BY g.service_date) AS gap_dates
-        FROM (VALUES ('factstop-skeleton-and-merge-load'), ('facttrip-skeleton-and-merge-load'), ('factserviceday-load')) j(job) LEFT JOIN g_all g ON g.job = j.job GROUP BY 1""",
+        FROM (VALUES ('stop-fact'), ('trip-fact'), ('service-day-fact')) j(job) LEFT JOIN g_all g ON g.job = j.job GROUP BY 1""",
     "feed_version_register": """SELECT CAST(versionkey AS INTEGER) AS versionkey, feedhash, ingestedat, feedhash = (SELECT feedhash FROM reg2 ORDER BY ingestedat DESC, feedhash DESC LIMIT 1) AS iscurrent,
         TRUE AS isactive FROM (SELECT * FROM reg1 UNION ALL SELECT * FROM reg2)""",
     "changed_feeds": "SELECT feedhash, ingestedat FROM docs WHERE feedhash NOT IN (SELECT feedhash FROM reg1)",
@@ -593,6 +593,10 @@ BODIES["timetable_two_days"] = """WITH s AS (SELECT 'S' || s_suppkey AS stopid,
 BODIES["run_ledger_digest"] = """SELECT CAST(d AS DATE) AS run_date, 'SUCCEEDED' AS run_status, TRUE AS is_new_version, n AS file_count, sha256(d) AS feed_hash,
     'ISSUES' AS headline, CAST(d AS DATE) AS feedstartdate, 'Wayside Transit' AS feedpublishername FROM (VALUES ('2024-01-01', 9), ('2024-01-15', 7)) v(d, n)"""
 BODIES["stream_positions_distinct"] = """SELECT DISTINCT agency_key, trip_id, vehicle_id, seen_at AS timestamp_utc, latitude FROM vp"""
+BODIES["extract_changed_days"] = BODIES["missed_trip_rate_by_route"]
+BODIES["snapshots_compacted"] = BODIES["flatten_vehicle_positions"]
+BODIES["staging_drift_days"] = """SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, s_name AS stop_name, CAST(s_nationkey AS VARCHAR) AS zone_hint, DATE '2024-01-01' AS load_date FROM supplier
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, DATE '2024-01-30' FROM part"""
 BODIES["stream_trip_merge"] = BODIES["trip_ping_merge"]
 BODIES["stream_failure_windows"] = BODIES["feed_failure_windows"]
 BODIES["stream_outage_windows"] = BODIES["outage_windows"]
