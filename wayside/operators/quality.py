@@ -92,10 +92,10 @@ def format_profile(df: DataFrame, column: str, pattern: str = TIME_PATTERN) -> D
     return df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("invalid_format_count"))
 
 
-def format_samples(df: DataFrame, column: str, pattern: str = TIME_PATTERN) -> DataFrame:
-    """A few values that do not match ``pattern``, the first in order."""
+def format_samples(df: DataFrame, column: str, pattern: str = TIME_PATTERN, count: int = SAMPLE_SIZE) -> DataFrame:
+    """The first ``count`` values in order that do not match ``pattern``."""
     bad = df.filter(F.col(column).isNotNull() & ~F.col(column).rlike(pattern))
-    return bad.select(column).orderBy(column).limit(SAMPLE_SIZE)
+    return bad.select(column).orderBy(column).limit(count)
 
 
 def check_columns(df: DataFrame, table: str) -> list[str]:

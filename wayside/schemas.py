@@ -9,21 +9,41 @@ from pyspark.sql.types import StructType
 
 # Columns of the staged timetable tables (all text).
 STAGING_COLUMNS = {
-    "agency": "agency_id agency_name agency_url agency_timezone agency_lang agency_phone agency_fare_url agency_email",
-    "calendar": "service_id monday tuesday wednesday thursday friday saturday sunday start_date end_date",
-    "calendar_dates": "service_id date exception_type",
-    "routes": "agency_id route_id route_short_name route_long_name route_type route_desc route_url route_color"
-    " route_text_color network_id route_sort_order",
-    "shapes": "shape_id shape_pt_lat shape_pt_lon shape_pt_sequence shape_dist_traveled",
-    "stop_times": "trip_id stop_id arrival_time departure_time timepoint stop_sequence stop_headsign pickup_type"
-    " drop_off_type shape_dist_traveled departure_buffer",
-    "stops": "stop_id stop_name stop_lat stop_lon stop_code stop_desc zone_id stop_url location_type parent_station"
-    " wheelchair_boarding stop_timezone platform_code tts_stop_name",
-    "transfers": "from_stop_id from_route_id to_stop_id to_route_id transfer_type min_transfer_time",
-    "trips": "route_id trip_id service_id trip_short_name trip_headsign direction_id block_id shape_id"
-    " wheelchair_accessible drt_advance_book_min bikes_allowed fare_id peak_offpeak boarding_type",
+    "agency": [
+        "agency_id", "agency_name", "agency_url", "agency_timezone", "agency_lang", "agency_phone",
+        "agency_fare_url", "agency_email",
+    ],
+    "calendar": [
+        "service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "start_date",
+        "end_date",
+    ],
+    "calendar_dates": [
+        "service_id", "date", "exception_type",
+    ],
+    "routes": [
+        "agency_id", "route_id", "route_short_name", "route_long_name", "route_type", "route_desc", "route_url",
+        "route_color", "route_text_color", "network_id", "route_sort_order",
+    ],
+    "shapes": [
+        "shape_id", "shape_pt_lat", "shape_pt_lon", "shape_pt_sequence", "shape_dist_traveled",
+    ],
+    "stop_times": [
+        "trip_id", "stop_id", "arrival_time", "departure_time", "timepoint", "stop_sequence", "stop_headsign",
+        "pickup_type", "drop_off_type", "shape_dist_traveled", "departure_buffer",
+    ],
+    "stops": [
+        "stop_id", "stop_name", "stop_lat", "stop_lon", "stop_code", "stop_desc", "zone_id", "stop_url",
+        "location_type", "parent_station", "wheelchair_boarding", "stop_timezone", "platform_code", "tts_stop_name",
+    ],
+    "transfers": [
+        "from_stop_id", "from_route_id", "to_stop_id", "to_route_id", "transfer_type", "min_transfer_time",
+    ],
+    "trips": [
+        "route_id", "trip_id", "service_id", "trip_short_name", "trip_headsign", "direction_id", "block_id",
+        "shape_id", "wheelchair_accessible", "drt_advance_book_min", "bikes_allowed", "fare_id", "peak_offpeak",
+        "boarding_type",
+    ],
 }
-STAGING_COLUMNS = {table: names.split() for table, names in STAGING_COLUMNS.items()}
 
 # Staged real-time tables.
 STOP_UPDATES = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -61,6 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_RUNS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, in a folder of this application that goes when the application ends."""
+    run = f"{shared_dir(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{run}/{label}-{uuid.uuid4().hex}"
