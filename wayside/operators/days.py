@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags
@@ -27,31 +27,29 @@ def trip_intervals(fact_trip: DataFrame, overnight: str = "wrap") -> DataFrame:
     the end counts as overnight and covers every minute after the start or before the end, and
     other trips whose end minute precedes their start minute cover nothing.
     """
+    return fact_trip.withColumn("_span", F.explode(_spans(overnight))).select(*DAY_KEYS, "_span.first_minute", "_span.last_minute")
+
+
+def _spans(overnight: str) -> Column:
+    """The minute intervals of a trip; NULL or none where it does not count."""
     running = (
         (F.col("tripstatus") == flags.OPERATED)
         & ~F.col("isspecialevent")
         & F.col("actualstarttime").isNotNull()
         & F.col("actualendtime").isNotNull()
     )
-    trips = fact_trip.filter(running).select(
-        *DAY_KEYS,
-        minute_of_day("actualstarttime").alias("_start"),
-        minute_of_day("actualendtime").alias("_end"),
-        (F.col("actualstarttime") > F.col("actualendtime")).alias("_reversed"),
-    )
     def span(first, last):
         return F.struct(first.alias("first_minute"), last.alias("last_minute"))
 
-    start, end = F.col("_start"), F.col("_end")
+    start, end = minute_of_day("actualstarttime"), minute_of_day("actualendtime")
     zero, midnight = F.lit(0), F.lit(DAY_MINUTES - 1)
     plain = F.array(span(start, end))
     split = F.array(span(start, midnight), span(zero, end))
     if overnight == "wrap":
-        pieces = F.when(start <= end, plain).otherwise(split)
-    else:
-        pieces = F.when(F.col("_reversed") & (start <= end), F.array(span(zero, midnight)))
-        pieces = pieces.when(F.col("_reversed"), split).when(start <= end, plain)
-    return trips.withColumn("_span", F.explode(pieces)).select(*DAY_KEYS, "_span.first_minute", "_span.last_minute")
+        return F.when(running & (start <= end), plain).when(running, split)
+    turned = F.col("actualstarttime") > F.col("actualendtime")
+    pieces = F.when(running & turned & (start <= end), F.array(span(zero, midnight)))
+    return pieces.when(running & turned, split).when(running & (start <= end), plain)
 
 
 def active_levels(fact_trip: DataFrame, overnight: str = "wrap") -> DataFrame:
@@ -96,39 +94,69 @@ def peak_vehicles(fact_trip: DataFrame, overnight: str = "wrap") -> DataFrame:
 
 
 def service_day(fact_trip: DataFrame, overnight: str = "wrap") -> DataFrame:
-    """One row per agency and day: counts, rates, miles, hours, peak and quality flags."""
+    """One row per agency and day: counts, rates, miles, hours, peak and quality flags.
+
+    The fact is read once: a trip adds its figures at minute -1 and its steps at the minutes it starts and stops. All of it
+    combines to at most 1442 rows per agency and day before the shuffle; these give the running total, its peak and the sums.
+    """
     status = F.col("tripstatus")
     ran = flags.has_run(status)
     estimated = ran & flags.is_true(F.col("isestimated"))
+    own = F.col("_c.minute") == -1
+
+    def count(condition):
+        return F.count_if(own & condition)
 
     def total(condition, column: str):
-        return F.sum(F.when(condition, F.col(column)).otherwise(0))
-
-    counts = fact_trip.groupBy(*DAY_KEYS).agg(
-        F.count(F.lit(1)).alias("scheduledtrips"),
-        F.count_if(ran).alias("operatedtrips"),
-        F.count_if(status == flags.MISSED).alias("missedtrips"),
-        F.count_if(status == flags.CANCELLED).alias("cancelledtrips"),
-        F.count_if(F.col("tripkey") == 0).alias("unmatchedtripcount"),
-        total(ran, "reportedvrm").alias("reportedvrm"),
-        total(ran, "reportedvrh").alias("reportedvrh"),
-        total(estimated, "reportedvrm").alias("estimatedvrm"),
-        total(estimated, "reportedvrh").alias("estimatedvrh"),
-        F.count_if(ran & F.col("actualpingcount").isNull()).alias("_silent"),
-        F.count_if(estimated).alias("_estimated"),
-        F.bool_or(flags.is_true(F.col("isspecialevent"))).alias("isspecialeventday"),
+        return F.sum(F.when(own & condition, F.col(column)).otherwise(0))
+
+    figures = {
+        "scheduledtrips": count(F.lit(True)),
+        "operatedtrips": count(ran),
+        "missedtrips": count(status == flags.MISSED),
+        "cancelledtrips": count(status == flags.CANCELLED),
+        "unmatchedtripcount": count(F.col("tripkey") == 0),
+        "reportedvrm": total(ran, "reportedvrm"),
+        "reportedvrh": total(ran, "reportedvrh"),
+        "estimatedvrm": total(estimated, "reportedvrm"),
+        "estimatedvrh": total(estimated, "reportedvrh"),
+        "_silent": count(ran & F.col("actualpingcount").isNull()),
+        "_estimated": count(estimated),
+        "_special": count(flags.is_true(F.col("isspecialevent"))),
+    }
+    def at(minute, step):
+        return F.struct(minute.cast("int").alias("minute"), F.lit(step).alias("step"))
+
+    steps = F.flatten(F.transform(_spans(overnight), lambda s: F.array(at(s["first_minute"], 1), at(s["last_minute"] + 1, -1))))
+    points = F.concat(F.array(at(F.lit(-1), 0)), F.coalesce(steps, F.array().cast("array<struct<minute: int, step: int>>")))
+    spread = fact_trip.withColumn("_c", F.explode(points))
+    minutes = spread.groupBy(*DAY_KEYS, F.col("_c.minute").alias("minute")).agg(
+        F.sum("_c.step").alias("step"), *[column.alias(name) for name, column in figures.items()]
+    )
+    order = Window.partitionBy(*DAY_KEYS).orderBy("minute")
+    active = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    levels = minutes.withColumns({"_active": active, "_until": F.lead("minute").over(order) - 1})
+    level = F.struct(F.col("_active").alias("active_trips"), F.col("_until").alias("last_minute"))
+    days = levels.groupBy(*DAY_KEYS).agg(
+        F.max(F.when((F.col("_active") > 0) & F.col("_until").isNotNull(), level)).alias("_best"), *[F.sum(n).alias(n) for n in figures]
     )
     operated = F.col("operatedtrips")
     alert = F.col("_estimated") > F.lit(ESTIMATED_SHARE) * operated
-    days = counts.join(peak_vehicles(fact_trip, overnight), DAY_KEYS, "left").withColumns(
-        {
-            "missedtriprate": rate("missedtrips", F.col("scheduledtrips") - F.col("cancelledtrips")),
-            "feedgapflag": F.col("_silent") > F.lit(FEED_GAP_SHARE) * operated,
-            "dataqualityalertflag": alert,
-            "isofficial": flags.is_official_day("isspecialeventday", "operatedtrips", alert),
-        }
+    special = F.col("_special") > 0
+    return conform(
+        days.withColumns(
+            {
+                "peakvehiclecount": F.coalesce("_best.active_trips", F.lit(0)),
+                "peaktimekey": F.coalesce("_best.last_minute", F.lit(0)),
+                "isspecialeventday": special,
+                "missedtriprate": rate("missedtrips", F.col("scheduledtrips") - F.col("cancelledtrips")),
+                "feedgapflag": F.col("_silent") > F.lit(FEED_GAP_SHARE) * operated,
+                "dataqualityalertflag": alert,
+                "isofficial": flags.is_official_day(special, "operatedtrips", alert),
+            }
+        ),
+        FACT_SERVICE_DAY,
     )
-    return conform(days.fillna(0, ["peakvehiclecount", "peaktimekey"]), FACT_SERVICE_DAY)
 
 
 def day_profile(fact_day: DataFrame) -> DataFrame:
