@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import date_key
 from ..schemas import FACT_SERVICE_DAY, FACT_STOP, FACT_TRIP
 from ..sources.sinks import overwrite_table, read_table, replace_days
-from ..sources.static import list_files
+from ..sources.static import list_files, path_exists
 from . import views
 
 FACTS = {"stop": FACT_STOP, "trip": FACT_TRIP, "day": FACT_SERVICE_DAY}
@@ -97,11 +97,15 @@ def refresh_changed(spark: SparkSession, paths: Mapping[str, str], dims: Mapping
             rows = view.build(within(read_table(spark, path, FACTS[fact]), periods, view.months), dims)
             period = F.expr(view.period) if view.months else date_key(view.period)
             wanted = spark.createDataFrame([(p,) for p in periods], "period int")
-            replace_days(rows.withColumn("period", period.cast("int")), f"{out}/{name}", "period", wanted)
+            rows = rows.withColumn("period", period.cast("int"))
+            overwrite_table(rows.limit(0), f"{out}/_columns/{name}")  # a view without rows has columns, too
+            replace_days(rows, f"{out}/{name}", "period", wanted)
             overwrite_table(spark.createDataFrame(sorted(now.items()), STATE).coalesce(1), f"{out}/_seen/{name}")
     return done
 
 
 def served(spark: SparkSession, out: str, name: str) -> DataFrame:
     """The served copy of a view."""
-    return spark.read.parquet(f"{out}/{name}").drop("period")
+    columns = spark.read.parquet(f"{out}/_columns/{name}").schema
+    found = spark.read.schema(columns).parquet(f"{out}/{name}") if path_exists(spark, f"{out}/{name}") else spark.createDataFrame([], columns)
+    return found.drop("period")
