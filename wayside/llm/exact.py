@@ -14,12 +14,11 @@ same id and text the first by locator stays; extra columns are ignored; an empty
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayside.llm.common import BLANKS, staged, text_of
+from wayside.llm.common import BLANKS, settings, staged, text_of
 from wayside.session import scratch_path
 
 #: Settings of the state store: on local disk with a write-ahead log in the checkpoint folder.
@@ -58,18 +57,6 @@ def located(docs: DataFrame) -> DataFrame:
         return staged(docs.select("doc_id", "text"), "dedup-rows").select("doc_id", "text", *place)
 
 
-@contextmanager
-def _settings(spark: SparkSession, conf: dict[str, str]):
-    before = {key: spark.conf.get(key, None) for key in conf}
-    for key, value in conf.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def observe(spark: SparkSession, digests: str, state: str, files_per_batch: int | None = None) -> None:
     """Feed the files below ``digests`` that the state has not seen yet into it."""
     reader = spark.readStream.schema(f"digest binary, {IDENT}")
@@ -77,7 +64,7 @@ def observe(spark: SparkSession, digests: str, state: str, files_per_batch: int
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     ident = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "line")
     seen = reader.parquet(digests).groupBy("digest").agg(F.min(ident).alias("keeper"), F.count("*").alias("n"))
-    with _settings(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         query = (
             seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", state)
             .trigger(availableNow=True).start()
@@ -87,7 +74,7 @@ def observe(spark: SparkSession, digests: str, state: str, files_per_batch: int
 
 def remembered(spark: SparkSession, state: str) -> DataFrame:
     """What the state holds: ``digest``, ``keeper`` and ``n``."""
-    with _settings(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         store = spark.read.format("statestore").load(state)
     keeper, n = store.schema["value"].dataType.names[:2]
     return store.select(

@@ -24,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wayside.llm.common import staged, text_of, width
+from wayside.llm.common import settings, staged, text_of, width
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 12 << 20
 #: Marks that end a piece become a byte that no text holds.
 MARKS = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
+#: A task holds one block at a time, in the reader and in what goes to Python.
+ONE_BLOCK = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}
+
 BLOCK = "block bigint, lang string, words array<int>, listed array<string>, often array<bigint>"
 
 
@@ -180,7 +183,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     levels = [names.select(F.array("id").alias("words"), "a")]
     numbers = names.select("id", F.array("id").alias("words"))
     for length in range(1, longest):
-        found = staged(counted(extended(relation, length), least), "phrase-counts")
+        with settings(relation.sparkSession, ONE_BLOCK):
+            found = staged(counted(extended(relation, length), least), "phrase-counts")
         groups = staged(numbered(found.groupBy("left", "word").agg(F.first("a").alias("a")), "left", "word"), "phrase-groups")
         spelt = staged(
             groups.join(numbers.withColumnRenamed("id", "left"), "left").select(
