@@ -47,6 +47,7 @@ def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     code = (data[:-1] << 16) | (data[1:] << 8)
     code[:-1] |= data[2:]
+    code[starts + sizes - 1] = 0x010101  # a word's last trigram does not reach into the next word
     code *= np.uint32(2654435761)
     return slot, (code >> np.uint32(18)).astype(np.int64), starts
 
