@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from conftest import frame, rows
 from test_sources import land, snapshot, trip_update
-from wayside.operators import flatten, latest, trips
-from wayside.schemas import FACT_TRIP
+from wayside.operators import flatten, latest, stops, trips
+from wayside.schemas import FACT_STOP, FACT_TRIP, conform
 from wayside.sources import feeds, sinks
 from wayside.streaming import alarms, facts, streams
 
@@ -146,3 +146,22 @@ def test_live_merge_equals_batch_and_survives_replays(spark, town, tmp_path):
     want = rows(trips.merge_pings(skeleton, spark.read.parquet(source), town.dims, force=True))
     assert run("state") == want and any("OPERATED" in r for r in want)
     assert run("again") == want  # the same batches once more, under the same numbers
+
+
+def test_live_stop_merge_equals_batch(spark, town, tmp_path):
+    source, fact, table = (str(tmp_path / n) for n in ("updates", "fact", "table"))
+    day, fed = datetime(2024, 1, 1), datetime(2024, 1, 1, 7, 0)
+    skeleton = stops.stop_skeleton(town.stg, town.dims, town.dates)
+    for part in range(3):  # later reports of the same visits, then a day of its own
+        at = day + timedelta(days=part // 2)
+        town.updates(*[("t1", f"s{i}", i, at.date(), at + timedelta(hours=8, minutes=10 * i + part), fed + timedelta(minutes=part)) for i in (1, 2, 3)]).coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    sinks.replace_partition(skeleton, fact, "datekey")
+    def run(state):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        facts.stream_stop_merge(stream, fact, table, town.dims, str(tmp_path / state)).awaitTermination()
+        return rows(sinks.read_table(spark, fact, FACT_STOP))
+
+    want = rows(conform(stops.stop_official(stops.merge_stop_updates(skeleton, spark.read.parquet(source), town.dims, force=True)), FACT_STOP))
+    assert run("state") == want and sum("GTFS_RT_REPORTED" in r for r in want) == 6
+    assert run("again") == want

@@ -11,7 +11,7 @@ from pyspark.sql.types import DecimalType
 
 from ..functions import clock, flags, guards
 from ..operators import audit, calendar, days, dims, flatten, gaps, keys, latest, quality, stops, trips
-from ..schemas import DIMENSIONS, FACT_TRIP, conform
+from ..schemas import DIMENSIONS, FACT_STOP, FACT_TRIP, conform
 from ..session import configure, scratch_path
 from ..sources import evolve, feeds, sinks
 from ..sources.static import append_drifted, reconcile
@@ -1066,6 +1066,17 @@ def stream_trip_merge(t: Lens) -> DataFrame:
     return sinks.read_table(t.spark, fact, FACT_TRIP).select(*PINGED)
 
 
+@query
+def stream_stop_merge(t: Lens) -> DataFrame:
+    """Scheduled visits with the reports of a stream merged in, batch by batch."""
+    landed, fact, table, state = (scratch_path(t.spark, name) for name in ("updates", "fact-stop", "newest-updates", "merge-state"))
+    t.stop_updates.repartition(2).write.parquet(landed)
+    sinks.replace_partition(stops.stop_skeleton(t.timetable, t.dims, t.dates), fact, "datekey")
+    updates = t.spark.readStream.schema(t.stop_updates.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    facts.stream_stop_merge(updates, fact, table, t.dims, state).awaitTermination()
+    return sinks.read_table(t.spark, fact, FACT_STOP).select(*[c for c in MERGED if c != "isofficial"])
+
+
 @query
 def stream_failure_windows(t: Lens) -> DataFrame:
     """Windows with failed polls from the stream, the last update of each."""

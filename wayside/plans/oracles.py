@@ -597,6 +597,7 @@ BODIES["extract_changed_days"] = BODIES["missed_trip_rate_by_route"]
 BODIES["snapshots_compacted"] = BODIES["flatten_vehicle_positions"]
 BODIES["staging_drift_days"] = """SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, s_name AS stop_name, CAST(s_nationkey AS VARCHAR) AS zone_hint, DATE '2024-01-01' AS load_date FROM supplier
     UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, DATE '2024-01-30' FROM part"""
+BODIES["stream_stop_merge"] = f"SELECT * EXCLUDE (isofficial) FROM ({BODIES['stop_merge_otp_flags']})"
 BODIES["stream_trip_merge"] = BODIES["trip_ping_merge"]
 BODIES["stream_failure_windows"] = BODIES["feed_failure_windows"]
 BODIES["stream_outage_windows"] = BODIES["outage_windows"]

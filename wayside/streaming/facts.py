@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import date_key
 from ..operators.keys import narrow
+from ..operators.stops import merge_stop_updates, stop_official
 from ..operators.trips import merge_summary, ping_summary
-from ..schemas import FACT_TRIP
+from ..schemas import FACT_STOP, FACT_TRIP, STOP_UPDATES
 from ..sources.sinks import read_table, replace_partition
+from .streams import upsert_latest
+
+# What identifies a reported stop visit.
+UPDATE_KEYS = ["agency_key", "trip_id", "stop_id", "stop_sequence", "service_date"]
 
 PART = "trip_id string, first_ping timestamp_ntz, last_ping timestamp_ntz, ping_count int, service_date date, batch bigint"
 
@@ -47,3 +52,34 @@ def stream_trip_merge(positions: DataFrame, fact: str, parts: str, dims: Mapping
     """Start merging a stream of pings into the trip fact."""
     writer = positions.writeStream.foreachBatch(merge_live_pings(fact, parts, dims, **options)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def merge_live_updates(fact: str, updates: str, dims: Mapping[str, DataFrame]):
+    """``foreachBatch`` function that merges each batch of stop updates into the stored stop fact at ``fact``.
+
+    The newest update of each visit that has an arrival is kept at ``updates``, by service day; the visits of the days a batch touches are then merged anew and their
+    date partitions replaced. A replayed batch finds its own updates there and changes nothing. The result is that of
+    ``merge_stop_updates(force=True)`` with all updates so far.
+    """
+    # A report without an arrival does not hide an earlier one that has it.
+    newest = [F.col("arrival_time_local").isNotNull().desc(), "feed_timestamp_utc"]
+    keep = upsert_latest(updates, UPDATE_KEYS, newest, "service_date")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keep(batch, number)
+        days = [r[0] for r in batch.select("service_date").distinct().collect() if r[0]]
+        if not days:
+            return
+        wanted = spark.createDataFrame([(d,) for d in days], "service_date date")
+        rows = narrow(read_table(spark, fact, FACT_STOP), "datekey", wanted.select(date_key("service_date").alias("datekey")))
+        reported = narrow(read_table(spark, updates, STOP_UPDATES), "service_date", wanted)
+        replace_partition(stop_official(merge_stop_updates(rows, reported, dims, True)), fact, "datekey")
+
+    return merge
+
+
+def stream_stop_merge(updates: DataFrame, fact: str, table: str, dims: Mapping[str, DataFrame], checkpoint: str, available_now: bool = True):
+    """Start merging a stream of stop updates into the stop fact."""
+    writer = updates.writeStream.foreachBatch(merge_live_updates(fact, table, dims)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
