@@ -1,4 +1,4 @@
-"""The two classifiers against plain arithmetic, one number at a time."""
+"""The two classifiers and the parser of fingerprints against plain arithmetic, one number at a time."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from llm.test_operators import PROSE, TEXTS
-from wayside.llm import quality, toxicity
+from wayside.llm import fingerprint, quality, toxicity
 
 SAMPLE = [(t or "")[:3000] for t in TEXTS] + ["A|B | c\nA|B | c\n\nthe end!! ..", "word", "1 2 3 $$ %% ## x"]
 
@@ -134,3 +134,64 @@ def test_network_gradients():
     for flat in np.argsort(-np.abs(of_gates).ravel())[:8]:
         place = np.unravel_index(flat, of_gates.shape)
         assert of_gates[place] == pytest.approx(rising(gates, place), rel=0.05, abs=2e-3)
+
+
+MASK = 2**64 - 1
+
+
+def mixed(x: int) -> int:
+    x = (x + 0x9E3779B97F4A7C15) & MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def toss(left: int, own: int) -> int:
+    """Position and value of the lowest bit in which a symbol differs from its left neighbour."""
+    place = ((left ^ own) & -(left ^ own)).bit_length() - 1 if left != own else 0
+    return 2 * place + ((own >> place) & 1)
+
+
+def plain_parse(symbols: list[int]) -> tuple[int, list[int]]:
+    """The name of a whole text and the names of its phrases of all levels."""
+    phrases, level = [], 0
+    while symbols:
+        runs = []
+        for s in symbols:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        named = [mixed(s) if n == 1 else mixed(mixed(s) ^ (n * 0x94D049BB133111EB & MASK)) for s, n in runs]
+        labels = [s for s, _ in runs]
+        for _ in range(4):
+            labels = [labels[0] & 1] + [toss(a, b) for a, b in zip(labels, labels[1:])]
+        cuts = [0] + [i for i in range(1, len(labels) - 1) if labels[i - 1] < labels[i] > labels[i + 1]] + [len(labels)]
+        level += 1
+        symbols = [
+            mixed((sum(mixed(named[i] ^ ((i - a + 1) * 0xBF58476D1CE4E5B9 & MASK)) for i in range(a, b)) & MASK) ^ level)
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        phrases += symbols
+        if len(symbols) == 1:
+            return symbols[0], phrases
+    return 0, []
+
+
+def test_fingerprints_are_those_of_a_plain_parser():
+    texts = SAMPLE + ["aaaa", "ab" * 200, "word " * 120, PROSE * 3, PROSE + PROSE[:40]]
+    points = [fingerprint.code_points(t) for t in texts]
+    whole = fingerprint.prints(points)
+    for text, alone, (name, sketch) in zip(texts, points, whole):
+        plain_name, phrases = plain_parse(alone.tolist())
+        assert name == plain_name, text[:30]
+        assert sketch.tolist() == sorted({p >> 32 for p in phrases})[: fingerprint.SKETCH]
+        again = fingerprint.prints([alone])[0]  # whatever else is parsed with it
+        assert again[0] == name and np.array_equal(again[1], sketch)
+    for a in range(0, len(texts), 3):
+        for b in range(len(texts)):
+            (n, x), (m, y) = whole[a], whole[b]
+            union = sorted({*x.tolist(), *y.tolist()})[: fingerprint.SKETCH]
+            shared = len(set(union) & set(x.tolist()) & set(y.tolist()))
+            want = 1.0 if n == m else 2 * shared / (len(union) + shared) if union else 0.0
+            assert fingerprint.likeness(whole[a], whole[b]) == pytest.approx(want)

@@ -96,12 +96,9 @@ def parse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = symbols[at]
         named = _mixed(plain.astype(np.uint64))
         runs = np.flatnonzero(size > 1)
-        labelled = plain
-        if len(runs):
-            named[runs] = _mixed(named[runs] ^ (size[runs].astype(np.uint64) * _C))
-            labelled = named if plain.dtype == np.uint64 else plain
+        named[runs] = _mixed(named[runs] ^ (size[runs].astype(np.uint64) * _C))
         first = moved
-        labels = _labels(labelled, first)
+        labels = _labels(plain, first)  # neighbours differ, now that runs are one
         # Phrases start at local maxima.
         cut = np.zeros(len(labels), dtype=bool)
         cut[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:])
