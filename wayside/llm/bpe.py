@@ -17,9 +17,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wayside.llm.lexicon import answer, assemble, pack, split, unpack
+from wayside.llm.lexicon import CHUNK_BYTES, answer, assemble, pack, split, unpack
 from wayside.llm.tokens import encoder
 
+#: Documents with their texts that a task holds before it hands them on.
+WHOLE_TEXTS = 256
+
 
 def _each_word(vocabulary: str) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
     def task(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -55,9 +58,9 @@ def _word_ids(answers: list[bytes], places: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _encode(docs: DataFrame, vocabulary: str, task: Callable, schema: str) -> DataFrame:
-    chunks, words, buckets = split(docs, lambda: encoder(vocabulary).words)
-    return assemble(chunks, answer(words, buckets, _each_word(vocabulary)), task, schema)
+def _encode(docs: DataFrame, vocabulary: str, task: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, held: int = 4096) -> DataFrame:
+    chunks, words, buckets = split(docs, lambda: encoder(vocabulary).words, chunk_bytes=chunk_bytes)
+    return assemble(chunks, answer(words, buckets, _each_word(vocabulary)), task, schema, held)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -73,7 +76,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids, decoded`` with ids as text, joined by spaces: what goes in and what comes back."""
     return _encode(docs, vocabulary, _texts(vocabulary, lambda doc_id, n, ids, text: (doc_id, n, ids.decode(), text.decode())),
-                   "doc_id bigint, n_tokens bigint, ids string, decoded string")
+                   "doc_id bigint, n_tokens bigint, ids string, decoded string", CHUNK_BYTES // 2, WHOLE_TEXTS)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:

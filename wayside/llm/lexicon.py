@@ -173,9 +173,11 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def assemble_chunks(chunks: DataFrame, answers: DataFrame, task: Callable[[list[tuple]], tuple | Iterator[tuple]], schema: str) -> DataFrame:
+def assemble_chunks(
+    chunks: DataFrame, answers: DataFrame, task: Callable[[list[tuple]], tuple | Iterator[tuple]], schema: str, held: int = 4096,
+) -> DataFrame:
     """Bring answers back to the chunks. ``task`` gets the row of a chunk and then those of its answers in order of buckets,
-    each ``(chunk, bucket, data)``, and returns a row of ``schema`` or an iterator of rows."""
+    each ``(chunk, bucket, data)``, and returns a row of ``schema`` or an iterator of rows; ``held`` rows leave together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
@@ -198,9 +200,9 @@ def assemble_chunks(chunks: DataFrame, answers: DataFrame, task: Callable[[list[
                 else:
                     yield from made
 
-        yield from batched(rows(), arrow, 1 if "data binary" in schema else 4096)
+        yield from batched(rows(), arrow, 1 if "data binary" in schema else size)
 
-    arrow = arrow_schema(chunks, schema)
+    arrow, size = arrow_schema(chunks, schema), held
     both = chunks.unionByName(answers)
     # Chunks in turn instead of by a hash, so that no task gets several while others get none.
     turn = (F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
@@ -209,7 +211,7 @@ def assemble_chunks(chunks: DataFrame, answers: DataFrame, task: Callable[[list[
 
 
 def assemble(
-    chunks: DataFrame, answers: DataFrame, task: Callable[[list[bytes], np.ndarray], Callable], schema: str,
+    chunks: DataFrame, answers: DataFrame, task: Callable[[list[bytes], np.ndarray], Callable], schema: str, held: int = 4096,
 ) -> DataFrame:
     """Bring answers back to the chunks and make rows of documents.
 
@@ -225,4 +227,4 @@ def assemble(
             yield make(doc_id if given else None, flat[at : at + n])
             at += n
 
-    return assemble_chunks(chunks, answers, documents, schema)
+    return assemble_chunks(chunks, answers, documents, schema, held)
