@@ -251,6 +251,22 @@ def test_near_duplicates(spark, nothing):
 NAMES = ["row", "__row", "__row_of", "__copy", "copy", "__file", "__line", "file", "line", "document", "key", "bits", "size", "copies", "component_id", "root"]
 
 
+def test_near_duplicates_by_fingerprint(spark, monkeypatch):
+    """Without any shared key the trie walk still finds what lies within its bits."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(12):
+        words = [f"t{w}" for w in rng.integers(0, 5000, 1500)]
+        texts.append(" ".join(words))
+        texts.append(" ".join(["edited", *words[1:]]))
+    prints = [simhash.text_fingerprint(t, near.WORDS) for t in texts]
+    close = {2 * k + 1 for k in range(12) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= near.BUDGET}
+    keyed = near.keyed
+    monkeypatch.setattr(near, "keyed", lambda rows: keyed(rows).withColumn("keys", F.array("row")))
+    kept = {r["doc_id"] for r in near.drop_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(close) >= 10 and kept == set(range(24)) - close
+
+
 @pytest.mark.parametrize("drop", [exact.drop_exact, near.drop_similar, simhash.drop_near, mixing.mixed])
 def test_names_of_helpers_as_extra_columns(spark, drop):
     rows = [(i, f"text number {i // 2}", "s", *[f"{n}{i}" for n in NAMES]) for i in range(6)]

@@ -1,8 +1,10 @@
 """Near-deduplication by the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of five-word shingles (64-bit hashes of lower-case words) have a similarity of at least
-``SIMILARITY``; every link is checked on the two texts. Texts with equal sets are one from the start. Candidates come from MinHash: ``BANDS``
-keys of ``ROWS`` minima each, so a pair of similarity 0.8 shares a key with probability 1 - (1 - 0.8^5)^24 = 0.99993.
+``SIMILARITY``; every link is checked on the two texts. Texts with equal sets are one from the start. The first candidates come from the SimHash
+trie walk of ``simhash``, over five-word shingles and ``BUDGET`` bits. At a similarity of 0.8 fingerprints differ in more bits than a trie can
+prune by, so the pairs beyond the budget come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a pair of similarity 0.8 shares one with
+probability 1 - (1 - 0.8^5)^24 = 0.99993.
 
 Texts that share keys are told apart by their shingles, ordered by rarity among them. A text that has more than a fifth of its shingles for
 itself has no links. Each other one is compared with one text of its keys, that with the fewest shingles of its own, which is nearest to what a group has in
@@ -24,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wayside.llm.common import staged, text_of
-from wayside.llm.simhash import components
+from wayside.llm.simhash import components, fingerprints, links as print_links
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of candidates may differ.
+BUDGET = 3
 BANDS, ROWS, SEED = 24, 5, 42
 #: Shingles hashed together.
 BLOCK = 1 << 18
@@ -122,6 +126,16 @@ def checked(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return staged(both.mapInArrow(compare, "a bigint, b bigint"), "near-links")
 
 
+def print_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` by fingerprint: rows of equal ones with the smallest of them, and the smallest rows along the links of the trie walk."""
+    prints = staged(fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), WORDS).withColumnRenamed("doc_id", "row"), "near-prints")
+    leads = staged(prints.groupBy("bits").agg(F.min("row").alias("lead")), "near-prints")
+    equal = prints.join(leads, "bits").where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
+    ends = [leads.select(F.col("bits").alias(end), F.col("lead").alias(f"lead_{end}")) for end in "ab"]
+    linked = print_links(leads.select("bits"), BUDGET).join(ends[0], "a").join(ends[1], "b")
+    return equal.unionByName(linked.select(F.greatest("lead_a", "lead_b").alias("a"), F.least("lead_a", "lead_b").alias("b")))
+
+
 def _rooted(shared: DataFrame, links: DataFrame) -> DataFrame:
     """``key, row, root`` of the rows that share keys."""
     member = staged(components(links), "near-members").select(F.col("node").alias("row"), "root")
@@ -138,7 +152,7 @@ def _one_each(shared: DataFrame, alone: DataFrame) -> DataFrame:
     named = shared.join(leads, "key").select("row", F.when(F.col("first.row") != F.col("row"), F.col("first")).otherwise(F.col("second")).alias("lead"))
     best = named.groupBy("row").agg(F.min("lead").alias("lead"))
     pairs = best.select(F.greatest("row", "lead.row").alias("a"), F.least("row", "lead.row").alias("b"))
-    return staged(pairs.distinct(), "near-pairs")
+    return pairs.distinct()
 
 
 def first_shingles(rows: DataFrame, least: float) -> DataFrame:
@@ -182,7 +196,8 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     first = staged(first_shingles(texts, least), "near-first")
     alone = staged(first.groupBy("row").agg((F.min("place") / F.first("n")).alias("share")), "near-alone")
     shared = staged(shared.join(alone.select("row"), "row", "left_semi").select("key", "row"), "near-shared")
-    found = checked(_one_each(shared, alone), rows, least)
+    by_print = print_pairs(rows.join(single.select("row"), "row", "left_semi"))
+    found = checked(staged(by_print.unionByName(_one_each(shared, alone)).distinct(), "near-pairs"), rows, least)
     rooted = _rooted(shared, found)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_ = rooted.join(mixed.select("key"), "key", "left_semi").select("row", "root").distinct()
