@@ -46,16 +46,22 @@ def _each_word(vocabulary: str) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
     return task
 
 
-def _word_ids(answers: list[bytes], places: np.ndarray) -> list[np.ndarray]:
-    """The ids of each word by its number."""
+def _word_spans(answers: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a chunk's words in one array, and per number of a word where its ids start and how many they are."""
     parts = [unpack(a, np.int32, np.int32) for a in answers]
+    first, size = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
     if not parts:
-        return []
+        return np.zeros(0, np.int32), first, size
     sizes, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    out: list = [None] * len(places)
-    for place, ids in zip(places.tolist(), np.split(flat, np.cumsum(sizes)[:-1])):
-        out[place] = ids
-    return out
+    size[places] = sizes
+    first[places] = np.cumsum(sizes, dtype=np.int64) - sizes
+    return flat, first, size
+
+
+def _word_ids(answers: list[bytes], places: np.ndarray) -> list[np.ndarray]:
+    """The ids of each word by its number."""
+    flat, first, size = _word_spans(answers, places)
+    return [flat[at : at + n] for at, n in zip(first.tolist(), size.tolist())]
 
 
 def _encode(docs: DataFrame, vocabulary: str, task: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, held: int = 4096) -> DataFrame:
@@ -89,11 +95,12 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 def _texts(vocabulary: str, row: Callable) -> Callable:
     def task(answers, places):
         pieces, decimal = encoder(vocabulary).pieces, encoder(vocabulary).decimal
-        ids = _word_ids(answers, places)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        listed = [x.tolist() for x in ids]
-        shown = [b" ".join([decimal[i] for i in x]) for x in listed]
-        spelt = [b" ".join([pieces[i] for i in x]) for x in listed]
+        flat, first, sizes = _word_spans(answers, places)
+        shown, spelt = [], []
+        for at, n in zip(first.tolist(), sizes.tolist()):
+            ids = flat[at : at + n].tolist()
+            shown.append(b" ".join([decimal[i] for i in ids]))
+            spelt.append(b" ".join([pieces[i] for i in ids]))
 
         def make(doc_id, numbers):
             n = sizes[numbers]
