@@ -119,6 +119,13 @@ def test_live_outages_equal_batch(spark, tmp_path):
         spark.conf.set(store, before)
 
 
+def test_polls_are_added_up_before_they_move(spark):
+    base = datetime(2024, 1, 1)
+    polls = frame(spark, "poller string, ts timestamp, ok bigint, fail bigint", *[(p, base + timedelta(seconds=s), s % 2, 1 - s % 2) for p in "ab" for s in range(900)]).coalesce(1)
+    got = rows(alarms.polls_by_window(polls))
+    assert got == [(p, base + timedelta(seconds=w + 299), 150, 150) for p in "ab" for w in (0, 300, 600)]
+
+
 def test_repeats_within_the_watermark(spark, town, tmp_path):
     source, out = str(tmp_path / "pings"), str(tmp_path / "out")
     base = datetime(2024, 1, 1, 8, 0)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -73,13 +74,43 @@ class OutageTimer(StatefulProcessor):
         pass
 
 
+POLLS = "poller string, ts timestamp, ok bigint, fail bigint"
+#: Windows of pollers that a task adds up before it hands them on.
+HELD_WINDOWS = 100_000
+
+
+def polls_by_window(log: DataFrame, seconds: int = ALARM_SECONDS) -> DataFrame:
+    """Polls (poller, ts, ok, fail) added up per poller and window inside each task, at the last time of the window: what the timers and the
+    watermark need, at most one row per task, poller and window in a batch. Polls without a time pass as they are."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).to_pandas(timestamp_as_object=False)
+            rows["at"] = rows["ts"].dt.floor(f"{seconds}s")
+            rows = rows if held is None else pd.concat([held, rows])
+            held = rows.groupby(["poller", "at"], dropna=False, as_index=False).agg({"ts": "max", "ok": "sum", "fail": "sum"})
+            if len(held) >= HELD_WINDOWS:
+                yield out(held, batch.schema)
+                held = None
+        if held is not None:
+            yield out(held, batch.schema)
+
+    def out(held: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(held[schema.names], schema=schema, preserve_index=False)
+
+    return log.mapInArrow(add_up, POLLS)
+
+
 def live_outages(log: DataFrame, late: str = "10 minutes", length: int = OUTAGE_WINDOWS, seconds: int = ALARM_SECONDS) -> DataFrame:
     """Outages of each poller as they happen, from a stream of polls (poller, ts, ok, fail; ``ts`` a TIMESTAMP).
 
     Raises the windows of ``outage_windows``, each once its end is behind the watermark. The watermark only moves with rows of the stream:
-    join a heartbeat (``heartbeats``) or other pollers to it, so that silence is noticed. Needs the RocksDB state store.
+    join a heartbeat (``heartbeats``) or other pollers to it, so that silence is noticed. Polls go to the one task of their poller added up per window.
+    Needs the RocksDB state store.
     """
-    marked = log.select(F.col("poller").cast("string"), "ts", F.col("ok").cast("bigint"), F.col("fail").cast("bigint")).withWatermark("ts", late)
+    polls = log.select(F.col("poller").cast("string"), "ts", F.col("ok").cast("bigint"), F.col("fail").cast("bigint"))
+    marked = polls_by_window(polls, seconds).withWatermark("ts", late)
     return marked.groupBy("poller").transformWithStateInPandas(OutageTimer(length, seconds), OUTAGE, "Append", "EventTime").where("poller <> ''")
 
 
