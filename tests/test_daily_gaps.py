@@ -47,6 +47,17 @@ def test_day_fact_follows_trip_fact(loaded):
     assert (20240102, 1, 3, 2, 1, 0, 1) in got and (20240103, 1, 2, 0, 0, 2, 0) in got
 
 
+def test_new_days_are_not_compared_with_stored_ones(town, live, loaded):
+    """Days that hold nothing yet come from the skeleton alone; days that do are still compared."""
+    for days, compared in ((("2024-01-08", "2024-01-09"), False), (("2024-01-02", "2024-01-03"), True)):
+        dates = date_range(town.spark, *days)
+        stop = daily.build_stop_fact(town.stg, town.dims, live[0], dates, loaded.stop(), "skeleton")
+        trip = daily.build_trip_fact(town.stg, town.dims, live[1], dates, loaded.trip(), "skeleton")
+        for fact in (stop, trip):
+            plan = fact._jdf.queryExecution().optimizedPlan().toString()
+            assert ("LeftAnti" in plan) == compared
+
+
 def test_phases(town, live, tmp_path):
     house = daily.Warehouse(town.spark, str(tmp_path))
     day = date_range(town.spark, "2024-01-01", "2024-01-01")

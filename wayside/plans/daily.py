@@ -59,6 +59,14 @@ def on_dates(fact: DataFrame, dates: DataFrame) -> DataFrame:
     return narrow(fact, "datekey", dates.select(date_key("service_date").alias("datekey")))
 
 
+def kept_rows(stored: DataFrame | None, dates: DataFrame, phase: str) -> DataFrame | None:
+    """Stored rows of the dates; None where a skeleton finds none, so that its rows are not moved to be compared with nothing."""
+    if stored is None:
+        return None
+    kept = on_dates(stored, dates)
+    return None if phase != "merge" and kept.isEmpty() else kept
+
+
 def pings_on(positions: DataFrame, dates: DataFrame, cutoff_hour: int = 0) -> DataFrame:
     """Pings of the service days; the bounds on the time itself can skip row groups."""
     if "service_date" in positions.columns:  # stored by day: other partitions are not opened
@@ -77,7 +85,7 @@ def build_stop_fact(stg: Frames, dims: Frames, updates: DataFrame, dates: DataFr
     """Stop fact rows of the dates after the phase: stored rows plus new ones, merged and flagged."""
     _check_phase(phase)
     dims = newest_dims(dims)
-    kept = None if stored is None else on_dates(stored, dates)
+    kept = kept_rows(stored, dates, phase)
     fact = kept
     if phase != "merge":
         fresh = stop_ops.stop_skeleton(stg, dims, dates, kept)
@@ -95,7 +103,7 @@ def build_trip_fact(stg: Frames, dims: Frames, positions: DataFrame, dates: Data
     """Trip fact rows of the dates after the phase; ``force_skeleton`` forgets the stored rows."""
     _check_phase(phase)
     dims = newest_dims(dims)
-    kept = None if stored is None else on_dates(stored, dates)
+    kept = kept_rows(stored, dates, phase)
     if kept is not None and phase != "skeleton":
         kept = kept.filter(F.col("tripstatus") != flags.ADDED)  # all of one key, and found anew below
     fact = kept
