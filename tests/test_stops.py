@@ -105,3 +105,22 @@ def test_mark_ends_equals_window(town):
     expected = visits.select("*", (F.col("stop_sequence") == F.min("stop_sequence").over(over)).alias("is_origin"),
                              (F.col("stop_sequence") == F.max("stop_sequence").over(over)).alias("is_terminal"))
     assert rows(stops.mark_ends(visits)) == rows(expected)
+
+
+def test_merge_keeps_days_of_a_visit_together(town, skeleton):
+    """Reports of many days and months meet their own day only, and rows move by visit and month."""
+    updates = town.updates(*[("t1", "s1", 1, date(2024, m, d), datetime(2024, m, d, 8, d), at(1, 0)) for m in (1, 2) for d in (1, 2, 4, 5)])
+    merged = stops.merge_stop_updates(skeleton, updates, town.dims)
+    assert merged.count() == skeleton.count()
+    got = rows(merged.filter("arrivalsource = 'GTFS_RT_REPORTED'"), "tripkey", "stopsequence", "datekey", "arrivaldevseconds")
+    assert got == [(31, 1, 20240100 + d, 60 * d) for d in (1, 2, 4, 5)]
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in thresholds:
+        town.spark.conf.set(name, "-1")
+    try:
+        plan = stops.merge_stop_updates(skeleton, updates, town.dims)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in thresholds:
+            town.spark.conf.unset(name)
+    moved = [line for line in plan.splitlines() if "hashpartitioning(tripkey" in line and "stopkey" in line]
+    assert moved and all("_month" in line and "datekey" not in line for line in moved)

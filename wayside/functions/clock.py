@@ -50,6 +50,11 @@ def date_key(date: ColumnOrName) -> Column:
     return F.year(date) * 10_000 + F.month(date) * 100 + F.dayofmonth(date)
 
 
+def month_of_key(key: ColumnOrName) -> Column:
+    """yyyymm of a yyyymmdd integer."""
+    return F.call_function("div", as_column(key), F.lit(100)).cast("int")
+
+
 def date_from_key(key: ColumnOrName) -> Column:
     """Date of a yyyymmdd integer; NULL where the key names no calendar day."""
     return F.try_to_date(F.lpad(as_column(key).cast("string"), 8, "0"), "yyyyMMdd")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flags
-from ..functions.clock import date_key, deviation_seconds, gtfs_minute_key, gtfs_seconds
+from ..functions.clock import date_key, deviation_seconds, gtfs_minute_key, gtfs_seconds, month_of_key
 from ..functions.guards import is_int, non_blank
 from ..schemas import FACT_STOP, conform
 from .calendar import service_days
@@ -17,6 +17,7 @@ from .latest import keep_latest
 
 Frames = Mapping[str, DataFrame]
 STOP_KEYS = ["tripkey", "stopkey", "stopsequence", "datekey"]
+VISIT_MONTH = ["tripkey", "stopkey", "stopsequence", "_month"]
 
 
 def stop_visits(stop_times: DataFrame) -> DataFrame:
@@ -102,27 +103,46 @@ def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFra
 
 
 def resolve_updates(updates: DataFrame, dims: Frames) -> DataFrame:
-    """Reported arrivals by fact key, one per key."""
+    """Reported arrivals by fact key, one per key.
+
+    The few stops come first, so that rows move to their trips with a key in place of the stop's name and without unknown stops.
+    Rows then move once more, by visit and month, for both keeping the newest and the join with the fact.
+    """
     trips = dims["trip"].select(F.col("tripid").alias("trip_id"), "tripkey")
     stops = dims["stop"].select(F.col("stopid").alias("stop_id"), "stopkey")
     keyed = (
         updates.filter(F.col("arrival_time_local").isNotNull())
-        .join(trips, "trip_id")
         .join(stops, "stop_id")
+        .join(trips, "trip_id")
         .select(
             "tripkey",
             "stopkey",
             F.col("stop_sequence").cast("int").alias("stopsequence"),
-            date_key("service_date").alias("datekey"),
+            month_of_key(date_key("service_date")).alias("_month"),
+            F.col("service_date").alias("_date"),
             "feed_timestamp_utc",
             "agency_key",
-            F.col("service_date").alias("_date"),
             F.col("arrival_time_local").alias("_arrival"),
             F.col("departure_time_local").alias("_departure"),
         )
     )
-    latest = keep_latest(keyed, STOP_KEYS, ["feed_timestamp_utc", "agency_key"])
-    return latest.select(*STOP_KEYS, "_date", "_arrival", "_departure")
+    latest = keep_latest(keyed.repartition(*VISIT_MONTH), [*VISIT_MONTH, "_date"], ["feed_timestamp_utc", "agency_key"])
+    return latest.select(*VISIT_MONTH, date_key("_date").alias("datekey"), "_date", "_arrival", "_departure")
+
+
+def join_updates(fact: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Fact rows with the resolved report of their key, if any.
+
+    Both sides move by visit and month instead of the whole key, so that the days of a visit, alike but for the date, stay next to
+    each other and compress. The day is compared inside the join: at most 31 of a side meet, whatever the range. It is written as a difference
+    because Spark would move rows by any plain equality.
+    """
+    reports = resolved.withColumnRenamed("datekey", "_day")
+    same_day = (F.col("datekey") - F.col("_day")) == 0
+    left = fact.withColumn("_month", month_of_key("datekey")).alias("f")
+    on = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in VISIT_MONTH]
+    joined = left.join(reports.alias("r"), [*on, same_day], "left")
+    return joined.select(*[F.col(f"f.{c}") for c in fact.columns], "_date", "_arrival", "_departure")
 
 
 def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force: bool = False) -> DataFrame:
@@ -131,7 +151,7 @@ def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force:
     Without ``force`` only rows still on the schedule fallback change. Days without updates pass
     through, so the result replaces the same partitions.
     """
-    joined = fact.join(resolve_updates(updates, dims), STOP_KEYS, "left")
+    joined = join_updates(fact, resolve_updates(updates, dims))
     apply = F.col("_date").isNotNull()
     if not force:
         apply = apply & flags.is_true(F.col("arrivalsource") == flags.FALLBACK)
