@@ -190,3 +190,10 @@ def test_alert_shares_are_strict(spark):
 def test_special_trips_mark_the_day_and_stay_out_of_the_peak(spark):
     day = days.service_day(trip_rows(spark, ("OPERATED", at(1, 8, 0), at(1, 9, 0), True, 1, False))).first()
     assert day.isspecialeventday and day.peakvehiclecount == 0 and not day.isofficial
+
+
+def test_skeleton_combines_before_rows_move(town):
+    """Shapes and stop times go into their aggregation as they are; no join moves them before."""
+    plan = trips.trip_skeleton(town.stg, town.dims, town.dates)._jdf.queryExecution().analyzed().toString()
+    semi = [line for line in plan.splitlines() if "Join LeftSemi" in line]
+    assert semi and not [line for line in semi if "shape_id" in line or "trip_id" in line]

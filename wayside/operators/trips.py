@@ -53,7 +53,8 @@ def trip_skeleton(
     """One row per scheduled trip and date, cancelled trips included.
 
     ``force_skeleton`` ignores what is stored, so the result replaces those days outright. Miles,
-    hours and keys are attached per trip; dates unfold last.
+    hours and keys are attached per trip; dates unfold last. Shapes and stop times combine per shape and
+    trip before they move; restricting them to the trips of the run first would move every row.
     """
     days = service_days(stg["calendar"], stg["calendar_dates"], dates)
     services = service_calendar(days, "active or cancelled", "cancelled", "special")
@@ -64,9 +65,8 @@ def trip_skeleton(
         .join(resolved, "trip_id")
     )
     trips = resolve_route(trips, dims["route"], dims["agency"])
-    planned = scheduled_trips(stg["trips"], services)
-    lengths = fresh_key(shape_miles(stg["shapes"], planned), "shape_id")
-    trips = trips.join(lengths, "shape_id", "left").join(trip_hours(stg["stop_times"], planned), "trip_id", "left")
+    lengths = fresh_key(shape_miles(stg["shapes"]), "shape_id")
+    trips = trips.join(lengths, "shape_id", "left").join(trip_hours(stg["stop_times"]), "trip_id", "left")
     rows = trips.withColumn("_day", F.explode("days"))
     cancelled = F.col("_day.cancelled")
     vrm, vrh = zero_key("miles"), zero_key("hours")
