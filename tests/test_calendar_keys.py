@@ -87,3 +87,12 @@ def test_keep_latest_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
     plan = latest.keep_latest(df, ["k"], ["t"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_narrow_moves_the_list_only(spark):
+    """A list of local rows has no known size; the table is not moved for it."""
+    table = spark.range(100).select((F.col("id") % 10).cast("int").alias("datekey"), "id")
+    wanted = spark.createDataFrame([(3,), (5,), (3,)], "datekey int")
+    found = keys.narrow(table, "datekey", wanted)
+    assert sorted(set(r[0] for r in found.select("datekey").collect())) == [3, 5] and found.count() == 20
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()

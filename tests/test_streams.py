@@ -172,3 +172,14 @@ def test_live_stop_merge_equals_batch(spark, town, tmp_path):
     want = rows(conform(stops.stop_official(stops.merge_stop_updates(skeleton, spark.read.parquet(source), town.dims, force=True)), FACT_STOP))
     assert run("state") == want and sum("GTFS_RT_REPORTED" in r for r in want) == 6
     assert run("again") == want
+
+
+def test_upsert_moves_stored_rows_and_batch_once(spark, tmp_path, monkeypatch):
+    """Repeats inside a batch and across batches leave the newest row; one window handles both."""
+    ranked = []
+    monkeypatch.setattr(streams, "keep_latest", lambda df, *a: ranked.append(1) or latest.keep_latest(df, *a))
+    put = streams.upsert_latest(str(tmp_path / "t"), ["k"], ["at"], "day")
+    for number, batch in enumerate(([("a", 1), ("a", 2), ("b", 5)], [("a", 4), ("a", 3), ("b", 1)])):
+        put(spark.createDataFrame([(k, at, "d") for k, at in batch], "k string, at int, day string"), number)
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "k", "at") == [("a", 4), ("b", 5)]
+    assert len(ranked) == 2

@@ -76,11 +76,12 @@ def narrow(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
     The bounds are scalar subqueries: on a table partitioned by the column they are known before
     files are listed, so partitions outside the list's span are never opened. The semi-join then
-    keeps exactly the listed values.
+    keeps exactly the listed values; the list is broadcast, because a list made from local rows has no
+    known size, and Spark would move all of ``df`` before it sees how short it is.
     """
     low, high = (wanted.agg(f(column)).scalar() for f in (F.min, F.max))
     inside = df.filter((F.col(column) >= low) & (F.col(column) <= high))
-    return inside.join(wanted.select(column).distinct(), column, "left_semi").select(*df.columns)
+    return inside.join(F.broadcast(wanted.select(column).distinct()), column, "left_semi").select(*df.columns)
 
 
 def scope_to(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import audit, calendar, days, dims, flatten, gaps, keys, latest
 from ..schemas import DIMENSIONS, FACT_STOP, FACT_TRIP, conform
 from ..session import configure, scratch_path
 from ..sources import evolve, feeds, sinks
-from ..sources.static import append_drifted, reconcile
+from ..sources.static import append_drifted, list_files, reconcile
 from ..streaming import alarms, facts, streams
 from . import extracts, ledger, reports, views
 from .daily import Options, Warehouse
@@ -1054,14 +1054,21 @@ def stream_positions_distinct(t: Lens) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(out)
 
 
+def _landed_twice(t: Lens, name: str, by: str) -> DataFrame:
+    """A table as a stream of files that landed in two turns, about one turn per batch; its rows are not moved for that."""
+    rows, landed = t.table(name), scratch_path(t.spark, name)
+    for turn in range(2):
+        rows.filter(F.pmod(F.xxhash64(by), F.lit(2)) == turn).write.mode("append").parquet(landed)
+    files = len(list_files(t.spark, f"{landed}/part-*"))
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(landed)
+
+
 @query
 def stream_trip_merge(t: Lens) -> DataFrame:
     """Scheduled trips with the pings of a stream merged in, batch by batch."""
-    landed, fact, parts, state = (scratch_path(t.spark, name) for name in ("pings", "fact-trip", "ping-parts", "merge-state"))
-    t.table("events").repartition(2).write.parquet(landed)
+    fact, parts, state = (scratch_path(t.spark, name) for name in ("fact-trip", "ping-parts", "merge-state"))
     sinks.replace_partition(trips.trip_skeleton(t.timetable, t.dims, t.dates), fact, "datekey")
-    events = t.spark.readStream.schema(t.table("events").schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    positions = Lens(t.spark, t.folder, events=events).positions
+    positions = Lens(t.spark, t.folder, events=_landed_twice(t, "events", "event_id")).positions
     facts.stream_trip_merge(positions, fact, parts, t.dims, state).awaitTermination()
     return sinks.read_table(t.spark, fact, FACT_TRIP).select(*PINGED)
 
@@ -1069,10 +1076,11 @@ def stream_trip_merge(t: Lens) -> DataFrame:
 @query
 def stream_stop_merge(t: Lens) -> DataFrame:
     """Scheduled visits with the reports of a stream merged in, batch by batch."""
-    landed, fact, table, state = (scratch_path(t.spark, name) for name in ("updates", "fact-stop", "newest-updates", "merge-state"))
-    t.stop_updates.repartition(2).write.parquet(landed)
+    fact, table, state = (scratch_path(t.spark, name) for name in ("fact-stop", "newest-updates", "merge-state"))
     sinks.replace_partition(stops.stop_skeleton(t.timetable, t.dims, t.dates), fact, "datekey")
-    updates = t.spark.readStream.schema(t.stop_updates.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    used = [c for c in t.table("lineitem").columns if c not in ("l_extendedprice", "l_discount", "l_commitdate", "l_receiptdate", "l_comment")]
+    lines = Lens(t.spark, t.folder, lineitem=t.table("lineitem").select(*used))
+    updates = Lens(t.spark, t.folder, lineitem=_landed_twice(lines, "lineitem", "l_partkey")).stop_updates
     facts.stream_stop_merge(updates, fact, table, t.dims, state).awaitTermination()
     return sinks.read_table(t.spark, fact, FACT_STOP).select(*[c for c in MERGED if c != "isofficial"])
 

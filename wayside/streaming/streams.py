@@ -42,19 +42,19 @@ def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partiti
     """``foreachBatch`` function that keeps the newest row per key in a partitioned table.
 
     Only the partitions a batch touches, a short list of days, are read and replaced, so its cost follows the batch,
-    not the table. Replaying a batch leaves the table as it was.
+    not the table. The batch and what is stored move once, together. Replaying a batch leaves the table as it was.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        incoming = keep_latest(batch, keys, newest).persist()
+        incoming = batch.persist()
         if not incoming.isEmpty():
-            result = incoming
+            rows = incoming
             if path_exists(spark, path):
                 stored = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
                 days = [row[0] for row in incoming.select(partition).distinct().collect()]
                 stored = stored.filter(F.col(partition).isin(days))
-                result = keep_latest(stored.unionByName(incoming), keys, newest)
-            replace_partition(result, path, partition)
+                rows = stored.unionByName(incoming)
+            replace_partition(keep_latest(rows, keys, newest), path, partition)
         incoming.unpersist()
 
     return write
