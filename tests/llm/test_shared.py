@@ -210,6 +210,27 @@ def test_phrases(spark, nothing, longest, top):
         assert phrases.collocations(nothing).count() == 0
 
 
+def test_phrase_groups_move_once(spark):
+    """Counting, dropping and numbering the groups of blocks takes one shuffle, and the last length, which is only counted, adds up before it."""
+    rows = [(block, left, word, 1 + (left + word) % 3) for block in range(6) for left in range(1, 41) for word in range(1, 8) if (block * left + word) % 5]
+    groups = spark.createDataFrame(rows, "block bigint, left int, word int, n bigint")
+    sums = Counter()
+    for _, left, word, n in rows:
+        sums[left, word] += n
+    frequent = {group: n for group, n in sums.items() if n >= 9}
+    assert 0 < len(frequent) < len(sums)
+    found = phrases.counted(groups, 9, "left", "word")
+    got = found.collect()
+    assert Counter((r.block, r.left, r.word) for r in got) == Counter((b, left, word) for b, left, word, _ in rows if (left, word) in frequent)
+    assert {(r.left, r.word): r.a for r in got if r.first} == frequent and sum(r.first for r in got) == len(frequent)
+    numbers = {(r.left, r.word, r.id) for r in got}
+    assert len(numbers) == len({n for _, _, n in numbers}) == len(frequent) and min(n for _, _, n in numbers) > 0
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    summed = phrases.totalled(groups, 9, "left", "word")
+    assert {(r.left, r.word): r.a for r in summed.collect()} == frequent
+    assert "partial_sum(n" in summed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates(spark, nothing):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(4000)}"

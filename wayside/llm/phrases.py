@@ -5,8 +5,8 @@ Texts are cut into pieces at marks and line ends, pieces into words at spaces an
 with the words' numbers in order, 0 between pieces.
 
 Level by level, the relation of phrases of one length is merge-joined with itself by piece and adjacent position (two sorted columns, one
-pass per block), occurrences are grouped and counted, and groups seen less than ``least`` times drop out: what stays is semi-joined back
-to the blocks, which know their frequent phrases before they extend them by a word. A block sends each of its distinct phrases once, so a
+pass per block), occurrences are grouped and counted, and groups seen less than ``least`` times drop out: what stays is numbered in the same
+shuffle and goes back to the blocks, which know their frequent phrases before they extend them by a word. The last length is only counted. A block sends each of its distinct phrases once, so a
 hot phrase is one row per block; no list of phrases is broadcast.
 
 A phrase is cut after each of its words; with ``a`` its count and ``l, r`` those of the two parts, its score is the least of
@@ -35,6 +35,11 @@ MARKS = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 #: A task holds one block at a time, in the reader and in what goes to Python.
 ONE_BLOCK = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}
 
+#: Buckets of a hash in which groups are numbered, times the partitions of a shuffle.
+BUCKETS = 64
+#: Shuffles go as soon as the step that made them has written its result.
+SWEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 BLOCK = "block bigint, lang string, words array<int>, listed array<string>, often array<bigint>"
 
 
@@ -88,12 +93,21 @@ def occurrences(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select(text_of().alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, BLOCK)
 
 
-def numbered(groups: DataFrame, *key: str) -> DataFrame:
-    """The groups with an ``id`` from 1 on, nearly dense: numbered within buckets of a hash, without a global sort."""
-    buckets = width(groups.sparkSession)
-    at = groups.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    turn = F.row_number().over(Window.partitionBy("bucket").orderBy(*key))
-    return at.withColumn("id", ((turn - 1) * buckets + F.col("bucket") + 1).cast("int")).drop("bucket")
+def counted(groups: DataFrame, least: int, *key: str) -> DataFrame:
+    """The groups of each block that reach ``least`` over all blocks, with a number ``id`` of the group from 1 on, nearly dense; ``first`` marks one
+    row of each group, which alone has its count ``a``. One shuffle, by buckets of a hash, counts, semi-joins and numbers, without a global sort."""
+    buckets = BUCKETS * width(groups.sparkSession)
+    at = groups.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).repartition("bucket")
+    kept = at.withColumn("a", F.sum("n").over(Window.partitionBy("bucket", *key))).where(F.col("a") >= least)
+    turn = Window.partitionBy("bucket").orderBy(*key)
+    number = ((F.dense_rank().over(turn) - 1) * buckets + F.col("bucket") + 1).cast("int")
+    kept = kept.withColumns({"id": number, "first": F.row_number().over(turn) == F.rank().over(turn)})
+    return kept.withColumn("a", F.when(F.col("first"), F.col("a"))).drop("bucket", "n")
+
+
+def totalled(groups: DataFrame, least: int, *key: str) -> DataFrame:
+    """The groups that reach ``least`` over all blocks, with their count ``a``; tasks add up their blocks before rows move."""
+    return groups.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
 def renumbered(blocks: DataFrame, words: DataFrame) -> DataFrame:
@@ -163,41 +177,32 @@ def matched(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
     return own.groupBy("block").cogroup(frequent.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(finish, schema)
 
 
-def counted(groups: DataFrame, least: int) -> DataFrame:
-    """``block, left, word, a``: the groups of each block that reach ``least`` over all blocks (counted and semi-joined in one shuffle)."""
-    total = F.sum("n").over(Window.partitionBy("left", "word"))
-    return groups.withColumn("a", total).where(F.col("a") >= least).select("block", "left", "word", "a")
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """Frequent words and phrases: per level ``words`` (numbers) and ``a``; the texts of numbers; all words per language."""
     blocks = staged(occurrences(docs), "phrase-blocks")
+    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("often", F.lit(0).cast("bigint"), lambda n, one: n + one)).alias("n"))
     places = blocks.select("block", "lang", F.posexplode(F.arrays_zip("listed", "often")).alias("place", "item")).where("item.often > 0").select(
         "block", "lang", (F.col("place") + 1).alias("place"), F.col("item.listed").alias("word"), F.col("item.often").alias("n")
     )
-    counts = staged(places.groupBy("lang", "word").agg(F.sum("n").alias("a")), "phrase-words")
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-    names = staged(numbered(counts.where(F.col("a") >= least), "lang", "word"), "phrase-names")
-    known = places.join(names, ["lang", "word"]).select("block", "place", "id")
-    relation = staged(renumbered(blocks, known), "phrase-relation").withColumn("phrase", F.col("words"))
-    levels = [names.select(F.array("id").alias("words"), "a")]
-    numbers = names.select("id", F.array("id").alias("words"))
+    known = counted(places, least, "lang", "word")
+    known = staged(known.withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("lang", "word")}), "phrase-words")
+    names = known.where("first").select("id", "lang", F.col("word").alias("name"), "a")
+    relation = staged(renumbered(blocks, known.select("block", "place", "id")), "phrase-relation").withColumn("phrase", F.col("words"))
+    numbers = names.select("id", F.array("id").alias("words"), "a")
+    levels = [numbers.select("words", "a")]
     for length in range(1, longest):
+        last = length + 1 == longest
         with settings(relation.sparkSession, ONE_BLOCK):
-            found = staged(counted(extended(relation, length), least), "phrase-counts")
-        groups = staged(numbered(found.groupBy("left", "word").agg(F.first("a").alias("a")), "left", "word"), "phrase-groups")
-        spelt = staged(
-            groups.join(numbers.withColumnRenamed("id", "left"), "left").select(
-                "id", F.concat("words", F.array("word")).alias("words"), "a"
-            ),
-            "phrase-level",
-        )
+            rows = extended(relation, length)
+            found = staged(totalled(rows, least, "left", "word") if last else counted(rows, least, "left", "word"), "phrase-counts")
+        groups = found if last else found.where("first")
+        spelt = groups.join(numbers.select(F.col("id").alias("left"), "words"), "left")
+        spelt = staged(spelt.select(*[c for c in ("id",) if not last], F.concat("words", F.array("word")).alias("words"), "a"), "phrase-level")
         levels.append(spelt.select("words", "a"))
-        numbers = spelt.select("id", "words")
-        if length + 1 < longest:
-            mine = found.join(groups, ["left", "word"]).select("block", "left", "word", "id")
-            relation = staged(matched(relation, mine, length), "phrase-relation")
-    return totals, levels, names.select("id", "lang", F.col("word").alias("name"))
+        if not last:
+            numbers = spelt
+            relation = staged(matched(relation, found.select("block", "left", "word", "id"), length), "phrase-relation")
+    return totals, levels, names.select("id", "lang", "name")
 
 
 def scored(levels: list[DataFrame]) -> DataFrame:
@@ -230,13 +235,14 @@ def covered(levels: list[DataFrame]) -> DataFrame:
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST, share: int = SHARE) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases."""
-    totals, levels, names = frequent_phrases(docs, least, longest)
-    found = staged(scored(levels), "phrase-scores")
-    inside = covered(levels)
-    if inside is not None:
-        held = found.join(inside, "words", "left")
-        found = held.where(F.coalesce(100 * F.col("within") < share * F.col("a"), F.lit(True))).drop("within")
-    rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "phrase-rows")
+    with settings(docs.sparkSession, SWEPT):
+        totals, levels, names = frequent_phrases(docs, least, longest)
+        found = staged(scored(levels), "phrase-scores")
+        inside = covered(levels)
+        if inside is not None:
+            held = found.join(inside, "words", "left")
+            found = held.where(F.coalesce(100 * F.col("within") < share * F.col("a"), F.lit(True))).drop("within")
+        rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "phrase-rows")
     spelt = (
         rows.select("row", F.posexplode("words").alias("at", "id")).join(names, "id")
         .groupBy("row").agg(F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "name"))).alias("parts"))
