@@ -118,6 +118,15 @@ def test_timetable_day_is_gated_and_skips_known_feeds(town, tmp_path):
     assert house.staging()["trips"].count() == town.stg["trips"].count()
 
 
+def test_verdicts_of_loaded_days_are_read_from_their_reports(town, tmp_path):
+    root, house = str(tmp_path / "static"), daily.Warehouse(town.spark, str(tmp_path / "house"))
+    assert house.validations().count() == 0
+    land_timetable(town, root, stop_times=town.stg["stop_times"].filter("stop_sequence <> 'A1'"))
+    house.load_timetable_day(root, date(2024, 1, 1))
+    summary = town.spark.read.json(f"{house.root}/validation/2024-01-01/summary").first()
+    assert rows(house.validations()) == [(date(2024, 1, 1), summary.overall_passed, summary.passed, summary.total_tables)]
+
+
 def test_coexisting_versions_do_not_fan_out(town, live, loaded):
     both = {**town.dims, "route": town.dims["route"].unionByName(town.dims["route"].selectExpr("routekey - 10 as routekey", "agencykey", "routeid", "routeshortname", "routelongname", "routetype", "0 as versionkey"))}
     fact = daily.build_trip_fact(town.stg, both, live[1], town.dates)

@@ -43,6 +43,15 @@ def test_missing_columns_and_empty_table(spark):
     assert not empty["row_counts"] and empty["duplicate_checks"]
 
 
+def test_nulls_of_all_key_columns_move_as_one_count(spark):
+    ddl = "trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence string"
+    times = spark.createDataFrame([("a", "1:00:00", None, None, "1"), ("a", "1:00:00", "1:00:00", "s", "2"), (None, None, "x", "s", None)], ddl)
+    checks = quality.check_table(times, "stop_times")
+    assert {r.check_name: r.failing for r in checks.collect()}["null_checks"] == 4
+    moved = [line for line in checks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "partial_" in line]
+    assert max(line.count("partial_") for line in moved) <= 4
+
+
 def test_profiles(spark):
     df = frame(spark, "a string, b string", ("1", None), ("1", None), (None, "8:00:00"), (None, "x"))
     assert rows(quality.null_profile(df, ["a", "b"])) == [("a", 2), ("b", 2)]

@@ -636,8 +636,12 @@ def _two_days(t: Lens) -> Warehouse:
     """A warehouse after two timetable days: the first with every other stop only, the second with all of them, new names for some, and no
     transfers or calendar exceptions."""
     root, house = scratch_path(t.spark, "static"), Warehouse(t.spark, scratch_path(t.spark, "house"))
+    # Both days land the same visits: they are grouped once.
     visits = t.stop_times.filter("stop_sequence rlike '^[0-9]+$'").groupBy("trip_id", "stop_sequence")
     visits = visits.agg(*[F.min(c).alias(c) for c in t.stop_times.columns if c not in ("trip_id", "stop_sequence")]).select(*t.stop_times.columns)
+    grouped = scratch_path(t.spark, "visits")
+    visits.write.parquet(grouped)
+    visits = t.spark.read.schema(visits.schema).parquet(grouped)
     number = F.substring("stop_id", 2, 20).cast("bigint")
     first = t.stops.filter(number % 2 == 0)
     renamed = t.stops.withColumn("stop_name", F.when(number % 6 == 0, F.concat(F.lit("New "), "stop_name")).otherwise(F.col("stop_name")))
@@ -673,12 +677,9 @@ def run_ledger_digest(t: Lens) -> DataFrame:
     """The digest of the days on which timetables were loaded, from the ledger and the stored versions."""
     house = _two_days(t)
     entries = house.ledger.entries()
-    verdicts = quality.verdicts(quality.check_tables(t.spark, house.staging()))
-    checks = quality.summary(verdicts).select("overall_passed", F.col("passed").cast("int"), F.col("total_tables").cast("int"))
     loaded = entries.select("run_date").distinct()
-    validations = loaded.select("run_date", *[checks.select(c).scalar().alias(c) for c in checks.columns])
     none = t.spark.createDataFrame([], "run_date date, fallback_date date")
-    digest = audit.daily_digest(ledger.runs(entries), validations, none, ledger.versions_seen(entries), loaded)
+    digest = audit.daily_digest(ledger.runs(entries), house.validations(), none, ledger.versions_seen(entries), loaded)
     described = house.versions().select("feedhash", "feedstartdate", "feedpublishername", "filecount")
     return digest.join(described, digest["feed_hash"] == described["feedhash"]).select(
         "run_date", "run_status", "is_new_version", "file_count", "feed_hash", "headline", "feedstartdate", "feedpublishername"

@@ -176,6 +176,14 @@ class Warehouse:
     def versions(self) -> DataFrame:
         return self.dimensions.versions()
 
+    def validations(self) -> DataFrame:
+        """``run_date, overall_passed, passed, total_tables``: the verdict on every timetable day, from the reports that the loads have left."""
+        ddl, reports = "overall_passed boolean, passed bigint, total_tables bigint", self._path("validation/*/summary")
+        if not path_exists(self.spark, reports):
+            return self.spark.createDataFrame([], f"run_date date, {ddl}")
+        day = F.regexp_extract(F.col("_metadata.file_path"), "/validation/([0-9-]+)/summary/", 1).cast("date")
+        return self.spark.read.schema(ddl).json(reports).select(day.alias("run_date"), "*")
+
     def load_feed_day(self, root: str, day: Date, dims: Frames | None = None, zone: str = DEFAULT_ZONE, fmt: str = "json",
                       run_id: str | None = None) -> dict[str, Landed]:
         """One landed feed day: drop junk, flatten, keep the newest rows, store them, then set times of operated trips.
