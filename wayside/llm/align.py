@@ -30,10 +30,11 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wayside.llm.common import staged, text_of
+from wayside.llm.common import LARGE_ROWS, SHORT_BATCHES, settings, staged, text_of
+from wayside.llm.lexicon import arrow_schema, batched, pack, unpack
 
 #: Bytes of text in a chunk, and in a block that is aligned at once.
-CHUNK_BYTES, BLOCK_BYTES = 24 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 #: Groups with more links than this are counted by distinct ids.
 WIDE = 256
 #: How a byte-level vocabulary pre-splits texts (the public pattern of such vocabularies).
@@ -229,7 +230,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
 
 CHUNK = (
     "chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "groups_sha256 array<string>, n_pairs array<int>, steps array<int>, times array<int>, a array<int>, b array<int>, held array<int>"
+    "groups_sha256 array<string>, n_pairs array<int>, places binary, a array<int>, b array<int>, held array<int>"
 )
 RESULT = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -237,9 +238,8 @@ RESULT = (
 
 
 def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> DataFrame:
-    """One row per chunk: what its documents have, their pairs (as steps between places in ``a, b``), and in how many of its documents each pair is."""
-    from wayside.llm.lexicon import arrow_schema
-
+    """One row per chunk: what its documents have, their pairs (``places``: steps between places in ``a, b`` and how often each is linked, compressed),
+    and in how many of its documents each pair is."""
     schema = arrow_schema(docs, CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +267,8 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> Data
             heads = (np.cumsum(counts) - counts)[np.array(counts) > 0]
             steps[heads] = places[heads]
             listed = listed[order]
-            columns = ids, a, b, groups, links, shas, counts, steps, times, listed // second.size, listed % second.size, often[order]
+            packed = pack(steps.astype(np.int32), times.astype(np.int32))
+            columns = ids, a, b, groups, links, shas, counts, packed, listed // second.size, listed % second.size, often[order]
             return pa.RecordBatch.from_arrays(
                 [pa.array([serial], pa.int64()), *(pa.array([c], t) for c, t in zip(columns, schema.types[1:]))], schema=schema
             )
@@ -305,29 +306,32 @@ def _totals(pairs: DataFrame) -> DataFrame:
     return total.withColumn("best", F.max("count").over(Window.partitionBy("a")))
 
 
+def _stored(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int) -> DataFrame:
+    """The chunks, written. A task holds short batches of texts and a few chunks, however much it reads."""
+    with settings(docs.sparkSession, SHORT_BATCHES):
+        return staged(_chunks(docs, a_path, b_path, chunk_bytes), "align-chunks", LARGE_ROWS)
+
+
 def link_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``a, b, count, best`` of every linked pair of ids."""
-    chunks = staged(_chunks(docs, a_path, b_path, CHUNK_BYTES), "align-chunks")
-    return _totals(_counted(chunks))
+    return _totals(_counted(_stored(docs, a_path, b_path, CHUNK_BYTES)))
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every document."""
-    from wayside.llm.lexicon import arrow_schema
-
-    chunks = staged(_chunks(docs, a_path, b_path, chunk_bytes), "align-chunks")
+    chunks = _stored(docs, a_path, b_path, chunk_bytes)
     pairs = staged(_counted(chunks), "align-pairs")
     totals = staged(_totals(pairs), "align-totals")
     known = pairs.join(totals, ["a", "b"]).select("chunk", "place", "count", (F.col("count") == F.col("best")).alias("is_best"))
     schema = arrow_schema(docs, RESULT)
 
     def finish(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        x = {name: left.column(name)[0].values for name in left.column_names[1:]}
+        x = {name: left.column(name)[0].values for name in left.column_names[1:-1]}
+        steps, times = (v.astype(np.int64) for v in unpack(left.column("places")[0].as_py(), np.int32, np.int32))
         count, best = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
         place = right.column("place").to_numpy()
         count[place], best[place] = right.column("count").to_numpy(), right.column("is_best").to_numpy(zero_copy_only=False)
-        sizes, times = x["n_pairs"].to_numpy(), x["times"].to_numpy().astype(np.int64)
-        steps = x["steps"].to_numpy().astype(np.int64)
+        sizes = x["n_pairs"].to_numpy()
         owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
         through = np.cumsum(steps)
         before = np.append(0, through)[starts]
@@ -341,14 +345,12 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUN
             [x["doc_id"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"], *sums, x["groups_sha256"]], schema=schema
         )
 
-    own = chunks.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "steps", "times")
+    own = chunks.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs", "places")
     return own.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(finish, RESULT)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``doc_id, groups``: each group's byte range in the text with a space before it, and the ids of both tokenizers."""
-    from wayside.llm.lexicon import arrow_schema, batched
-
     schema = "doc_id bigint, groups array<struct<start: bigint, end: bigint, a: array<int>, b: array<int>>>"
     arrow = arrow_schema(docs, schema)
 

@@ -12,6 +12,11 @@ from wayside.session import scratch_path
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: For steps that hand texts to Python: few rows at a time, so that a batch is small in the reader, in what is sent, and in the worker.
+SHORT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+#: For tables whose rows are large: a writer looks at its size after every row, not only after the hundredth, and a group of rows is small.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
@@ -23,11 +28,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, so that later steps neither repeat the
-    work nor depend on executors that did it."""
+    work nor depend on executors that did it. ``options`` are those of the writer."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
