@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 import public_tokenizers
 import pyarrow.parquet as pq
 
-from wayside.llm import align, common
+from wayside.llm import align, common, phrases
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -38,3 +38,20 @@ def test_align_chunks_are_small(spark, monkeypatch):
     pairs = sum(sum(r["n_pairs"]) for r in rows)
     assert len(rows) >= 10 and pairs > 20_000 and sum(len(r["places"]) for r in rows) < 4 * pairs
     assert sum(len(r["doc_id"]) for r in rows) == 120
+
+
+def test_phrase_blocks_are_small(spark, monkeypatch):
+    """Blocks keep a word's number in less than its four bytes, one task's blocks are several groups of rows, and blocks meet their groups in more tasks than other shuffles have."""
+    batches = {}
+    monkeypatch.setattr(phrases, "staged", lambda df, label, *a: (batches.setdefault(label, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), common.staged(df, label, *a))[1])
+    monkeypatch.setitem(common.LARGE_ROWS, "parquet.block.size", str(1 << 14))
+    docs = texts(spark, 120, 600)
+    monkeypatch.setattr(phrases.occurrences, "__defaults__", (1 << 14,))
+    totals, levels, _ = phrases.frequent_phrases(docs)
+    assert batches["phrase-blocks"] == "256" and totals.first()["n"] == 120 * 600 and len(levels) == 3
+    blocks = common.staged(phrases.occurrences(docs), "phrase-blocks", common.LARGE_ROWS)
+    assert max(f.num_row_groups for f in files(blocks)) >= 4  # one without the options
+    rows = blocks.collect()
+    assert len(rows) >= 10 and sum(len(r["words"]) for r in rows) < 3 * 120 * 600
+    known = blocks.selectExpr("block", "1 as place", "1 as id")
+    assert phrases.renumbered(blocks, known).rdd.getNumPartitions() > common.width(spark)

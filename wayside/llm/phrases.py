@@ -2,7 +2,7 @@
 
 Texts are cut into pieces at marks and line ends, pieces into words at spaces and tabs, A-Z lower-cased; everything counts within a language
 (null: ``und``). The occurrence relation of words, sorted by piece and position, is persisted in blocks: one row per block and language
-with the words' numbers in order, 0 between pieces.
+with the words' numbers in order, 0 between pieces, compressed.
 
 Level by level, the relation of phrases of one length is merge-joined with itself by piece and adjacent position (two sorted columns, one
 pass per block), occurrences are grouped and counted, and groups seen less than ``least`` times drop out: what stays is numbered in the same
@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wayside.llm.common import settings, staged, text_of, width
+from wayside.llm.common import LARGE_ROWS, SHORT_BATCHES, settings, staged, text_of, width
+from wayside.llm.lexicon import pack, unpack
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -37,10 +38,12 @@ ONE_BLOCK = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.par
 
 #: Buckets of a hash in which groups are numbered, times the partitions of a shuffle.
 BUCKETS = 64
+#: Partitions in which groups of all blocks are sorted and blocks meet their groups, times those of other shuffles.
+PARTS = 4
 #: Shuffles go as soon as the step that made them has written its result.
 SWEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
-BLOCK = "block bigint, lang string, words array<int>, listed array<string>, often array<bigint>"
+BLOCK = "block bigint, lang string, words binary, listed array<string>, often array<bigint>"
 
 
 class _Numbers(dict):
@@ -72,8 +75,8 @@ def occurrences(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 words[words == numbers[b"\xff"]] = 0
                 listed = [w.decode() if w != b"\xff" else "" for w in numbers]
                 often = np.bincount(words, minlength=len(listed) + 1)[1:]
-                columns = [serial], [lang], [words], [listed], [often]
-                types = pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())
+                columns = [serial], [lang], [pack(words)], [listed], [often]
+                types = pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "lang", "words", "listed", "often"])
                 serial += 1
 
@@ -97,7 +100,7 @@ def counted(groups: DataFrame, least: int, *key: str) -> DataFrame:
     """The groups of each block that reach ``least`` over all blocks, with a number ``id`` of the group from 1 on, nearly dense; ``first`` marks one
     row of each group, which alone has its count ``a``. One shuffle, by buckets of a hash, counts, semi-joins and numbers, without a global sort."""
     buckets = BUCKETS * width(groups.sparkSession)
-    at = groups.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).repartition("bucket")
+    at = groups.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).repartition(PARTS * width(groups.sparkSession), "bucket")
     kept = at.withColumn("a", F.sum("n").over(Window.partitionBy("bucket", *key))).where(F.col("a") >= least)
     turn = Window.partitionBy("bucket").orderBy(*key)
     number = ((F.dense_rank().over(turn) - 1) * buckets + F.col("bucket") + 1).cast("int")
@@ -112,15 +115,22 @@ def totalled(groups: DataFrame, least: int, *key: str) -> DataFrame:
 
 def renumbered(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """``block, words``: blocks with the numbers of frequent words; other words become 0, like the ends of pieces."""
-    schema = "block bigint, words array<int>"
+    schema = "block bigint, words binary"
 
     def finish(_, block: pa.Table, known: pa.Table) -> pa.Table:
-        own = block.column("words")[0].values.to_numpy()
+        own = unpack(block.column("words")[0].as_py(), np.int32)[0]
         number = np.zeros(int(own.max(initial=0)) + 2, np.int32)
         number[known.column("place").to_numpy()] = known.column("id").to_numpy()
-        return pa.Table.from_arrays([block.column("block"), pa.array([number[own]], pa.list_(pa.int32()))], names=["block", "words"])
+        return pa.Table.from_arrays([block.column("block"), pa.array([pack(number[own])], pa.binary())], names=["block", "words"])
 
-    return blocks.select("block", "words").groupBy("block").cogroup(words.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(finish, schema)
+    return _met(blocks.select("block", "words"), words).applyInArrow(finish, schema)
+
+
+def _met(blocks: DataFrame, groups: DataFrame):
+    """Every block together with its groups."""
+    parts = PARTS * width(blocks.sparkSession)
+    groups = groups.withColumnRenamed("block", "of")
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(groups.repartition(parts, "of").groupBy("of"))
 
 
 def _adjacent(phrase: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,8 +146,7 @@ def extended(relation: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = batch.column(1)[k].values.to_numpy()
-                phrase = batch.column(2)[k].values.to_numpy()
+                words, phrase = (unpack(batch.column(c)[k].as_py(), np.int32)[0] for c in (1, 2))
                 _, left, word = _adjacent(phrase, words, length)
                 keys, n = np.unique((left.astype(np.int64) << 32) | word, return_counts=True)
                 for at in range(0, len(keys), 1 << 16):
@@ -155,10 +164,10 @@ def extended(relation: DataFrame, length: int) -> DataFrame:
 
 def matched(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
     """``block, words, phrase``: the relation with the numbers of the frequent phrases of ``length + 1`` words where they start."""
-    schema = "block bigint, words array<int>, phrase array<int>"
+    schema = "block bigint, words binary, phrase binary"
 
     def finish(_, block: pa.Table, known: pa.Table) -> pa.Table:
-        words, phrase = (block.column(c)[0].values.to_numpy() for c in ("words", "phrase"))
+        words, phrase = (unpack(block.column(c)[0].as_py(), np.int32)[0] for c in ("words", "phrase"))
         out = np.zeros(len(words), np.int32)
         if len(known):
             at, left, word = _adjacent(phrase, words, length)
@@ -168,18 +177,15 @@ def matched(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
             wanted = (left.astype(np.int64) << 32) | word
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             out[at] = np.where(keys[place] == wanted, number[place], 0)
-        return pa.Table.from_arrays(
-            [block.column("block"), pa.array([words], pa.list_(pa.int32())), pa.array([out], pa.list_(pa.int32()))],
-            names=["block", "words", "phrase"],
-        )
+        return pa.Table.from_arrays([block.column("block"), block.column("words"), pa.array([pack(out)], pa.binary())], names=["block", "words", "phrase"])
 
-    own = relation.select("block", "words", "phrase")
-    return own.groupBy("block").cogroup(frequent.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(finish, schema)
+    return _met(relation.select("block", "words", "phrase"), frequent).applyInArrow(finish, schema)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """Frequent words and phrases: per level ``words`` (numbers) and ``a``; the texts of numbers; all words per language."""
-    blocks = staged(occurrences(docs), "phrase-blocks")
+    with settings(docs.sparkSession, SHORT_BATCHES):
+        blocks = staged(occurrences(docs), "phrase-blocks", LARGE_ROWS)
     totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("often", F.lit(0).cast("bigint"), lambda n, one: n + one)).alias("n"))
     places = blocks.select("block", "lang", F.posexplode(F.arrays_zip("listed", "often")).alias("place", "item")).where("item.often > 0").select(
         "block", "lang", (F.col("place") + 1).alias("place"), F.col("item.listed").alias("word"), F.col("item.often").alias("n")
@@ -187,7 +193,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     known = counted(places, least, "lang", "word")
     known = staged(known.withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("lang", "word")}), "phrase-words")
     names = known.where("first").select("id", "lang", F.col("word").alias("name"), "a")
-    relation = staged(renumbered(blocks, known.select("block", "place", "id")), "phrase-relation").withColumn("phrase", F.col("words"))
+    relation = staged(renumbered(blocks, known.select("block", "place", "id")), "phrase-relation", LARGE_ROWS).withColumn("phrase", F.col("words"))
     numbers = names.select("id", F.array("id").alias("words"), "a")
     levels = [numbers.select("words", "a")]
     for length in range(1, longest):
@@ -201,7 +207,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         levels.append(spelt.select("words", "a"))
         if not last:
             numbers = spelt
-            relation = staged(matched(relation, found.select("block", "left", "word", "id"), length), "phrase-relation")
+            relation = staged(matched(relation, found.select("block", "left", "word", "id"), length), "phrase-relation", LARGE_ROWS)
     return totals, levels, names.select("id", "lang", "name")
 
 
