@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayside.session import scratch_path
+from wayside.session import scratch_path, settings  # noqa: F401
 
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -49,16 +47,3 @@ def remainder(column: str, n: int) -> Column:
 def row_digest(*columns: str) -> Column:
     """A value that orders equal ids the same way in every run."""
     return F.xxhash64(*columns)
-
-
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]):
-    """Session settings for what runs inside, put back afterwards."""
-    before = {key: spark.conf.get(key, None) for key in conf}
-    for key, value in conf.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -17,7 +17,8 @@ from .latest import keep_latest
 
 Frames = Mapping[str, DataFrame]
 STOP_KEYS = ["tripkey", "stopkey", "stopsequence", "datekey"]
-VISIT_MONTH = ["tripkey", "stopkey", "stopsequence", "_month"]
+VISIT = ["tripkey", "stopkey", "stopsequence"]
+VISIT_MONTH = [*VISIT, "_month"]
 
 
 def stop_visits(stop_times: DataFrame) -> DataFrame:
@@ -62,12 +63,13 @@ def service_calendar(days: DataFrame, condition: str, *details: str) -> DataFram
     return fresh_key(arrays, "service_id")
 
 
-def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """One scheduled row per stop visit, trip and date, for all ``dates`` in one job.
 
     Keys are resolved on timetable rows and trips, before dates multiply them; the trip carries
     its dates as an array through the one large join and unfolds after it, so the shuffle holds
-    each timetable row once however long the range. Unresolved trips and stops are left out.
+    each timetable row once however long the range. Unresolved trips and stops are left out. With ``parts`` the
+    rows come in that many partitions by visit, moved before dates multiply them, too.
     """
     services = service_calendar(service_days(stg["calendar"], stg["calendar_dates"], dates), "active")
     visits = stop_visits(stg["stop_times"])
@@ -77,7 +79,11 @@ def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFra
     trips = fresh_key(trips, "trip_id")
     stops = dims["stop"].filter("stopkey > 0").select(F.col("stopid").alias("stop_id"), "stopkey")
     placed = resolve_key(visits.join(stops, "stop_id"), dims["time"], "minute_key", "timekey", "timekey")
-    rows = placed.join(trips, "trip_id").withColumn("service_date", F.explode("days.service_date"))
+    rows = placed.join(trips, "trip_id")
+    if parts is not None:
+        used = ("tripkey", "routekey", "stopkey", "timekey", "agencykey", "arr_secs", "dep_secs", "stop_sequence", "first_seq", "last_seq", "days")
+        rows = rows.select(*used).repartition(parts, "tripkey", "stopkey", "stop_sequence")
+    rows = rows.withColumn("service_date", F.explode("days.service_date"))
     skeleton = conform(
         rows.select(
             "tripkey",
@@ -102,8 +108,8 @@ def stop_skeleton(stg: Frames, dims: Frames, dates: DataFrame, existing: DataFra
     return skeleton if existing is None else new_rows_only(skeleton, existing, STOP_KEYS)
 
 
-def resolve_updates(updates: DataFrame, dims: Frames) -> DataFrame:
-    """Reported arrivals by fact key, one per key.
+def resolve_updates(updates: DataFrame, dims: Frames, parts: int | None = None) -> DataFrame:
+    """Reported arrivals by fact key, one per key; with ``parts`` in that many partitions by visit.
 
     The few stops come first, so that rows move to their trips with a key in place of the stop's name and without unknown stops.
     Rows then move once more, by visit and month, for both keeping the newest and the join with the fact.
@@ -126,7 +132,8 @@ def resolve_updates(updates: DataFrame, dims: Frames) -> DataFrame:
             F.col("departure_time_local").alias("_departure"),
         )
     )
-    latest = keep_latest(keyed.repartition(*VISIT_MONTH), [*VISIT_MONTH, "_date"], ["feed_timestamp_utc", "agency_key"])
+    moved = keyed.repartition(*VISIT_MONTH) if parts is None else keyed.repartition(parts, *VISIT)
+    latest = keep_latest(moved, [*VISIT_MONTH, "_date"], ["feed_timestamp_utc", "agency_key"])
     return latest.select(*VISIT_MONTH, date_key("_date").alias("datekey"), "_date", "_arrival", "_departure")
 
 
@@ -145,13 +152,24 @@ def join_updates(fact: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"f.{c}") for c in fact.columns], "_date", "_arrival", "_departure")
 
 
-def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force: bool = False) -> DataFrame:
+def join_in_place(fact: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``join_updates`` where both sides already lie in the same number of partitions by visit: neither moves.
+
+    Only the reports of a partition, one per visit and day, are held in memory; the fact, several times their size, is not sorted.
+    """
+    on = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in STOP_KEYS]
+    joined = fact.alias("f").join(resolved.alias("r").hint("shuffle_hash"), on, "left")
+    return joined.select(*[F.col(f"f.{c}") for c in fact.columns], "_date", "_arrival", "_departure")
+
+
+def merge_stop_updates(fact: DataFrame, updates: DataFrame, dims: Frames, force: bool = False, parts: int | None = None) -> DataFrame:
     """Fact rows with reported arrivals and on-time flags filled in.
 
     Without ``force`` only rows still on the schedule fallback change. Days without updates pass
-    through, so the result replaces the same partitions.
+    through, so the result replaces the same partitions. ``parts`` says that the fact lies in so many partitions by visit.
     """
-    joined = join_updates(fact, resolve_updates(updates, dims))
+    resolved = resolve_updates(updates, dims, parts)
+    joined = join_updates(fact, resolved) if parts is None else join_in_place(fact, resolved)
     apply = F.col("_date").isNotNull()
     if not force:
         apply = apply & flags.is_true(F.col("arrivalsource") == flags.FALLBACK)

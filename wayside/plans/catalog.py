@@ -1078,11 +1078,15 @@ def stream_trip_merge(t: Lens) -> DataFrame:
 def stream_stop_merge(t: Lens) -> DataFrame:
     """Scheduled visits with the reports of a stream merged in, batch by batch."""
     fact, table, state = (scratch_path(t.spark, name) for name in ("fact-stop", "newest-updates", "merge-state"))
-    sinks.replace_partition(stops.stop_skeleton(t.timetable, t.dims, t.dates), fact, "datekey")
+    buckets = sinks.buckets_for(t.table("lineitem"))
+    stored = facts.stop_fact_by_visit(fact, buckets)
+    stored.replace(stops.stop_skeleton(t.timetable, t.dims, t.dates, parts=buckets))
     used = [c for c in t.table("lineitem").columns if c not in ("l_extendedprice", "l_discount", "l_commitdate", "l_receiptdate", "l_comment")]
     lines = Lens(t.spark, t.folder, lineitem=t.table("lineitem").select(*used))
     updates = Lens(t.spark, t.folder, lineitem=_landed_twice(lines, "lineitem", "l_partkey")).stop_updates
-    facts.stream_stop_merge(updates, fact, table, t.dims, state).awaitTermination()
+    facts.stream_stop_merge(updates, fact, table, t.dims, state, buckets=buckets).awaitTermination()
+    for laid in (stored, facts.updates_by_trip(table, buckets)):
+        laid.forget(t.spark)
     return sinks.read_table(t.spark, fact, FACT_STOP).select(*[c for c in MERGED if c != "isofficial"])
 
 

@@ -13,7 +13,7 @@ from ..operators.flatten import flatten_trip_updates, flatten_vehicle_positions,
 from ..operators.latest import keep_latest
 from ..schemas import FEED_BODY
 from ..sources.feeds import feed_glob, with_path_parts
-from ..sources.sinks import replace_partition
+from ..sources.sinks import Bucketed, replace_partition
 from ..sources.static import path_exists
 
 # Alarm period and windows without success that make an outage.
@@ -38,23 +38,27 @@ def stream_vehicle_positions(spark: SparkSession, root: str, zone: str = DEFAULT
     return flatten_vehicle_positions(stream_feed(spark, root, feed="vehicle-positions", **options), zone)
 
 
-def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partition: str):
+def upsert_latest(path: str, keys: Sequence[str], newest: Sequence[str], partition: str, table: Bucketed | None = None):
     """``foreachBatch`` function that keeps the newest row per key in a partitioned table.
 
     Only the partitions a batch touches, a short list of days, are read and replaced, so its cost follows the batch,
     not the table. The batch and what is stored move once, together. Replaying a batch leaves the table as it was.
+    With ``table``, a bucketed table at ``path`` whose keys are among ``keys``, the batch moves to its buckets and what is stored does not move.
     """
     def write(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         incoming = batch.persist()
         if not incoming.isEmpty():
             rows = incoming
+            if table is not None:
+                rows = incoming.repartition(table.buckets, *table.keys)
             if path_exists(spark, path):
-                stored = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
+                stored = spark.read.schema(incoming.schema).parquet(path) if table is None else table.rows(spark)
                 days = [row[0] for row in incoming.select(partition).distinct().collect()]
-                stored = stored.filter(F.col(partition).isin(days))
-                rows = stored.unionByName(incoming)
-            replace_partition(keep_latest(rows, keys, newest), path, partition)
+                stored = stored.select(*incoming.columns).filter(F.col(partition).isin(days))
+                rows = rows.unionByName(stored)  # in this order Spark sees that a bucketed table's rows need not move
+            latest = keep_latest(rows, keys, newest)
+            table.replace(latest) if table is not None else replace_partition(latest, path, partition)
         incoming.unpersist()
 
     return write
